@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.exact_dedup import EXACT_COPIES_SQL, exact_copies
 from tickloom.llm.mixing import MIXTURE_SQL, mixture
 from tickloom.llm.simhash_dedup import near_copies
+from tickloom.llm.toxicity import toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": lambda s, d: mixture(_t(s, d, "documents")),
+    "op4_toxicity": lambda s, d: toxicity(_t(s, d, "documents"), _t(s, d, "labels")),
     "op5_exact_dedup": lambda s, d: exact_copies(_t(s, d, "documents")),
     "op9_simhash_dedup": lambda s, d: near_copies(_t(s, d, "documents")),
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op3_mix_sources": MIXTURE_SQL,
+    "op4_toxicity": lambda s, d: toxicity(_t(s, d, "documents"), _t(s, d, "labels")),
     "op5_exact_dedup": EXACT_COPIES_SQL,
 }
