@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.bpe_chunks import encode_documents
 from tickloom.llm.exact_dedup import EXACT_COPIES_SQL, exact_copies
 from tickloom.llm.mixing import MIXTURE_SQL, mixture
 from tickloom.llm.simhash_dedup import near_copies
@@ -21,6 +22,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": lambda s, d: toxicity(_t(s, d, "documents"), _t(s, d, "labels")),
     "op5_exact_dedup": lambda s, d: exact_copies(_t(s, d, "documents")),
     "op9_simhash_dedup": lambda s, d: near_copies(_t(s, d, "documents")),
+    "op10_bpe": lambda s, d: encode_documents(_t(s, d, "documents")),
 }
 
 LLM_ORACLES: dict[str, str] = {
