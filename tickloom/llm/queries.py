@@ -10,6 +10,7 @@ from tickloom.llm.bpe_chunks import encode_documents
 from tickloom.llm.exact_dedup import EXACT_COPIES_SQL, exact_copies
 from tickloom.llm.mixing import MIXTURE_SQL, mixture
 from tickloom.llm.simhash_dedup import near_copies
+from tickloom.llm.substring_dedup import substring_duplicates
 from tickloom.llm.toxicity import toxicity
 
 
@@ -18,6 +19,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": lambda s, d: substring_duplicates(_t(s, d, "documents")),
     "op3_mix_sources": lambda s, d: mixture(_t(s, d, "documents")),
     "op4_toxicity": lambda s, d: toxicity(_t(s, d, "documents"), _t(s, d, "labels")),
     "op5_exact_dedup": lambda s, d: exact_copies(_t(s, d, "documents")),
@@ -26,6 +28,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 LLM_ORACLES: dict[str, str] = {
+    "op1_substring_dedup": lambda s, d: substring_duplicates(_t(s, d, "documents")),
     "op3_mix_sources": MIXTURE_SQL,
     "op4_toxicity": lambda s, d: toxicity(_t(s, d, "documents"), _t(s, d, "labels")),
     "op5_exact_dedup": EXACT_COPIES_SQL,
