@@ -11,6 +11,7 @@ from tickloom.llm.exact_dedup import EXACT_COPIES_SQL, exact_copies
 from tickloom.llm.kd_sharding import kd_shards
 from tickloom.llm.language_id import language_id
 from tickloom.llm.lm_automaton import LM_SQL, lm_scores
+from tickloom.llm.media_sequences import MEDIA_TAGS, media_sequences, page_payloads
 from tickloom.llm.mixing import MIXTURE_SQL, mixture
 from tickloom.llm.simhash_dedup import near_copies
 from tickloom.llm.substring_dedup import substring_duplicates
@@ -29,6 +30,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": lambda s, d: exact_copies(_t(s, d, "documents")),
     "op6_kd_sharding": lambda s, d: kd_shards(_t(s, d, "documents")),
     "op7_lm_automaton": lambda s, d: lm_scores(_t(s, d, "documents")),
+    "op8_media_sequences": lambda s, d: media_sequences(_t(s, d, "pages"), page_payloads(_t(s, d, "pages")), (*MEDIA_TAGS, "a")),
     "op9_simhash_dedup": lambda s, d: near_copies(_t(s, d, "documents")),
     "op10_bpe": lambda s, d: encode_documents(_t(s, d, "documents")),
 }
