@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tickloom.plans import market_queries, sql_catalog
+
+_PARTS = (market_queries, sql_catalog)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
