@@ -60,6 +60,11 @@ def decode(tokens, path: str = VOCABULARY) -> str:
     return encoding(path).decode_bytes(list(tokens)).decode("utf-8")
 
 
+def token_type(enc) -> type:
+    """How tokens are kept between the stages: in two bytes where the vocabulary allows it."""
+    return np.uint16 if enc.n_vocab <= 1 << 16 else np.uint32
+
+
 def cut_places(buf: np.ndarray, off: np.ndarray, mask_bits: int = MASK_BITS, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     """All chunk starts in the bytes of the rows (each row's start among them, unless it is empty), and whether each is safe."""
     n = len(buf)
@@ -205,7 +210,7 @@ def _piece_batches(bitmap, bits: int, mask_bits: int, most: int, path: str):
                             while z < hi[i] and not hit[z]:
                                 z += 1
                             tokens = encode_whole(_str(part, cuts[k], ends[z - 1]), enc)
-                            rows.append((rids[a + i], seq, bool(safe[k]), None, None, tokens.astype(np.uint32).tobytes(), None, ids[a + i], digest))
+                            rows.append((rids[a + i], seq, bool(safe[k]), None, None, tokens.astype(token_type(enc)).tobytes(), None, ids[a + i], digest))
                             k = z
                         seq += 1
             if rows:
@@ -258,7 +263,7 @@ def _encode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([encode_whole(t, enc).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["h1", "h2", "known"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([encode_whole(t, enc).astype(token_type(enc)).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["h1", "h2", "known"])
 
     return run
 
@@ -269,7 +274,7 @@ def _join_batches(path: str):
         for b in batches:
             ids, tokens, good = [], [], []
             for doc_id, digest, pieces in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                t = join_tokens([(p["safe"], np.frombuffer(p["tokens"], np.uint32)) for p in pieces], enc)
+                t = join_tokens([(p["safe"], np.frombuffer(p["tokens"], token_type(enc)).astype(np.uint32)) for p in pieces], enc)
                 ids.append(doc_id)
                 tokens.append(t)
                 good.append(xxhash.xxh64_intdigest(enc.decode_bytes(t.tolist())) - (1 << 63) == digest)
