@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.bpe_chunks import encode_documents
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.mixing import mix_sources
-from tickloom.llm.shared import materialise
+from tickloom.llm.shared import columns, materialise
 from tickloom.llm.simhash_dedup import near_dedup
 from tickloom.llm.toxicity import drop_toxic
 
@@ -30,7 +30,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs).select(*columns(docs))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,14 +19,14 @@ def _bit(keys: list[Column], bits: int) -> Column:
 
 def bitmap_of(df: DataFrame, keys: list[Column], bits: int = BITS) -> DataFrame:
     """At most 2^bits / 32768 rows (bucket, bitmap of 4 KB); map-side combined."""
-    b = df.select(_bit(keys, bits).alias("_bit"))
-    return b.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    b = df.select(_bit(keys, bits).alias("__tl_bit"))
+    return b.groupBy(F.bitmap_bucket_number("__tl_bit").alias("__tl_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__tl_bit")).alias("__tl_map"))
 
 
 def mark(df: DataFrame, keys: list[Column], bitmap: DataFrame, name: str, bits: int = BITS) -> DataFrame:
     """The table with a boolean: whether the bitmap may hold the row's key (never false for a key that was put in)."""
-    d = df.withColumn("_b", _bit(keys, bits)).withColumn("_bucket", F.bitmap_bucket_number("_b"))
-    d = d.join(F.broadcast(bitmap), "_bucket", "left")
-    byte = F.expr("cast(conv(hex(substring(_map, cast(bitmap_bit_position(_b) div 8 as int) + 1, 1)), 16, 10) as bigint)")
-    hit = F.coalesce(F.expr("shiftright(%s, cast(bitmap_bit_position(_b) %% 8 as int)) & 1" % "_byte") == 1, F.lit(False))
-    return d.withColumn("_byte", byte).withColumn(name, hit).drop("_b", "_bucket", "_map", "_byte")
+    d = df.withColumn("__tl_bit", _bit(keys, bits)).withColumn("__tl_bucket", F.bitmap_bucket_number("__tl_bit"))
+    d = d.join(F.broadcast(bitmap), "__tl_bucket", "left")
+    byte = F.expr("cast(conv(hex(substring(__tl_map, cast(bitmap_bit_position(__tl_bit) div 8 as int) + 1, 1)), 16, 10) as bigint)")
+    hit = F.coalesce(F.expr("shiftright(%s, cast(bitmap_bit_position(__tl_bit) %% 8 as int)) & 1" % "__tl_byte") == 1, F.lit(False))
+    return d.withColumn("__tl_byte", byte).withColumn(name, hit).drop("__tl_bit", "__tl_bucket", "__tl_map", "__tl_byte")

@@ -9,7 +9,7 @@ shuffled to find the copies; false positives of a bitmap cost a hash and change
 Defined cases: a null text is no copy of anything; empty texts are copies of each other;
 a null length is taken from the text; rows without an id count as copies and stand last
 when one is kept; rows repeated in full are copies. Other columns pass through, whatever
-their names (columns starting with "_xd_" excepted).
+their names (those starting with "_xd_" or "__tl_" excepted).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.bitmaps import bitmap_of, mark
-from tickloom.llm.shared import need
+from tickloom.llm.shared import columns, need
 
 PREFIX = 256
 
@@ -62,7 +62,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", len
     d = _marked(docs, text, length, prefix)
     w = Window.partitionBy("_xd_len", "_xd_sha").orderBy(F.col(doc_id).asc_nulls_last())
     first = d.where("_xd_live").withColumn("_xd_sha", F.unhex(F.sha2(text, 256))).withColumn("_xd_n", F.row_number().over(w)).where("_xd_n = 1")
-    return d.where("not _xd_live").select(*docs.columns).unionAll(first.select(*docs.columns))
+    return d.where("not _xd_live").select(*columns(docs)).unionAll(first.select(*columns(docs)))
 
 
 EXACT_COPIES_SQL = """

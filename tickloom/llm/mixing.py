@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import materialise, need
+from tickloom.llm.shared import columns, materialise, need
 
 LEVELS = ("domain", "lang", "source")
 DOMAIN_WEIGHTS = {"web": 0.4, "books": 0.3, "forums": 0.2, "reference": 0.1}
@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, weights: dict[int, dict[str, float]] | None = N
     under = d.where(F.col("_mx_range") < F.col("_mx_edge")).withColumn("_mx_epoch", F.col("_mx_full"))
     w = Window.partitionBy(*mine).orderBy("_mx_key", F.md5(F.coalesce(F.col(text), F.lit("")))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = d.where(F.col("_mx_range") == F.col("_mx_edge")).withColumn("_mx_sum", F.sum("_mx_tokens").over(w) - F.col("_mx_tokens") + F.col("_mx_before")).where("_mx_sum < _mx_rest").withColumn("_mx_epoch", F.col("_mx_full"))
-    out = [*docs.columns, "_mx_epoch", "_mx_tokens"]
+    out = [*columns(docs), "_mx_epoch", "_mx_tokens"]
     return whole.select(*out).unionAll(under.select(*out)).unionAll(at.select(*out))
 
 

@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
 P_BYTE, P_WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -156,3 +157,8 @@ def need(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by their names, whatever is in these."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

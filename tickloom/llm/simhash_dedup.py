@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.bitmaps import bitmap_of, mark
-from tickloom.llm.shared import P_WORD, materialise, mix, need, prefix_sums, span_hash, word_hashes
+from tickloom.llm.shared import P_WORD, columns, materialise, mix, need, prefix_sums, span_hash, word_hashes
 
 RADIUS, TABLES, KEY_BITS = 18, 20, 16
 #: Pairs of query and node followed at a time.
@@ -245,4 +245,4 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id
     gone = materialise(near_copies(docs, radius, text, doc_id).where("doc_id <> keep_id").select(F.col("doc_id").alias("_nd_id")), "near-gone")
     d = mark(docs, [F.col(doc_id).cast("bigint")], bitmap_of(gone, [F.col("_nd_id")]), "_nd_hit")
     rest = d.where("_nd_hit").join(gone, F.col(doc_id) == F.col("_nd_id"), "left_anti")
-    return d.where("not _nd_hit").select(*docs.columns).unionAll(rest.select(*docs.columns))
+    return d.where("not _nd_hit").select(*columns(docs)).unionAll(rest.select(*columns(docs)))

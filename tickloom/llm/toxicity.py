@@ -276,4 +276,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         for b in batches:
             yield b.filter(pa.array(shared.value.score(b.column(at))[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Columns go by number meanwhile: their names may be anything.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
