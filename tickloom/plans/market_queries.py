@@ -27,34 +27,37 @@ def _rounded(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return df.select(*keys, *[F.round(c, R).alias(c) for c in cols])
 
 
-BAR = Window.partitionBy("symbol").orderBy("bar")
+def _bar():
+    """Made when asked for: a window needs a session."""
+    return Window.partitionBy("symbol").orderBy("bar")
+
 
 
 def log_returns(s, d):
-    return bars(_ticks(s, d)).withColumn("prev", F.lag("close").over(BAR)).where("prev > 0").select("symbol", "bar", F.round(F.ln(F.col("close") / F.col("prev")), R).alias("r"))
+    return bars(_ticks(s, d)).withColumn("prev", F.lag("close").over(_bar())).where("prev > 0").select("symbol", "bar", F.round(F.ln(F.col("close") / F.col("prev")), R).alias("r"))
 
 
 def atr14(s, d):
-    b = bars(_ticks(s, d)).withColumn("p", F.lag("close").over(BAR)).where("p is not null")
+    b = bars(_ticks(s, d)).withColumn("p", F.lag("close").over(_bar())).where("p is not null")
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("p")), F.abs(F.col("low") - F.col("p")))
-    return b.select("symbol", "bar", F.round(F.avg(tr).over(BAR.rowsBetween(-13, 0)), R).alias("atr14"))
+    return b.select("symbol", "bar", F.round(F.avg(tr).over(_bar().rowsBetween(-13, 0)), R).alias("atr14"))
 
 
 def rsi14(s, d):
-    b = bars(_ticks(s, d)).withColumn("x", F.col("close") - F.lag("close").over(BAR)).withColumn("n", F.row_number().over(BAR))
-    w = BAR.rowsBetween(-13, 0)
+    b = bars(_ticks(s, d)).withColumn("x", F.col("close") - F.lag("close").over(_bar())).withColumn("n", F.row_number().over(_bar()))
+    w = _bar().rowsBetween(-13, 0)
     b = b.withColumn("up", F.avg(F.greatest("x", F.lit(0.0))).over(w)).withColumn("down", F.avg(F.greatest(-F.col("x"), F.lit(0.0))).over(w))
     return b.where("n > 14").select("symbol", "bar", F.round(F.when(F.col("down") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("up") / F.col("down"))), R).alias("rsi14"))
 
 
 def roc(s, d):
-    b = bars(_ticks(s, d)).withColumn("p", F.lag("close", 4).over(BAR)).where("p is not null")
+    b = bars(_ticks(s, d)).withColumn("p", F.lag("close", 4).over(_bar())).where("p is not null")
     return b.select("symbol", "bar", F.round(F.col("close") / F.col("p") - 1, R).alias("roc4"))
 
 
 def realized_vol(s, d):
-    b = bars(_ticks(s, d)).withColumn("r", F.ln(F.col("close") / F.lag("close").over(BAR))).withColumn("n", F.row_number().over(BAR)).where("n > 1")
-    vol = lambda n: F.stddev_pop("r").over(BAR.rowsBetween(1 - n, 0)) * math.sqrt(96)
+    b = bars(_ticks(s, d)).withColumn("r", F.ln(F.col("close") / F.lag("close").over(_bar()))).withColumn("n", F.row_number().over(_bar())).where("n > 1")
+    vol = lambda n: F.stddev_pop("r").over(_bar().rowsBetween(1 - n, 0)) * math.sqrt(96)
     b = b.withColumn("v48", vol(48)).withColumn("v12", vol(12)).where("n > 48")
     return b.select("symbol", "bar", F.round("v48", R).alias("realized_vol"), F.round("v12", R).alias("short_vol"), F.round(F.when(F.col("v48") > 0, F.col("v12") / F.col("v48")).otherwise(1.0), R).alias("expansion"))
 
@@ -68,7 +71,7 @@ def mfe_mae(s, d):
 
 def oi_change(s, d):
     """A bar's tick count over the one before, as open interest."""
-    b = bars(_ticks(s, d)).withColumn("p", F.lag("n_ticks").over(BAR)).where("p > 0")
+    b = bars(_ticks(s, d)).withColumn("p", F.lag("n_ticks").over(_bar())).where("p > 0")
     return b.select("symbol", "bar", F.round(F.col("n_ticks") / F.col("p") - 1, R).alias("oi_change"))
 
 
@@ -91,14 +94,14 @@ def candidates_topk(s, d, k: int = 5):
 
 
 def poisson_burst(s, d):
-    b = bars(_ticks(s, d)).withColumn("lam", F.avg("n_ticks").over(BAR.rowsBetween(-24, -1))).where("lam is not null").withColumn("tail", M.poisson_tail(F.col("n_ticks"), F.col("lam")))
+    b = bars(_ticks(s, d)).withColumn("lam", F.avg("n_ticks").over(_bar().rowsBetween(-24, -1))).where("lam is not null").withColumn("tail", M.poisson_tail(F.col("n_ticks"), F.col("lam")))
     z = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (F.col("n_ticks") - F.col("lam")) / F.sqrt(F.col("lam") + 1e-9)))
     return b.select("symbol", "bar", F.round("lam", R).alias("lam"), F.round("tail", R).alias("tail"), F.round(1 - F.col("tail"), R).alias("burst"), F.round(z, R).alias("cluster_score"))
 
 
 def covariance_pairs(s, d):
     """Population covariance of the last 96 bar returns of each pair, aligned from the last."""
-    b = bars(_ticks(s, d)).withColumn("r", F.ln(F.col("close") / F.lag("close").over(BAR))).where("r is not null")
+    b = bars(_ticks(s, d)).withColumn("r", F.ln(F.col("close") / F.lag("close").over(_bar()))).where("r is not null")
     b = b.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("bar")))).where("k <= 96").select("symbol", "k", "r")
     a, c = b.toDF("a", "k", "ra"), b.toDF("b", "k", "rb")
     return a.join(c, "k").where("a <= b").groupBy("a", "b").agg(F.round(F.covar_pop("ra", "rb"), R).alias("covariance"), F.count(F.lit(1)).alias("n"))
