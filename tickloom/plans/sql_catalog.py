@@ -15,6 +15,7 @@ from tickloom.session import table
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: What DuckDB calls otherwise.
 DIALECT = [
+    (r"\btimestamp_ntz\b", "timestamp"),
     (r"\brlike\(", "regexp_matches("),
     (r"\bcollect_list\(", "list("),
     (r"\btry_divide\((.+?), (.+?)\)", r"(\1 / nullif(\2, 0))"),
@@ -55,12 +56,12 @@ def cl(x: str, lo: str, hi: str) -> str:
     return f"greatest({lo}, least({hi}, {x}))"
 
 
-BUCKET = "count(*) AS samples, sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS wins, avg(" + cl("win_rate", "0e0", "1e0") + ") AS pred"
+BUCKET = "count(*) AS samples, count(CASE WHEN pnl > 0 THEN 1 END) AS wins, avg(" + cl("win_rate", "0e0", "1e0") + ") AS pred"
 CORR = "(pred - (wins + 2e0) / (samples + 4)) * samples / (samples + 30e0)"
 FACTORS = "SELECT id, r, y, 'size' AS factor, l_quantity / 25e0 - 1 AS s FROM f UNION ALL SELECT id, r, y, 'discount' AS factor, l_discount * 20e0 - 1 AS s FROM f UNION ALL SELECT id, r, y, 'tax' AS factor, 1 - l_tax * 25e0 AS s FROM f UNION ALL SELECT id, r, y, 'side' AS factor, CASE WHEN side = 'long' THEN 1e0 ELSE -1e0 END AS s FROM f"
 BASE_F = f"{TRADES}, f AS (SELECT *, {{}} AS id, pnl / risk AS r, CASE WHEN pnl >= 0 THEN 1e0 ELSE -1e0 END AS y FROM t)"
 F0 = "WITH " + TRADES + ", f AS (SELECT *, 0 AS id, pnl / risk AS r, CASE WHEN pnl >= 0 THEN 1e0 ELSE -1e0 END AS y FROM t), u AS (" + FACTORS + ")"
-STATS = "SELECT factor, count(*) AS n, sum(CASE WHEN abs(s) > 1e-2 THEN 1 ELSE 0 END) AS active, avg(s) AS mean, avg(s * y) AS agreement, CASE WHEN count(*) < 3 OR stddev_pop(s) = 0 OR stddev_pop(r) = 0 THEN 0e0 ELSE corr(s, r) END AS association FROM u GROUP BY factor"
+STATS = "SELECT factor, count(*) AS n, count(CASE WHEN abs(s) > 1e-2 THEN 1 END) AS active, avg(s) AS mean, avg(s * y) AS agreement, CASE WHEN count(*) < 3 OR stddev_pop(s) = 0 OR stddev_pop(r) = 0 THEN 0e0 ELSE corr(s, r) END AS association FROM u GROUP BY factor"
 EQUITY = """e AS (SELECT o_custkey AS account, o_orderdate AS day, o_orderkey AS id, greatest(c_acctbal, 1e3) AS start, (o_totalprice - 1.5e5) * 1e-2 AS pnl FROM {orders} JOIN {customer} ON o_custkey = c_custkey),
 q AS (SELECT *, start + sum(pnl) OVER (PARTITION BY account ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM e),
 dd AS (SELECT *, greatest(start, max(equity) OVER (PARTITION BY account ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak, lag(equity) OVER (PARTITION BY account ORDER BY day, id) AS prev FROM q),
@@ -105,9 +106,9 @@ SPARK: dict[str, str] = {
       g AS (SELECT *, {cl('(1 + cost / risk) / (1 + rr)', '5e-2', '9.5e-1')} AS break_even, win_rate * risk * rr - (1 - win_rate) * risk - cost AS expectancy,
         4.5e-2 + 7e-2 + CASE WHEN regime = 'O' THEN 4e-2 ELSE 0e0 END + CASE mode WHEN 'R' THEN 3e-2 WHEN 'A' THEN 1.5e-2 ELSE 0e0 END - {cl('(dir - 5e-1) * 2.5e-2', '0e0', '1.5e-2')} AS margin FROM x),
       h AS (SELECT *, greatest(4.5e-1, break_even + 1e-2) AS low FROM g), i AS (SELECT *, greatest(low, least(greatest(low, 7.8e-1), break_even + margin)) AS threshold FROM h)
-      SELECT mode, regime, count(*) AS n, sum(CASE WHEN expectancy > 0 AND win_rate >= threshold - 1e-12 THEN 1 ELSE 0 END) AS passed, round(avg(threshold), 6) AS threshold, round(avg(expectancy), 6) AS expectancy FROM i GROUP BY mode, regime""",
+      SELECT mode, regime, count(*) AS n, count(CASE WHEN expectancy > 0 AND win_rate >= threshold - 1e-12 THEN 1 END) AS passed, round(avg(threshold), 6) AS threshold, round(avg(expectancy), 6) AS expectancy FROM i GROUP BY mode, regime""",
     "brier_outcomes": """WITH x AS (SELECT lang, quality AS won, 1 / (1 + exp(-(n_chars - 1500) / 1e3)) AS p FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id)
-      SELECT lang, count(*) AS samples, sum(won) AS wins, round(avg(won), 6) AS win_rate, round(avg(p), 6) AS avg_predicted, round(avg((p - won) * (p - won)), 6) AS brier FROM x GROUP BY lang""",
+      SELECT lang, count(*) AS samples, cast(sum(won) AS bigint) AS wins, round(avg(won), 6) AS win_rate, round(avg(p), 6) AS avg_predicted, round(avg((p - won) * (p - won)), 6) AS brier FROM x GROUP BY lang""",
     "chrono_split_8020": """WITH x AS (SELECT quality AS won, 1 / (1 + exp(-(n_chars - 1500) / 1e3)) AS p, row_number() OVER (ORDER BY l.doc_id, n_chars) AS k, count(*) OVER () AS n FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id),
       y AS (SELECT *, CASE WHEN k <= floor(8e-1 * n + 1e-9) THEN 'train' ELSE 'validation' END AS part FROM x) SELECT part, count(*) AS samples, round(avg(won), 6) AS win_rate, round(avg((p - won) * (p - won)), 6) AS brier FROM y GROUP BY part""",
     "factor_stats": f"{F0} SELECT factor, n, active, round(mean, 6) AS mean, round(agreement, 6) AS agreement, round(association, 6) AS association FROM ({STATS}) z",
@@ -120,12 +121,12 @@ SPARK: dict[str, str] = {
         round(avg(champion * y), 6) AS champion_margin, round(avg(challenger * y), 6) AS challenger_margin FROM v GROUP BY part""",
     "trade_analytics": f"""{T} SELECT mode, count(*) AS trades, round(avg(CASE WHEN pnl > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate, round(try_divide(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0e0 END), -sum(CASE WHEN pnl < 0 THEN pnl ELSE 0e0 END)), 6) AS profit_factor,
       round(avg(win_rate), 6) AS mean_prediction, round(avg((win_rate - CASE WHEN pnl > 0 THEN 1 ELSE 0 END) * (win_rate - CASE WHEN pnl > 0 THEN 1 ELSE 0 END)), 6) AS brier, round(sum(gross - pnl) / sum(abs(gross)), 6) AS cost_drag FROM t GROUP BY mode""".replace("try_divide(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0e0 END), -sum(CASE WHEN pnl < 0 THEN pnl ELSE 0e0 END))", "sum(CASE WHEN pnl > 0 THEN pnl ELSE 0e0 END) / nullif(-sum(CASE WHEN pnl < 0 THEN pnl ELSE 0e0 END), 0)"),
-    "cumulative_pnl": f"{T}, m AS (SELECT account, closed_at, sum(pnl) AS pnl FROM t GROUP BY account, closed_at) SELECT account, closed_at, row_number() OVER w AS k, round(sum(pnl) OVER (PARTITION BY account ORDER BY closed_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS cumulative FROM m WINDOW w AS (PARTITION BY account ORDER BY closed_at)",
+    "cumulative_pnl": f"{T}, m AS (SELECT account, closed_at, sum(pnl) AS pnl FROM t GROUP BY account, closed_at) SELECT account, closed_at, cast(row_number() OVER w AS bigint) AS k, round(sum(pnl) OVER (PARTITION BY account ORDER BY closed_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS cumulative FROM m WINDOW w AS (PARTITION BY account ORDER BY closed_at)",
     "trade_classification": f"{T} SELECT CASE WHEN pnl >= 0 THEN 'profitable' WHEN gross > 0 AND pnl < 0 THEN 'cost_drag' WHEN pnl <= -risk * 9e-1 THEN 'stop_loss' ELSE 'direction_or_timing_error' END AS kind, count(*) AS n, round(avg(pnl / risk), 6) AS net_r FROM t GROUP BY 1",
     "equity_drawdown": f"WITH {EQUITY} SELECT account, id, round(equity, 4) AS equity, round(drawdown, 6) AS drawdown FROM rr",
     "rolling_sharpe": f"""WITH {EQUITY}, w AS (SELECT account, id, count(ret) OVER v AS n, avg(ret) OVER v AS m, stddev_pop(ret) OVER v AS s FROM rr WHERE ret IS NOT NULL WINDOW v AS (PARTITION BY account ORDER BY day, id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
       SELECT account, id, round(CASE WHEN s > 1e-9 THEN m / s * sqrt(cast(n AS double)) ELSE 0e0 END, 4) AS sharpe FROM w WHERE n >= 5""",
-    "account_summary": f"WITH {EQUITY} SELECT account, count(*) AS trades, sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS wins, round(sum(pnl) / max(start), 6) AS total_return, round(max(peak) / max(start) - 1, 6) AS max_return, round(min(drawdown), 6) AS max_drawdown FROM rr GROUP BY account",
+    "account_summary": f"WITH {EQUITY} SELECT account, count(*) AS trades, count(CASE WHEN pnl > 0 THEN 1 END) AS wins, round(sum(pnl) / max(start), 6) AS total_return, round(max(peak) / max(start) - 1, 6) AS max_return, round(min(drawdown), 6) AS max_drawdown FROM rr GROUP BY account",
     "mark_to_market": f"""WITH {TICKS}, l AS (SELECT symbol, max_by(price, struct_of) AS latest FROM (SELECT symbol, price, event_id AS struct_of FROM k) z GROUP BY symbol), p AS (SELECT symbol, user_id, avg(price) AS entry, count(*) AS qty FROM k GROUP BY symbol, user_id)
       SELECT user_id, count(*) AS positions, round(sum(qty * (latest - entry)), 4) AS unrealised, round(sum(qty * entry / 10), 4) AS margin FROM p JOIN l ON p.symbol = l.symbol GROUP BY user_id""",
     "source_counts": "SELECT source, count(*) AS input, count(DISTINCT text) AS selected, count(*) - count(DISTINCT text) AS suppressed, max(n_chars) AS longest FROM {documents} GROUP BY source",
@@ -146,7 +147,7 @@ SPARK: dict[str, str] = {
     "order_rule_check": "SELECT l_orderkey, l_linenumber, l_partkey, cast(floor(l_quantity / 2) * 2 AS double) AS quantity, CASE WHEN floor(l_quantity / 2) * 2 < 2 THEN 'below_min_qty' WHEN floor(l_quantity / 2) * 2 * (l_extendedprice / l_quantity) < 5e3 THEN 'below_min_notional' ELSE 'ok' END AS verdict FROM {lineitem}",
     # Messages.
     "keyword_filter": "SELECT doc_id FROM {documents} WHERE rlike(lower(text), '(^|[^a-z0-9])(th|eth|btc)([^a-z0-9]|$)') OR contains(lower(text), 'licensed')",
-    "routine_filter": f"WITH {MESSAGES} SELECT outlet, count(*) AS n, sum(CASE WHEN rlike(upper(outlet), 'BINANCE|OKX') AND NOT rlike(up, 'HACK|EXPLOIT|DELIST') AND rlike(up, 'LISTING|MAINTENANCE|COMPETITION|AIRDROP|PROMOTION|CAMPAIGN|THE ') THEN 1 ELSE 0 END) AS routine FROM m3 GROUP BY outlet",
+    "routine_filter": f"WITH {MESSAGES} SELECT outlet, count(*) AS n, count(CASE WHEN rlike(upper(outlet), 'BINANCE|OKX') AND NOT rlike(up, 'HACK|EXPLOIT|DELIST') AND rlike(up, 'LISTING|MAINTENANCE|COMPETITION|AIRDROP|PROMOTION|CAMPAIGN|THE ') THEN 1 END) AS routine FROM m3 GROUP BY outlet",
     "source_tier": f"WITH {MESSAGES} SELECT tier, weight, count(*) AS n FROM m3 GROUP BY tier, weight",
     "freshness_decay": f"WITH {MESSAGES} SELECT doc_id, round(fresh, 4) AS weight, CASE WHEN age <= 5 THEN 'live' WHEN age <= 30 THEN 'fresh' WHEN age <= 120 THEN 'recent' WHEN age <= 1440 THEN 'today' WHEN age <= 4320 THEN 'aging' ELSE 'stale' END AS level FROM m3",
     "event_classify": f"WITH {SCORED} SELECT doc_id, bull, bear, high, direction, market_wide, round(raw_impact, 4) AS raw_impact, round(impact, 4) AS impact FROM c2 WHERE impact >= 5",
@@ -156,10 +157,10 @@ SPARK: dict[str, str] = {
     "story_representative": f"""WITH {MESSAGES}, s AS (SELECT doc_id, tier, length(text) AS n, {TITLE} AS title FROM m3), r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY tier, n DESC, doc_id) AS k, count(*) OVER (PARTITION BY title) AS corroboration FROM s)
       SELECT doc_id, tier, corroboration, round(least(1.24e0, 1 + 8e-2 * (corroboration - 1)), 4) AS multiplier FROM r WHERE k = 1""",
     "stable_ids": "SELECT page_id, substring(sha2(concat(url, '|', cast(page_id AS string)), 256), 1, 24) AS id FROM {pages}",
-    "html_strip": "SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' '), '[ \\n\\t\\r]+', ' '))) AS n FROM {pages}",
+    "html_strip": "SELECT page_id, cast(length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' '), '[ \\n\\t\\r]+', ' '))) AS bigint) AS n FROM {pages}",
     "props_json": "SELECT event_id, get_json_object(props, '$.k') AS k, get_json_object(props, '$.v') AS v FROM {events}",
     # Ordered analytics and table maintenance.
-    "bucketed_history": f"WITH {TICKS}, h AS (SELECT symbol, date_trunc('hour', ts) AS bucket, max_by(price, event_id) AS last_price FROM k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bucket DESC) AS n FROM h) SELECT symbol, bucket, last_price FROM r WHERE n <= 168",
+    "bucketed_history": f"WITH {TICKS}, h AS (SELECT symbol, cast(date_trunc('hour', ts) AS timestamp_ntz) AS bucket, max_by(price, event_id) AS last_price FROM k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bucket DESC) AS n FROM h) SELECT symbol, bucket, last_price FROM r WHERE n <= 168",
     "upsert_latest": "WITH u AS (SELECT l_orderkey AS id, l_shipdate, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_extendedprice DESC, l_linenumber DESC) AS k FROM {lineitem}) SELECT id, date_format(l_shipdate, 'yyyy-MM') AS shard, l_extendedprice AS price FROM u WHERE k = 1",
     "manifest": "SELECT date_format(l_shipdate, 'yyyy-MM') AS shard, count(*) AS n, min(l_shipdate) AS first_closed, max(l_shipdate) AS last_closed FROM {lineitem} GROUP BY 1",
     "page_query": "WITH o AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM {orders}) SELECT o_orderkey, o_orderdate FROM o WHERE k > 50 AND k <= 100",
@@ -171,7 +172,7 @@ SPARK: dict[str, str] = {
     "union_override": "SELECT id, max_by(price, seq) AS price FROM (SELECT o_orderkey AS id, o_totalprice AS price, 0 AS seq FROM {orders} UNION ALL SELECT o_orderkey AS id, o_totalprice * 2 AS price, 1 AS seq FROM {orders} WHERE o_orderstatus = 'F') z GROUP BY id",
     "warnings_distinct": "SELECT DISTINCT event_type AS warning FROM {events} ORDER BY warning LIMIT 80",
     "rotation_plan": f"""{T}, v AS (SELECT account, l_orderkey, l_linenumber, notional, {ORD.replace('closed_at, ', 'closed_at, ')}, l_discount - l_tax AS ev FROM t), r AS (SELECT account, ev, notional, row_number() OVER (PARTITION BY account ORDER BY ev, {ORD}) AS k FROM t2)""",
-    "confirmation_counters": f"WITH {TICKS}, x AS (SELECT *, CASE WHEN price > 50 THEN 1 ELSE 0 END AS ok FROM k), g AS (SELECT *, sum(1 - ok) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM x) SELECT symbol, event_id, sum(ok) OVER (PARTITION BY symbol, grp ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS confirmations FROM g",
+    "confirmation_counters": f"WITH {TICKS}, x AS (SELECT *, CASE WHEN price > 50 THEN 1 ELSE 0 END AS ok FROM k), g AS (SELECT *, sum(1 - ok) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM x) SELECT symbol, event_id, cast(sum(ok) OVER (PARTITION BY symbol, grp ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS confirmations FROM g",
     "heartbeat": "SELECT event_type AS source, max(ts) AS last_seen, CASE WHEN max(ts) < timestamp_ntz '2024-01-30 00:00:00' THEN true ELSE false END AS stale FROM {events} GROUP BY event_type",
 }
 SPARK["rotation_plan"] = f"""{T}, r AS (SELECT account, notional, l_discount - l_tax AS ev, row_number() OVER w AS k, sum(notional) OVER (PARTITION BY account ORDER BY l_discount - l_tax, {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS released FROM t WINDOW w AS (PARTITION BY account ORDER BY l_discount - l_tax, {ORD})),
