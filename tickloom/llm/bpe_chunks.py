@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.bitmaps import BITS
-from tickloom.llm.shared import P_BYTE, T_BYTE, materialise, mix, need, prefix_sums, row_slices, span_hash, text_bytes
+from tickloom.llm.shared import P_BYTE, T_BYTE, map_arrow, materialise, mix, need, prefix_sums, row_slices, span_hash, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -118,7 +118,7 @@ def _count_batches(mask_bits: int, most: int):
 
 def shared_chunks(docs: DataFrame, bits: int, mask_bits: int, most: int) -> np.ndarray:
     """The bitmap (2^bits bits) of the chunks that occur twice or more; of fixed size."""
-    n = docs.select("text").mapInArrow(_count_batches(mask_bits, most), "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1")
+    n = docs.select("text").transform(map_arrow, _count_batches(mask_bits, most), "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1")
     at = n.select(F.pmod("h1", F.lit(1 << bits).cast("bigint")).alias("b"))
     maps = at.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"), F.bit_or(F.when(F.col("b") == 0, 1).otherwise(0)).alias("zero"))
     # Bit b is at position (b - 1) of bucket 1 + (b - 1) / 32768; 0 is at position 0 of bucket 0.
@@ -289,13 +289,13 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, bits: int = BITS,
     need(docs, "doc_id", "text")
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     bitmap = d.sparkSession.sparkContext.broadcast(shared_chunks(d, bits, mask_bits, most))
-    plain = d.mapInArrow(_plain_batches(bitmap, bits, mask_bits, most, path), OUT)
-    apart = d.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_piece_batches(bitmap, bits, mask_bits, most, path), PIECES)
+    plain = d.transform(map_arrow, _plain_batches(bitmap, bits, mask_bits, most, path), OUT)
+    apart = d.withColumn("rid", F.monotonically_increasing_id()).transform(map_arrow, _piece_batches(bitmap, bits, mask_bits, most, path), PIECES)
     pieces = materialise(apart, "bpe-pieces")
     texts = pieces.where("chunk is not null").groupBy("h1", "h2").agg(F.min("chunk").alias("chunk"))
-    known = texts.mapInArrow(_encode_batches(path), "h1 long, h2 long, known binary")
+    known = texts.transform(map_arrow, _encode_batches(path), "h1 long, h2 long, known binary")
     refs = pieces.where("h1 is not null").select("rid", "seq", "safe", "h1", "h2", "doc_id", "digest").join(known, ["h1", "h2"]).select("rid", "seq", "safe", F.col("known").alias("tokens"), "doc_id", "digest")
     rest = pieces.where("h1 is null").select("rid", "seq", "safe", "tokens", "doc_id", "digest")
     whole = refs.unionAll(rest).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.sort_array(F.collect_list(F.struct("seq", "safe", "tokens"))).alias("pieces"))
-    joined = whole.select("doc_id", "digest", "pieces").mapInArrow(_join_batches(path), OUT)
+    joined = whole.select("doc_id", "digest", "pieces").transform(map_arrow, _join_batches(path), OUT)
     return plain.unionAll(joined)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import materialise, need
+from tickloom.llm.shared import map_arrow, materialise, need
 
 TARGET = 16 << 20
 RANGES = 1024
@@ -96,7 +96,7 @@ def _extents(points: DataFrame, tree: Tree, n: int) -> dict[int, tuple[int, np.n
 
     schema = "node long, bytes long, " + ", ".join(f"{e}{k} long" for e in ("lo", "hi") for k in range(n))
     aggs = [F.sum("bytes").alias("bytes"), *[F.min(f"lo{k}").alias(f"lo{k}") for k in range(n)], *[F.max(f"hi{k}").alias(f"hi{k}") for k in range(n)]]
-    return {r[0]: (r[1], np.array(r[2 : 2 + n]), np.array(r[2 + n :])) for r in points.mapInArrow(run, schema).groupBy("node").agg(*aggs).collect()}
+    return {r[0]: (r[1], np.array(r[2 : 2 + n]), np.array(r[2 + n :])) for r in points.transform(map_arrow, run, schema).groupBy("node").agg(*aggs).collect()}
 
 
 def _ranges(points: DataFrame, tree: Tree, n: int, ask: dict[int, tuple[int, int, int]]) -> dict[int, tuple[int, int, int | None]]:
@@ -122,7 +122,7 @@ def _ranges(points: DataFrame, tree: Tree, n: int, ask: dict[int, tuple[int, int
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (at[first], r[first], np.add.reduceat(w, first), np.maximum.reduceat(v, first))], ["node", "r", "w", "v"])
 
     by = Window.partitionBy("node").orderBy("r")
-    sums = points.mapInArrow(run, "node long, r long, w long, v long").groupBy("node", "r").agg(F.sum("w").alias("w"), F.max("v").alias("v"))
+    sums = points.transform(map_arrow, run, "node long, r long, w long, v long").groupBy("node", "r").agg(F.sum("w").alias("w"), F.max("v").alias("v"))
     sums = sums.withColumn("upto", F.sum("w").over(by)).withColumn("all", F.sum("w").over(Window.partitionBy("node"))).withColumn("before", F.max("v").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     half = sums.where("2 * upto >= all and 2 * (upto - w) < all")
     return {r[0]: (r[1], r[2], r[3]) for r in half.select("node", "r", "v", "before").collect()}
@@ -182,4 +182,4 @@ def kd_shards(docs: DataFrame, target: int = TARGET, dims: dict[str, Column] | N
             at = descend(_ints(b, n), *shape)
             yield pa.RecordBatch.from_arrays([b.column(n + 1), pa.array(shards[at].astype(np.int32)), b.column(n)], ["doc_id", "shard", "bytes"])
 
-    return points.mapInArrow(run, "doc_id long, shard int, bytes long")
+    return points.transform(map_arrow, run, "doc_id long, shard int, bytes long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import LOWER, need, row_slices, text_bytes
+from tickloom.llm.shared import LOWER, map_arrow, need, row_slices, text_bytes
 
 PER_LANG, BINS, BITS, AMBIGUOUS = 400, 4096, 15, 0.25
 ROUNDS, RATE, RIDGE = 300, 4.0, 1e-4
@@ -152,4 +152,4 @@ def language_id(docs: DataFrame, per_lang: int = PER_LANG, ambiguous: float = AM
             langs = pa.array(np.array(shared.value.langs, dtype=object)[best], pa.string(), mask=none)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), langs, pa.array(margin, mask=none), pa.array(none | (margin < ambiguous))], ["doc_id", "lang", "predicted", "margin", "ambiguous"])
 
-    return d.mapInArrow(run, "doc_id long, lang string, predicted string, margin double, ambiguous boolean")
+    return d.transform(map_arrow, run, "doc_id long, lang string, predicted string, margin double, ambiguous boolean")

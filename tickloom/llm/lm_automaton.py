@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import need, word_hashes
+from tickloom.llm.shared import map_arrow, need, word_hashes
 
 MIN_COUNT, MIN_RATE, DISCOUNT = 3, 5e-7, 0.5
 #: Counts of so many n-grams are summed in a partition before they are handed on.
@@ -81,7 +81,7 @@ def _count(docs: DataFrame, model: dict, order: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return docs.transform(map_arrow, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def _kept(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def lm_scores(docs: DataFrame, **kw) -> DataFrame:
                 [b.column(0), pa.array(n.astype(np.int64)), pa.array(np.round(total, 4), mask=none), pa.array(np.round(total / np.maximum(n, 1), 6), mask=none)], ["doc_id", "n_words", "logprob", "mean_logprob"]
             )
 
-    return d.mapInArrow(run, "doc_id long, n_words long, logprob double, mean_logprob double")
+    return d.transform(map_arrow, run, "doc_id long, n_words long, logprob double, mean_logprob double")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

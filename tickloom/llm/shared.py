@@ -8,6 +8,7 @@ mixing step (splitmix64) spreads them. Nothing here loops over rows or words.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -162,3 +163,29 @@ def need(df: DataFrame, *names: str) -> None:
 def columns(df: DataFrame) -> list[Column]:
     """All columns by their names, whatever is in these."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+#: Rows in an Arrow batch: texts are long, and 10,000 of them are held several times over on the way to Python.
+BATCH_ROWS = 2000
+
+
+def _lean(run):
+    """The batch function; when a partition is done, memory that only waits for reuse goes back to the system, for idle workers live on."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return lean
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow in batches of BATCH_ROWS, unless the session has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":  # Spark's default
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(_lean(run), schema)

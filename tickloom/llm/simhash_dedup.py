@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.bitmaps import bitmap_of, mark
-from tickloom.llm.shared import P_WORD, columns, materialise, mix, need, prefix_sums, span_hash, word_hashes
+from tickloom.llm.shared import P_WORD, columns, map_arrow, materialise, mix, need, prefix_sums, span_hash, word_hashes
 
 RADIUS, TABLES, KEY_BITS = 18, 20, 16
 #: Pairs of query and node followed at a time.
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """(doc_id, f0, f1) of the documents that have an id and a word."""
     need(docs, text, doc_id)
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return d.mapInArrow(_fingerprint_batches, "doc_id long, f0 long, f1 long")
+    return d.transform(map_arrow, _fingerprint_batches, "doc_id long, f0 long, f1 long")
 
 
 def distance(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
@@ -232,9 +232,9 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_i
     """(doc_id, keep_id, group_size) of each document that has a near or exact copy; keep_id is the least id of its group."""
     f = materialise(fingerprints(docs, text, doc_id), "simhash")
     nodes = f.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"))
-    shards = nodes.select("node", "f0", "f1").mapInArrow(_key_batches, "shard int, node long, f0 long, f1 long")
+    shards = nodes.select("node", "f0", "f1").transform(map_arrow, _key_batches, "shard int, node long, f0 long, f1 long")
     trees = shards.groupBy("shard").agg(F.collect_list(F.struct("node", "f0", "f1")).alias("members")).where("size(members) > 1")
-    root = components(trees.select("members").mapInArrow(_edge_batches(radius), "a long, b long"))
+    root = components(trees.select("members").transform(map_arrow, _edge_batches(radius), "a long, b long"))
     named = f.join(nodes, ["f0", "f1"]).select("doc_id", "node").distinct().join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keep_id"))
     size = named.groupBy("keep_id").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     return named.join(size, "keep_id").select("doc_id", "keep_id", "group_size")

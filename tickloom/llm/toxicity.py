@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import IS_WORD, LOWER, P_BYTE, T_BYTE, mix, need, prefix_sums, row_slices, span_hash, spans, text_bytes
+from tickloom.llm.shared import IS_WORD, LOWER, P_BYTE, T_BYTE, map_arrow, mix, need, prefix_sums, row_slices, span_hash, spans, text_bytes
 
 PER_CLASS, NEIGHBOURS, BLOCK, PRIOR, MAX_FEATURES, MIN_Z, MIN_LIFT, THRESHOLD = 3000, 15, 64, 0.05, 8192, 4.0, 5.0, 0.5
 STEMS = (4, 5, 6, 7, 8)
@@ -236,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(total)], ["f", "n"])
 
     df = np.zeros(n + 1)
-    for r in docs.select("text").mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").transform(map_arrow, count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
         df[r["f"]] = r["n"]
     idf = np.log((df[n] + 1) / (df[:n] + 1)) + 1
     y = np.array([r["toxic"] for r in index])
@@ -262,7 +262,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
             score, evidence = shared.value.score(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(score >= threshold), pa.array(evidence, kind)], ["doc_id", "score", "toxic", "evidence"])
 
-    return d.mapInArrow(run, f"doc_id long, score double, toxic boolean, evidence {EVIDENCE}")
+    return d.transform(map_arrow, run, f"doc_id long, score double, toxic boolean, evidence {EVIDENCE}")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
@@ -278,4 +278,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     # Columns go by number meanwhile: their names may be anything.
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.transform(map_arrow, run, plain.schema).toDF(*docs.columns)
