@@ -17,7 +17,7 @@ documents without any feature as a prior of weight PRIOR; then a logistic
 calibration fitted on the index's examples, each scored without itself.
 
 Defined cases: null and empty texts, and those without a feature, get the prior and no
-evidence; without toxic or without clean labels every score is null and nothing is toxic;
+evidence, and are never called toxic; without toxic or without clean labels every score is null and nothing is toxic;
 rows of the same id are scored one by one; labels that are null are left out, of a document's several labels the highest counts.
 Neither documents nor scores are shuffled.
 """
@@ -260,7 +260,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score, evidence = shared.value.score(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(score >= threshold), pa.array(evidence, kind)], ["doc_id", "score", "toxic", "evidence"])
+            toxic = (score >= threshold) & np.array([bool(e) for e in evidence], dtype=bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(toxic), pa.array(evidence, kind)], ["doc_id", "score", "toxic", "evidence"])
 
     return d.transform(map_arrow, run, f"doc_id long, score double, toxic boolean, evidence {EVIDENCE}")
 
@@ -274,7 +275,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(shared.value.score(b.column(at))[0] < threshold))
+            score, evidence = shared.value.score(b.column(at))
+            yield b.filter(pa.array((score < threshold) | np.array([not e for e in evidence], dtype=bool)))
 
     # Columns go by number meanwhile: their names may be anything.
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
