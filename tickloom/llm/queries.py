@@ -36,9 +36,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 LLM_ORACLES: dict[str, str] = {
-    "op1_substring_dedup": lambda s, d: substring_duplicates(_t(s, d, "documents")),
     "op3_mix_sources": MIXTURE_SQL,
-    "op4_toxicity": lambda s, d: toxicity(_t(s, d, "documents"), _t(s, d, "labels")),
     "op7_lm_automaton": LM_SQL,
     "op5_exact_dedup": EXACT_COPIES_SQL,
 }
