@@ -158,6 +158,27 @@ def test_near_copies_recall_against_brute_force(spark):
     assert all(root[i] == root[k] for i, k in got.items())  # nothing that brute force keeps apart
 
 
+def test_radius_reaches_the_measured_gap(spark):
+    rng = random.Random(11)
+    rows = []
+    while len(rows) < 120:  # pairs of texts at 19 to 24 bits
+        w = words(rng, 150)
+        x = [words(rng, 1)[0] if rng.random() < 0.13 else t for t in w]
+        f, _ = S.fingerprints_of(pa.array([" ".join(w), " ".join(x)]))
+        if 19 <= S.distance(f[:1, 0], f[:1, 1], f[1:, 0], f[1:, 1])[0] <= 24:
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(x))]
+    got = {r.doc_id: r.keep_id for r in S.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got.get(i) == got.get(i + 1, -1) for i in range(0, 120, 2)) >= 20
+
+
+def test_short_texts_have_the_smaller_radius():
+    f = np.zeros((3, 2), np.uint64)
+    f[1, 0], f[2, 1] = np.uint64((1 << 20) - 1), np.uint64((1 << 18) - 1)  # 20 and 18 bits from the first
+    pairs = lambda r: {(int(a), int(b)) for q, x in S.search_trees(np.zeros(3, np.int64), f[:, 0], f[:, 1], r) for a, b in zip(q, x)}
+    assert pairs(np.array([27, 27, 27])) == {(1, 0), (2, 0)}
+    assert pairs(np.array([27, 18, 27])) == {(2, 0)} and pairs(np.array([18, 27, 27])) == {(2, 0)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]

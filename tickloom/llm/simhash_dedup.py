@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from tickloom.llm.bitmaps import bitmap_of, mark
 from tickloom.llm.shared import P_WORD, columns, map_arrow, materialise, mix, need, prefix_sums, span_hash, word_hashes
 
-RADIUS, TABLES, KEY_BITS = 18, 20, 16
+RADIUS, TABLES, KEY_BITS = 27, 20, 16
+#: Near copies on sf0.1 lie at 4 to 27 bits and unrelated texts from about 31 on; texts of under SHORT_WORDS words reach into the gap, so theirs is the smaller radius.
+SHORT_WORDS, SHORT_RADIUS = 16, 18
 #: Pairs of query and node followed at a time.
 FRONTIER = 1 << 20
 
@@ -76,14 +78,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             part = b.slice(k, 1000)
             f, n = fingerprints_of(part.column(1))
             on = n > 0
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), pa.array(f[on, 0].view(np.int64)), pa.array(f[on, 1].view(np.int64))], ["doc_id", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), pa.array(f[on, 0].view(np.int64)), pa.array(f[on, 1].view(np.int64)), pa.array(n[on] < SHORT_WORDS)], ["doc_id", "f0", "f1", "short"])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, f0, f1) of the documents that have an id and a word."""
+    """(doc_id, f0, f1, short) of the documents that have an id and a word; short: under SHORT_WORDS words."""
     need(docs, text, doc_id)
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return d.transform(map_arrow, _fingerprint_batches, "doc_id long, f0 long, f1 long")
+    return d.transform(map_arrow, _fingerprint_batches, "doc_id long, f0 long, f1 long, short boolean")
 
 
 def distance(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
@@ -118,12 +120,13 @@ def build_trees(tree: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> tuple[np.nd
     return parent, edge, roots
 
 
-def search_trees(tree: np.ndarray, f0: np.ndarray, f1: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of the same tree within the radius: every row is a query; a pair comes once, the later row first."""
+def search_trees(tree: np.ndarray, f0: np.ndarray, f1: np.ndarray, radius: int | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same tree within the radius: every row is a query; a pair comes once, the later row first. Rows may have radii of their own: a pair is within the lesser."""
     parent, edge, roots = build_trees(tree, f0, f1)
     n = len(tree)
     if n == 0:
         return
+    radii = np.broadcast_to(np.asarray(radius, dtype=np.int32), n)
     kids = np.flatnonzero(parent != np.arange(n))
     key = parent[kids] * np.int64(256) + edge[kids]
     order = np.argsort(key, kind="stable")
@@ -133,11 +136,11 @@ def search_trees(tree: np.ndarray, f0: np.ndarray, f1: np.ndarray, radius: int)
     while stack:
         q, at = stack.pop()
         d = distance(f0[q], f1[q], f0[at], f1[at])
-        hit = (d <= radius) & (q > at)
+        hit = (d <= np.minimum(radii[q], radii[at])) & (q > at)
         if hit.any():
             yield q[hit], at[hit]
-        lo = np.searchsorted(key, at * np.int64(256) + np.maximum(d - radius, 0))
-        n_kids = np.searchsorted(key, at * np.int64(256) + np.minimum(d + radius, 255), "right") - lo
+        lo = np.searchsorted(key, at * np.int64(256) + np.maximum(d - radii[q], 0))
+        n_kids = np.searchsorted(key, at * np.int64(256) + np.minimum(d + radii[q], 255), "right") - lo
         cum = np.cumsum(n_kids)
         a = 0
         while a < len(q):
@@ -189,7 +192,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f0, f1 = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2))
         keys = shard_keys(f0, f1)
         take = pa.array(np.repeat(np.arange(b.num_rows), TABLES))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(b.column(k).take(take) for k in range(3))], ["shard", "node", "f0", "f1"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(b.column(k).take(take) for k in range(4))], ["shard", "node", "f0", "f1", "short"])
 
 
 def _edge_batches(radius: int):
@@ -202,10 +205,11 @@ def _edge_batches(radius: int):
             flat = m.flatten()
             node = flat.field(0).to_numpy(zero_copy_only=False)
             f0, f1 = (flat.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2))
+            radii = np.where(flat.field(3).to_numpy(zero_copy_only=False), min(radius, SHORT_RADIUS), radius)
             tree = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((node, tree))
-            tree, node, f0, f1 = tree[order], node[order], f0[order], f1[order]
-            root = least_linked(len(node), search_trees(tree, f0, f1, radius))
+            tree, node, f0, f1, radii = tree[order], node[order], f0[order], f1[order], radii[order]
+            root = least_linked(len(node), search_trees(tree, f0, f1, radii))
             on = root != np.arange(len(root))
             yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[root[on]])], ["a", "b"])
 
@@ -231,11 +235,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def near_copies(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, keep_id, group_size) of each document that has a near or exact copy; keep_id is the least id of its group."""
     f = materialise(fingerprints(docs, text, doc_id), "simhash")
-    nodes = f.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"))
-    shards = nodes.select("node", "f0", "f1").transform(map_arrow, _key_batches, "shard int, node long, f0 long, f1 long")
-    trees = shards.groupBy("shard").agg(F.collect_list(F.struct("node", "f0", "f1")).alias("members")).where("size(members) > 1")
+    nodes = f.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.bool_and("short").alias("short"))
+    shards = nodes.select("node", "f0", "f1", "short").transform(map_arrow, _key_batches, "shard int, node long, f0 long, f1 long, short boolean")
+    trees = shards.groupBy("shard").agg(F.collect_list(F.struct("node", "f0", "f1", "short")).alias("members")).where("size(members) > 1")
     root = components(trees.select("members").transform(map_arrow, _edge_batches(radius), "a long, b long"))
-    named = f.join(nodes, ["f0", "f1"]).select("doc_id", "node").distinct().join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keep_id"))
+    named = f.join(nodes.drop("short"), ["f0", "f1"]).select("doc_id", "node").distinct().join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keep_id"))
     size = named.groupBy("keep_id").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     return named.join(size, "keep_id").select("doc_id", "keep_id", "group_size")
 
