@@ -171,6 +171,26 @@ def test_radius_reaches_the_measured_gap(spark):
     assert sum(got.get(i) == got.get(i + 1, -1) for i in range(0, 120, 2)) >= 20
 
 
+def test_shards_bring_pairs_together_at_every_distance():
+    rng = random.Random(12)
+    met = collections.defaultdict(list)
+    for k in range(3000):
+        w = words(rng, rng.randrange(60, 300))
+        rate = rng.uniform(0.005, 0.16)
+        x = [words(rng, 1)[0] if rng.random() < rate else t for t in w]
+        key, n = S.features_of(pa.array([" ".join(w), " ".join(x)]))
+        f, keys = S.signs(key, 2), S.shard_keys(key, 2)
+        met[int(S.distance(f[:1, 0], f[:1, 1], f[1:, 0], f[1:, 1])[0])].append((keys[0] == keys[1]).any())
+    for d in range(6, S.RADIUS + 1):
+        assert len(met[d]) > 20 and np.mean(met[d]) >= 0.9
+
+
+def test_shards_of_texts_of_few_words():
+    key, n = S.features_of(pa.array(["one", "two", "", "one", "one one"]))
+    keys = S.shard_keys(key, 5)
+    assert (keys[0] == keys[3]).all() and not (keys[0] == keys[1]).any() and n.tolist() == [1, 1, 0, 1, 2]
+
+
 def test_short_texts_have_the_smaller_radius():
     f = np.zeros((3, 2), np.uint64)
     f[1, 0], f[2, 1] = np.uint64((1 << 20) - 1), np.uint64((1 << 18) - 1)  # 20 and 18 bits from the first

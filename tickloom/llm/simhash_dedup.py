@@ -2,9 +2,12 @@
 
 A document's fingerprint has the signs of the sums of its distinct words' and word pairs'
 hash bits. Equal fingerprints are one node. Nodes are spread over shards: one for each of TABLES
-seeded samples of KEY_BITS bits and each value of the sampled bits, so that two fingerprints at
-distance d of 128 meet in a table with chance about (1 - d/128)^KEY_BITS, and in one of the tables
-almost surely within the radius. Every shard with two nodes or more becomes a BK-tree,
+seeded choices of PICKS of the document's BINS least hashes (of its features, one permutation in BINS bins,
+empty bins taking the next one's) and each value of these. Two documents that share a part J of their features meet in a
+table with chance J^PICKS. Bits of the fingerprint would do for a small radius only: at 27 of 128, 16 of them agree with
+chance 0.02, as they do for unrelated texts. At 27 bits the features' cosine is about 0.79 and J about 0.65, so 24 tables
+miss fewer than one pair in a thousand at that J; texts whose distance is less than their features say are missed more often.
+Every shard with two nodes or more becomes a BK-tree,
 children keyed by their Hamming distance to the parent, and every node of the shard is a
 query that follows only the edges within the radius of its distance to the parent.
 The shuffle sends a shard's tree to where its queries are. Broadcasting all trees to all
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.bitmaps import bitmap_of, mark
 from tickloom.llm.shared import P_WORD, columns, map_arrow, materialise, mix, need, prefix_sums, span_hash, word_hashes
 
-RADIUS, TABLES, KEY_BITS = 27, 20, 16
+RADIUS, TABLES, PICKS, BINS = 27, 24, 3, 64
 #: Near copies on sf0.1 lie at 4 to 27 bits and unrelated texts from about 31 on; texts of under SHORT_WORDS words reach into the gap, so theirs is the smaller radius.
 SHORT_WORDS, SHORT_RADIUS = 16, 18
 #: Pairs of query and node followed at a time.
@@ -42,20 +45,30 @@ FRONTIER = 1 << 20
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(256, 8).copy().view(np.uint64)[:, 0]
 
 
-def fingerprints_of(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(n x 2 words of 64 bits, number of words) for each text; 1,024 texts at most."""
+def features_of(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row above 54 bits of the hash of each row's distinct features, sorted; number of words) of 1,024 texts at most."""
     h, n = word_hashes(col)
     rows = np.repeat(np.arange(len(n), dtype=np.uint64), n)
     two = np.flatnonzero(rows[1:] == rows[:-1])
     pair = mix(span_hash(prefix_sums(h, P_WORD), two, two + 2, P_WORD), 2)
     # Distinct features of each row by one sort: the row above 54 bits of the hash.
     key = np.sort(np.concatenate([rows << np.uint64(54) | h >> np.uint64(10), rows[two] << np.uint64(54) | pair >> np.uint64(10)]))
-    out = np.zeros((len(n), 2), dtype=np.uint64)
-    if not len(key):
-        return out, n
     first = np.ones(len(key), dtype=bool)
     first[1:] = key[1:] != key[:-1]
-    key = key[first]
+    return key[first], n
+
+
+def fingerprints_of(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(n x 2 words of 64 bits, number of words) for each text; 1,024 texts at most."""
+    key, n = features_of(col)
+    return signs(key, len(n)), n
+
+
+def signs(key: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprints of n rows from their features."""
+    out = np.zeros((n, 2), dtype=np.uint64)
+    if not len(key):
+        return out
     rows = (key >> np.uint64(54)).astype(np.int64)
     starts = np.flatnonzero(np.diff(rows, prepend=-1))
     size = np.diff(np.append(starts, len(key)))
@@ -69,23 +82,46 @@ def fingerprints_of(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
             sums[:, k] = np.add.reduceat(LANES[hashed[:, k]], chunks)
         total = np.add.reduceat(sums.view(np.uint8).reshape(-1, 64), docs, axis=0, dtype=np.int32)
         out[rows[starts], word] = np.packbits(2 * total > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out, n
+    return out
+
+
+def _picks() -> np.ndarray:
+    rng = np.random.Generator(np.random.PCG64(4711))
+    return np.stack([np.sort(rng.permutation(BINS)[:PICKS]) for _ in range(TABLES)])
+
+
+def shard_keys(key: np.ndarray, n: int) -> np.ndarray:
+    """n x TABLES shard numbers from the rows' features: a hash of the table and of its PICKS least hashes."""
+    none = np.uint64((1 << 64) - 1)
+    x = mix(key << np.uint64(10), 77)
+    least = np.full(n * BINS, none, dtype=np.uint64)
+    np.minimum.at(least, (key >> np.uint64(54)).astype(np.int64) * BINS + (x >> np.uint64(58)).astype(np.int64), x)
+    least = least.reshape(n, BINS)
+    at = np.where(np.hstack([least, least]) != none, np.arange(2 * BINS), 2 * BINS)
+    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS] % BINS
+    least = np.take_along_axis(least, at, axis=1)
+    out = np.tile(np.arange(TABLES, dtype=np.uint64), (n, 1))
+    for k in _picks().T:
+        out = mix(out ^ least[:, k], 78)
+    return out
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, max(1, b.num_rows), 1000):
             part = b.slice(k, 1000)
-            f, n = fingerprints_of(part.column(1))
-            on = n > 0
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), pa.array(f[on, 0].view(np.int64)), pa.array(f[on, 1].view(np.int64)), pa.array(n[on] < SHORT_WORDS)], ["doc_id", "f0", "f1", "short"])
+            key, n = features_of(part.column(1))
+            f, on = signs(key, len(n)), n > 0
+            keys = shard_keys(key, len(n))[on].view(np.int64)
+            keys = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * TABLES, pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), pa.array(f[on, 0].view(np.int64)), pa.array(f[on, 1].view(np.int64)), pa.array(n[on] < SHORT_WORDS), keys], ["doc_id", "f0", "f1", "short", "shards"])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, f0, f1, short) of the documents that have an id and a word; short: under SHORT_WORDS words."""
+    """(doc_id, f0, f1, short, shards) of the documents that have an id and a word; short: under SHORT_WORDS words."""
     need(docs, text, doc_id)
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return d.transform(map_arrow, _fingerprint_batches, "doc_id long, f0 long, f1 long, short boolean")
+    return d.transform(map_arrow, _fingerprint_batches, "doc_id long, f0 long, f1 long, short boolean, shards array<long>")
 
 
 def distance(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
@@ -171,30 +207,6 @@ def least_linked(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.n
     return root
 
 
-def _key_masks() -> list[np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64(4711))
-    return [np.sort(rng.permutation(128)[:KEY_BITS]) for _ in range(TABLES)]
-
-
-def shard_keys(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
-    """n x TABLES shard numbers: the table's number above its sampled bits."""
-    out = np.zeros((len(f0), TABLES), dtype=np.int32)
-    for t, bits in enumerate(_key_masks()):
-        v = np.full(len(f0), t, dtype=np.int32)
-        for b in bits:
-            v = (v << 1) | ((f0 if b < 64 else f1) >> np.uint64(b % 64) & np.uint64(1)).astype(np.int32)
-        out[:, t] = v
-    return out
-
-
-def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        f0, f1 = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2))
-        keys = shard_keys(f0, f1)
-        take = pa.array(np.repeat(np.arange(b.num_rows), TABLES))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(b.column(k).take(take) for k in range(4))], ["shard", "node", "f0", "f1", "short"])
-
-
 def _edge_batches(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,11 +247,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def near_copies(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, keep_id, group_size) of each document that has a near or exact copy; keep_id is the least id of its group."""
     f = materialise(fingerprints(docs, text, doc_id), "simhash")
-    nodes = f.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.bool_and("short").alias("short"))
-    shards = nodes.select("node", "f0", "f1", "short").transform(map_arrow, _key_batches, "shard int, node long, f0 long, f1 long, short boolean")
+    nodes = f.groupBy("f0", "f1").agg(F.min(F.struct("doc_id", "short", "shards")).alias("x")).select("f0", "f1", F.col("x.doc_id").alias("node"), "x.short", "x.shards")
+    shards = nodes.select(F.explode("shards").alias("shard"), "node", "f0", "f1", "short")
     trees = shards.groupBy("shard").agg(F.collect_list(F.struct("node", "f0", "f1", "short")).alias("members")).where("size(members) > 1")
     root = components(trees.select("members").transform(map_arrow, _edge_batches(radius), "a long, b long"))
-    named = f.join(nodes.drop("short"), ["f0", "f1"]).select("doc_id", "node").distinct().join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keep_id"))
+    named = f.join(nodes.select("f0", "f1", "node"), ["f0", "f1"]).select("doc_id", "node").distinct().join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keep_id"))
     size = named.groupBy("keep_id").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     return named.join(size, "keep_id").select("doc_id", "keep_id", "group_size")
 
