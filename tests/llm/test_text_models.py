@@ -132,6 +132,14 @@ def test_lm_scores_match_sql(spark, messy, empty):
     assert A.lm_scores(empty).isEmpty()
 
 
+def test_lm_keeps_by_a_fixed_count_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(A, "CHUNK", 7)
+    docs = spark.range(80).selectExpr("id as doc_id", "concat(repeat('word ', 100000), if(id < 3, 'rare pair here', '')) as text")  # 8 million words
+    m = A.train(docs)
+    assert (len(m["words"]), len(m["pairs"]), len(m["triples"])) == (4, 4, 4)
+    assert m["c1"].sum() == 80 * 100_000 + 9
+
+
 @pytest.mark.parametrize("mask_bits,most", [(7, 16384), (2, 12), (0, 7)])
 def test_bpe_equals_encoding_whole_texts(spark, mask_bits, most):
     rng = random.Random(9)

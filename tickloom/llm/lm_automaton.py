@@ -1,11 +1,14 @@
 """Language-model scoring by a weighted backoff automaton over words.
 
 Counting. Words, pairs and triples are counted over all documents. Kept are those with a
-count of at least max(MIN_COUNT, MIN_RATE x all words): a rate, so the model has at most 1 / MIN_RATE
-entries of each order however large the corpus, and may be broadcast. An entry can't be more frequent
+count of MIN_COUNT or more, at every size, so the model grows with the corpus. An entry can't be more frequent
 than its parts, so pairs are counted of kept words only, and triples of kept pairs only, without losing one.
 Each partition sums its own counts before the shuffle.
 
+The model is sorted arrays in files of the folder that all executors share, written in chunks and mapped by the
+workers: neither the driver nor a worker holds it, pages that are asked for are read, and the workers of a machine share
+them. The folder must be one that is mounted (file:).
+
 Smoothing. Absolute discounting with backoff: for a kept h w, P(w | h) = (c(h w) - D) / c(h), else
 bow(h) P(w | h'), where h' drops the first word of h. Words have P = (c + 1) / (N + V + 1); all others
 together are one word <unk>.
@@ -22,18 +25,34 @@ scored each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import map_arrow, need, word_hashes
+from tickloom.llm.shared import map_arrow, materialise, need, shared_dir, word_hashes
 
-MIN_COUNT, MIN_RATE, DISCOUNT = 3, 5e-7, 0.5
+MIN_COUNT, DISCOUNT = 3, 0.5
+#: The oracle's alone, and without effect up to 6 million words: there it counts as the model does.
+MIN_RATE = 5e-7
 #: Counts of so many n-grams are summed in a partition before they are handed on.
 FLUSH = 4 << 20
+#: Entries of the model written at a time.
+CHUNK = 1 << 20
+FLOATS = ("p1", "p", "bow", "unk")
+
+
+def mapped(folder: str, name: str) -> np.ndarray:
+    """An array of the model, mapped from its file."""
+    path = f"{folder}/{name}"
+    if not os.path.getsize(path):
+        return np.zeros(0, np.float64 if name in FLOATS else np.int64)
+    return np.asarray(np.memmap(path, np.float64 if name in FLOATS else np.int64, "r"))
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -60,11 +79,10 @@ def ngrams(col, model: dict, order: int) -> np.ndarray:
     return (p[:-1] << 32 | w[2:])[ok] if len(w) > 2 else np.zeros(0, np.int64)
 
 
-def _count(docs: DataFrame, model: dict, order: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
+def _count(docs: DataFrame, folder: str, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        model = {name: mapped(folder, name) for name in ("words", "pairs")[: order - 1]}
 
         def flush():
             k = np.sort(np.concatenate(held))
@@ -73,7 +91,7 @@ def _count(docs: DataFrame, model: dict, order: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(n.astype(np.int64))], ["k", "n"])
 
         for b in batches:
-            held.append(ngrams(b.column(0), shared.value, order))
+            held.append(ngrams(b.column(0), model, order))
             size += len(held[-1])
             if size > FLUSH:
                 yield flush()
@@ -84,55 +102,97 @@ def _count(docs: DataFrame, model: dict, order: int) -> DataFrame:
     return docs.transform(map_arrow, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def _kept(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    t = counts.where(F.col("n") >= least).toArrow()
-    k, n = t.column("k").to_numpy(), t.column("n").to_numpy()
-    o = np.argsort(k)
-    return k[o], n[o]
+def _keep(counts: DataFrame, least: int, folder: str, keys: str, numbers: str) -> None:
+    """The n-grams of that count or more into two files, by key."""
+    t = materialise(materialise(counts.where(F.col("n") >= least), "lm-kept").orderBy("k"), "lm-sorted")
+    with open(f"{folder}/{keys}", "wb") as k, open(f"{folder}/{numbers}", "wb") as n:
+        for path in sorted(t.inputFiles()):  # in the order of their keys
+            for b in ds.dataset(path.removeprefix("file://")).to_batches(columns=["k", "n"], batch_size=CHUNK):
+                b.column(0).to_numpy(zero_copy_only=False).tofile(k)
+                b.column(1).to_numpy(zero_copy_only=False).tofile(n)
+
+
+class _Sums:
+    """Sums of each context's probabilities and of those one order lower, in files; contexts come in order."""
 
+    def __init__(self, folder: str, name: str, n: int):
+        self.n, self.of = n, [np.memmap(f"{folder}/{name}{k}", np.float64, "w+", shape=max(1, n)) for k in (0, 1)]
 
-def train(docs: DataFrame, min_count: int = MIN_COUNT, min_rate: float = MIN_RATE, discount: float = DISCOUNT) -> dict[str, np.ndarray]:
-    """The automaton's arrays, counted over all documents."""
+    def add(self, h: np.ndarray, *weights: np.ndarray) -> None:
+        for out, w in zip(self.of, weights):
+            out[h[0] : h[-1] + 1] += np.bincount(h - h[0], weights=w)
+
+    def bow(self, file) -> None:
+        for a in range(0, self.n, CHUNK):
+            p, low = (np.maximum(1 - x[a : min(self.n, a + CHUNK)], 1e-12) for x in self.of)
+            np.asarray(np.log(p / low)).tofile(file)
+
+
+def train(docs: DataFrame, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> dict:
+    """The automaton's arrays, counted over all documents, mapped from the files in m["folder"]."""
     need(docs, "text")
+    shared = shared_dir(docs.sparkSession)
+    if not shared.startswith(("file:", "/")):
+        raise ValueError(f"spark.checkpoint.dir must be mounted (file:), not {shared}")
+    folder = f"{shared.removeprefix('file:').replace('//', '/').rstrip('/')}/tickloom/lm-{uuid.uuid4().hex}"
+    os.makedirs(folder)
     d = docs.select("text").where("text is not null")
-    words = _count(d, {}, 1).persist()
+    words = _count(d, folder, 1).persist()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(min_count, min_rate * total)
-    m: dict = {}
-    m["words"], c1 = _kept(words, least)
+    _keep(words, min_count, folder, "words", "c1")
     words.unpersist()
-    m["pairs"], c2 = _kept(_count(d, m, 2), least)
-    m["triples"], c3 = _kept(_count(d, m, 3), least)
-    v = len(m["words"])
-    m["p1"] = np.log((c1 + 1) / (total + v + 1))
-    m["unk"] = float(np.log((total - c1.sum() + 1) / (total + v + 1)))
-    a, b = m["pairs"] >> 32, m["pairs"] & 0xFFFFFFFF
-    p2 = (c2 - discount) / c1[a]
-    left = lambda h, p, low, n: np.log(np.maximum(1 - np.bincount(h, weights=p, minlength=n), 1e-12) / np.maximum(1 - np.bincount(h, weights=low, minlength=n), 1e-12))
-    m["bow1"] = left(a, p2, np.exp(m["p1"][b]), v)
-    h, w = m["triples"] >> 32, m["triples"] & 0xFFFFFFFF
-    p3 = (c3 - discount) / c2[h]
-    low = find(m["pairs"], b[h] << 32 | w)  # a kept triple's pairs are kept
-    m["bow2"] = left(h, p3, p2[low], len(c2))
-    m["p2"], m["p3"], m["to3"] = np.log(p2), np.log(p3), low
-    m["last"] = b
-    return m
+    _keep(_count(d, folder, 2), min_count, folder, "pairs", "c2")
+    _keep(_count(d, folder, 3), min_count, folder, "triples", "c3")
+    m = {name: mapped(folder, name) for name in ("words", "c1", "pairs", "c2", "triples", "c3")}
+    v, n2, n3 = (len(m[k]) for k in ("words", "pairs", "triples"))
+    c1, c2, pairs = m["c1"], m["c2"], m["pairs"]
+    each = lambda n: ((a, min(n, a + CHUNK)) for a in range(0, n, CHUNK))
+    p1 = lambda w: (c1[w] + 1) / (total + v + 1)
+    p2 = lambda k: (c2[k] - discount) / c1[pairs[k] >> 32]
+    with open(f"{folder}/p1", "wb") as f:
+        for a, b in each(v):
+            np.log(p1(slice(a, b))).tofile(f)
+    np.array([np.log((total - int(c1.sum()) + 1) / (total + v + 1))]).tofile(f"{folder}/unk")
+    one, two = _Sums(folder, "sum1-", v), _Sums(folder, "sum2-", n2)
+    # States of pairs are numbered after those of words, so the arcs of pairs and then of triples are in the order of their keys.
+    with open(f"{folder}/key", "wb") as key, open(f"{folder}/to", "wb") as to, open(f"{folder}/p", "wb") as p, open(f"{folder}/fail", "wb") as fail, open(f"{folder}/bow", "wb") as bow:
+        np.zeros(1, np.int64).tofile(fail)
+        for a, b in each(v):
+            np.zeros(b - a, np.int64).tofile(fail)
+        for a, b in each(n2):
+            h, w, q = pairs[a:b] >> 32, pairs[a:b] & 0xFFFFFFFF, p2(slice(a, b))
+            one.add(h, q, p1(w))
+            (h + 1 << 32 | w).tofile(key)
+            np.arange(a + 1 + v, b + 1 + v).tofile(to)
+            np.log(q).tofile(p)
+            (w + 1).tofile(fail)
+        for a, b in each(n3):
+            h, w = m["triples"][a:b] >> 32, m["triples"][a:b] & 0xFFFFFFFF
+            q = (m["c3"][a:b] - discount) / c2[h]
+            low = find(pairs, (pairs[h] & 0xFFFFFFFF) << 32 | w)  # a kept triple's pairs are kept
+            two.add(h, q, p2(low))
+            (h + 1 + v << 32 | w).tofile(key)
+            (low + 1 + v).tofile(to)
+            np.log(q).tofile(p)
+        np.zeros(1).tofile(bow)
+        one.bow(bow)
+        two.bow(bow)
+    del one, two
+    for name in ("sum1-0", "sum1-1", "sum2-0", "sum2-1"):
+        os.remove(f"{folder}/{name}")
+    return m | {"folder": folder}
 
 
 class Automaton:
-    """States: 0 is the empty context, 1 .. V are words, V + 1 .. are pairs."""
-
-    def __init__(self, m: dict[str, np.ndarray]):
-        self.words, v, self.unk = m["words"], len(m["words"]), m["unk"]
-        self.bow = np.concatenate([[0.0], m["bow1"], m["bow2"]])
-        #: The failure arc of a pair leads to its last word; of a word, to the empty context.
-        self.fail = np.concatenate([[0], np.zeros(v, np.int64), m["last"] + 1])
-        #: Arcs by (state, word): of word states to pairs, of pair states to the pair of their last two words.
-        key = np.concatenate([(m["pairs"] >> 32) + 1 << 32 | m["pairs"] & 0xFFFFFFFF, (m["triples"] >> 32) + 1 + v << 32 | m["triples"] & 0xFFFFFFFF])
-        to = np.concatenate([np.arange(len(m["pairs"])) + 1 + v, m["to3"] + 1 + v])
-        p = np.concatenate([m["p2"], m["p3"]])
-        o = np.argsort(key)
-        self.key, self.to, self.p, self.p1 = key[o], to[o], p[o], m["p1"]
+    """States: 0 is the empty context, 1 .. V are words, V + 1 .. are pairs.
+
+    The failure arc of a pair leads to its last word; of a word, to the empty context. Arcs by (state, word): of word
+    states to pairs, of pair states to the pair of their last two words.
+    """
+
+    def __init__(self, m: dict):
+        self.words, self.p1, self.key, self.to, self.p, self.bow, self.fail = (mapped(m["folder"], k) for k in ("words", "p1", "key", "to", "p", "bow", "fail"))
+        self.unk = float(mapped(m["folder"], "unk")[0])
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states and the log-probabilities; word -1 is <unk>."""
@@ -174,11 +234,12 @@ def lm_scores(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, n_words, logprob, mean_logprob) of every row."""
     need(docs, "doc_id", "text")
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    shared = d.sparkSession.sparkContext.broadcast(Automaton(train(d, **kw)))
+    folder = train(d, **kw)["folder"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton({"folder": folder})
         for b in batches:
-            n, total = shared.value.score(b.column(1))
+            n, total = automaton.score(b.column(1))
             none = n == 0
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n.astype(np.int64)), pa.array(np.round(total, 4), mask=none), pa.array(np.round(total / np.maximum(n, 1), 6), mask=none)], ["doc_id", "n_words", "logprob", "mean_logprob"]
