@@ -32,6 +32,12 @@ def test_exact_copies(spark, messy, empty):
     assert exact_copies(empty).isEmpty()
 
 
+def test_exact_copies_whatever_the_length_column_says(spark):
+    df = spark.createDataFrame([(1, "grün", 4), (2, "grün", 5), (3, "grün", None), (4, "blau", 4)], "doc_id long, text string, n_chars long")
+    assert sorted(map(tuple, exact_copies(df).collect())) == [(1, 1, 3), (2, 1, 3), (3, 1, 3)]
+    assert sorted(r.doc_id for r in exact_dedup(df).collect()) == [1, 4]
+
+
 def test_exact_dedup_keeps_one_of_each(messy, empty):
     out = exact_dedup(messy)
     assert out.columns == messy.columns

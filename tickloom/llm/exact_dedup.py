@@ -1,13 +1,13 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
 Each level passes to the next only the keys that occur twice or more, as a bitmap of
-fixed size (see `bitmaps`). Level 1 reads the length column alone. Level 2 hashes a
+fixed size (see `bitmaps`). Level 1 measures the texts; a length column may be stale or in bytes, so none is read. Level 2 hashes a
 prefix of the texts whose length recurs. Level 3 hashes the full text of those whose
 length and prefix recur, and decides exactly by length and SHA-256. No text is
 shuffled to find the copies; false positives of a bitmap cost a hash and change nothing.
 
 Defined cases: a null text is no copy of anything; empty texts are copies of each other;
-a null length is taken from the text; rows without an id count as copies and stand last
+rows without an id count as copies and stand last
 when one is kept; rows repeated in full are copies. Other columns pass through, whatever
 their names (those starting with "_xd_" or "__tl_" excepted).
 """
@@ -23,17 +23,15 @@ from tickloom.llm.shared import columns, need
 PREFIX = 256
 
 
-def _length(text: str, length: str) -> Column:
-    return F.coalesce(F.col(length).cast("bigint"), F.char_length(text).cast("bigint"))
+def _length(text: str) -> Column:
+    return F.char_length(text).cast("bigint")
 
 
-def _marked(docs: DataFrame, text: str, length: str, prefix: int) -> DataFrame:
+def _marked(docs: DataFrame, text: str, prefix: int) -> DataFrame:
     """All rows with _xd_len and _xd_live: whether length and prefix (may) recur."""
-    need(docs, text, length)
-    known = docs.where(F.col(length).isNotNull()).select(F.col(length).cast("bigint").alias("n"))
-    unknown = docs.where(F.col(length).isNull()).select(F.char_length(text).cast("bigint").alias("n"))
-    lengths = known.unionAll(unknown).groupBy("n").count().where("count > 1")
-    d = mark(docs.withColumn("_xd_len", _length(text, length)), [F.col("_xd_len")], bitmap_of(lengths, [F.col("n")], 22), "_xd_1", 22)
+    need(docs, text)
+    lengths = docs.where(F.col(text).isNotNull()).select(_length(text).alias("n")).groupBy("n").count().where("count > 1")
+    d = mark(docs.withColumn("_xd_len", _length(text)), [F.col("_xd_len")], bitmap_of(lengths, [F.col("n")], 22), "_xd_1", 22)
     key = F.when(F.col("_xd_1"), F.xxhash64("_xd_len", F.substring(text, 1, prefix)))
     d = d.withColumn("_xd_key", F.when(F.col(text).isNotNull(), key))
     twice = d.where(F.col("_xd_key").isNotNull()).groupBy("_xd_key").count().where("count > 1")
@@ -41,12 +39,12 @@ def _marked(docs: DataFrame, text: str, length: str, prefix: int) -> DataFrame:
     return d.withColumn("_xd_live", F.col("_xd_key").isNotNull() & F.col("_xd_2")).drop("_xd_1", "_xd_2", "_xd_key")
 
 
-def exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: str = "n_chars", prefix: int = PREFIX) -> DataFrame:
+def exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix: int = PREFIX) -> DataFrame:
     """(doc_id, keep_id, n_copies) of every document whose text occurs twice or more; keep_id is the least id of the group."""
     need(docs, doc_id)
     w = Window.partitionBy("_xd_len", "_xd_sha")
     return (
-        _marked(docs.select(doc_id, text, length), text, length, prefix)
+        _marked(docs.select(doc_id, text), text, prefix)
         .where("_xd_live")
         .select(F.col(doc_id).alias("doc_id"), "_xd_len", F.unhex(F.sha2(text, 256)).alias("_xd_sha"))
         .withColumn("keep_id", F.min("doc_id").over(w))
@@ -56,10 +54,10 @@ def exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     )
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: str = "n_chars", prefix: int = PREFIX) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix: int = PREFIX) -> DataFrame:
     """The documents with one of each group of equal texts: that of the least id. Only rows of recurring length and prefix are shuffled."""
     need(docs, doc_id)
-    d = _marked(docs, text, length, prefix)
+    d = _marked(docs, text, prefix)
     w = Window.partitionBy("_xd_len", "_xd_sha").orderBy(F.col(doc_id).asc_nulls_last())
     first = d.where("_xd_live").withColumn("_xd_sha", F.unhex(F.sha2(text, 256))).withColumn("_xd_n", F.row_number().over(w)).where("_xd_n = 1")
     return d.where("not _xd_live").select(*columns(docs)).unionAll(first.select(*columns(docs)))
