@@ -107,17 +107,56 @@ def test_language_defined_cases(messy, empty):
     assert all(r.predicted is None and r.ambiguous for r in L.language_id(none).collect())
 
 
-def test_lm_probabilities_sum_to_one(spark):
+def local_automaton(texts, least):
+    """The whole corpus as one part, asked and answered without Spark."""
+    own, through = A.Part(pa.array(texts)), lambda rows: A.merge(A.slices(rows), least)
+    pairs = A.hear(through(own.ask_pairs(0, 0)), 1)
+    own.kept_triples(pairs[3])
+    triples = A.hear(through(own.ask_triples(0, 0)), 2)
+    n = own.times
+    return own, own.automaton(pairs, triples, {"n": int(n.sum()), "v": int((n >= least).sum()), "s": int(n[n >= least].sum())}, least, A.DISCOUNT)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_lm_probabilities_sum_to_one(least):
     rng = random.Random(8)
     vocab = words(rng, 12)
-    rows = [(i, " ".join(rng.choices(vocab, k=40))) for i in range(60)]
-    m = A.train(spark.createDataFrame(rows, "doc_id long, text string"), min_count=3)
-    a = A.Automaton(m)
-    v = len(m["words"])
+    _, a = local_automaton([" ".join(rng.choices(vocab, k=40)) + f" once{i}" for i in range(60)], least)
+    v = len(a.p1)
     for state in range(0, len(a.bow), 7):
         p = a.step(np.full(v + 1, state), np.arange(-1, v))[1]
         assert abs(np.exp(p).sum() - 1) < 1e-6
-    assert len(m["pairs"]) and len(m["triples"])
+    assert len(a.bow) > v + 1 and len(a.key) > len(a.bow)
+
+
+def test_lm_scores_are_those_of_a_literal_traversal():
+    rng = random.Random(15)
+    vocab = words(rng, 15)
+    own, a = local_automaton([" ".join(rng.choices(vocab, k=rng.randrange(30))) + f" once{i}" * (i % 3) for i in range(50)] + ["", None, "once1"], 2)
+    at, want = 0, []
+    for n in own.n:
+        state, total = np.zeros(1, np.int64), 0.0
+        for t in range(at, at + n):
+            state, p = a.step(state, a.number[own.at[t : t + 1]])
+            total += p[0]
+        at += n
+        want.append(total)
+    assert np.allclose(a.score(own), want, atol=1e-9)
+
+
+def test_lm_counts_survive_packing():
+    for x in ([], [0], [254, 255, 256, 10**12], [255] * 40, list(range(600))):
+        b = A.pack(np.array(x, dtype=np.int64))
+        assert A.count(b) == len(x) and A.unpack(b, len(x)).tolist() == x
+
+
+def test_lm_parts_and_buckets_change_nothing(spark, messy):
+    rng = random.Random(13)
+    vocab = words(rng, 40)
+    df = spark.createDataFrame([(i, " ".join(rng.choices(vocab, k=rng.randrange(60)))) for i in range(80)], "doc_id long, text string")
+    key = lambda d: sorted(d.collect())
+    want = key(A.lm_scores(df))
+    assert key(A.lm_scores(df, part=2000, bucket=100)) == want and len(want) == 80
 
 
 def test_lm_scores_match_sql(spark, messy, empty):
@@ -132,12 +171,13 @@ def test_lm_scores_match_sql(spark, messy, empty):
     assert A.lm_scores(empty).isEmpty()
 
 
-def test_lm_keeps_by_a_fixed_count_at_every_size(spark, monkeypatch):
-    monkeypatch.setattr(A, "CHUNK", 7)
-    docs = spark.range(80).selectExpr("id as doc_id", "concat(repeat('word ', 100000), if(id < 3, 'rare pair here', '')) as text")  # 8 million words
-    m = A.train(docs)
-    assert (len(m["words"]), len(m["pairs"]), len(m["triples"])) == (4, 4, 4)
-    assert m["c1"].sum() == 80 * 100_000 + 9
+def test_lm_texts_that_occur_twice_score_apart(spark):
+    rng = random.Random(14)
+    once = [" ".join(words(rng, 120)) for _ in range(40)]
+    rows = list(enumerate(once)) + [(100 + i, t) for i, t in enumerate(once[:10])]
+    rows += [(1000 + i, "word " * 5_000) for i in range(1400)]  # 7 million words: the count that keeps an n-gram is the same
+    got = {r.doc_id: r.mean_logprob for r in A.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i] for i in range(10)) > max(got[i] for i in range(10, 40)) + 1
 
 
 @pytest.mark.parametrize("mask_bits,most", [(7, 16384), (2, 12), (0, 7)])

@@ -1,58 +1,76 @@
 """Language-model scoring by a weighted backoff automaton over words.
 
-Counting. Words, pairs and triples are counted over all documents. Kept are those with a
-count of MIN_COUNT or more, at every size, so the model grows with the corpus. An entry can't be more frequent
-than its parts, so pairs are counted of kept words only, and triples of kept pairs only, without losing one.
-Each partition sums its own counts before the shuffle.
+Counting. Words, pairs and triples are counted over all documents; kept are those with a count of MIN_COUNT or more,
+at every size, so the model grows with the corpus. A triple can't be more frequent than its pairs, so triples are
+counted only where both pairs are kept, without losing one.
 
-The model is sorted arrays in files of the folder that all executors share, written in chunks and mapped by the
-workers: neither the driver nor a worker holds it, pages that are asked for are read, and the workers of a machine share
-them. The folder must be one that is mounted (file:).
+Distribution. Documents are spread over parts by a hash. A part asks for what its own texts need: for each
+context its followers, by hash, sorted and cut by context into buckets. A bucket's task adds up what all
+parts sent and answers each in the order of its question, so an answer has no keys. Two rounds (pairs with their
+words, then triples) give every part the slice of the model that its texts can reach, with corpus-wide counts. Nothing
+is broadcast or brought to the driver but four numbers; a task holds a part or a bucket, whatever the corpus.
 
-Smoothing. Absolute discounting with backoff: for a kept h w, P(w | h) = (c(h w) - D) / c(h), else
-bow(h) P(w | h'), where h' drops the first word of h. Words have P = (c + 1) / (N + V + 1); all others
-together are one word <unk>.
+Smoothing. Interpolated absolute discounting: for a kept h w, P(w | h) = (c(h w) - D) / c(h) + b(h) P(w | h'), else
+b(h) P(w | h'), where h' drops the first word of h and b(h) = 1 - (S - D K) / c(h), with S and K the sum and the
+number of the kept h w. Words have P(w) = (c(w) - D) / N + b / (V + 1); all that aren't kept together are one word <unk>
+of b / (V + 1). Every context's probabilities add up to 1.
 
 Automaton. States are the contexts: the empty one, words, pairs. An arc (state, word) has a log-probability and leads to the
-longest context that is a state; where there is none, the failure arc costs log bow(state) and leads to
-the state without its first word. The documents of a batch are read left to right in step, longest
-first: each carries its state, and adds up its log-probabilities.
+longest context that is a state; where there is none, the failure arc costs log b(state) and leads to
+the state without its first word. Each text is read once from left to right, carrying its state, and adds up its
+log-probabilities; all texts of a part go through the automaton together.
 
 Defined cases: words are runs of ASCII letters, digits and characters beyond ASCII, ASCII letters in lower
 case; null and empty texts and those without a word have 0 words and null scores; rows of equal or null ids are
-scored each; an empty table gives no rows.
+scored each; ids are integers; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import map_arrow, materialise, need, shared_dir, word_hashes
+from tickloom.llm.shared import P_WORD, integer_id, map_arrow, mix, need, word_hashes
 
-MIN_COUNT, DISCOUNT = 3, 0.5
-#: The oracle's alone, and without effect up to 6 million words: there it counts as the model does.
-MIN_RATE = 5e-7
-#: Counts of so many n-grams are summed in a partition before they are handed on.
+MIN_COUNT, DISCOUNT = 2, 0.5
+#: Bytes of text in a part (parts grow with the square root of the corpus beyond FEW of them); n-grams in a bucket; most buckets.
+PART, FEW, BUCKET, MOST_BUCKETS = 8 << 20, 4096, 1 << 20, 1 << 16
+#: Counts of so many words are summed in a partition before they are handed on.
 FLUSH = 4 << 20
-#: Entries of the model written at a time.
-CHUNK = 1 << 20
-FLOATS = ("p1", "p", "bow", "unk")
+FIELDS = ("x1", "x2", "x3", "x4", "x5")
+SLICE = "level int, bucket int, slot int, part int, " + ", ".join(f"{x} binary" for x in FIELDS)
 
 
-def mapped(folder: str, name: str) -> np.ndarray:
-    """An array of the model, mapped from its file."""
-    path = f"{folder}/{name}"
-    if not os.path.getsize(path):
-        return np.zeros(0, np.float64 if name in FLOATS else np.int64)
-    return np.asarray(np.memmap(path, np.float64 if name in FLOATS else np.int64, "r"))
+def pack(x: np.ndarray) -> bytes:
+    """Counts, mostly small: a byte each, greater ones after them."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.uint64).tobytes()
+
+
+def unpack(b: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(b, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(b, np.uint64, offset=n)
+    return out
+
+
+def count(b: bytes) -> int:
+    """How many counts are packed there: big ones take 9 bytes, others 1."""
+    lo, hi = len(b) // 9, len(b)
+    while lo < hi:
+        m = (lo + hi) // 2
+        if m + 8 * int((np.frombuffer(b, np.uint8, m) == 255).sum()) < len(b):
+            lo = m + 1
+        else:
+            hi = m
+    return lo
+
+
+def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -64,123 +82,125 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def ngrams(col, model: dict, order: int) -> np.ndarray:
-    """Keys of the column's n-grams that may be frequent: a word's hash; else the number of its first n - 1 words above that of the last word."""
-    h, n = word_hashes(col)
-    if order == 1:
-        return h.view(np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    w = find(model["words"], h.view(np.int64))
-    pair = np.where((w[:-1] >= 0) & (w[1:] >= 0) & (row[1:] == row[:-1]), w[:-1] << 32 | w[1:], -1) if len(w) > 1 else np.zeros(0, np.int64)
-    if order == 2:
-        return pair[pair >= 0]
-    p = find(model["pairs"], pair)
-    ok = (p[:-1] >= 0) & (p[1:] >= 0)
-    return (p[:-1] << 32 | w[2:])[ok] if len(w) > 2 else np.zeros(0, np.int64)
-
-
-def _count(docs: DataFrame, folder: str, order: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        model = {name: mapped(folder, name) for name in ("words", "pairs")[: order - 1]}
-
-        def flush():
-            k = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(k)))
-            return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(n.astype(np.int64))], ["k", "n"])
-
-        for b in batches:
-            held.append(ngrams(b.column(0), model, order))
-            size += len(held[-1])
-            if size > FLUSH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    return docs.transform(map_arrow, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-
-
-def _keep(counts: DataFrame, least: int, folder: str, keys: str, numbers: str) -> None:
-    """The n-grams of that count or more into two files, by key."""
-    t = materialise(materialise(counts.where(F.col("n") >= least), "lm-kept").orderBy("k"), "lm-sorted")
-    with open(f"{folder}/{keys}", "wb") as k, open(f"{folder}/{numbers}", "wb") as n:
-        for path in sorted(t.inputFiles()):  # in the order of their keys
-            for b in ds.dataset(path.removeprefix("file://")).to_batches(columns=["k", "n"], batch_size=CHUNK):
-                b.column(0).to_numpy(zero_copy_only=False).tofile(k)
-                b.column(1).to_numpy(zero_copy_only=False).tofile(n)
-
-
-class _Sums:
-    """Sums of each context's probabilities and of those one order lower, in files; contexts come in order."""
-
-    def __init__(self, folder: str, name: str, n: int):
-        self.n, self.of = n, [np.memmap(f"{folder}/{name}{k}", np.float64, "w+", shape=max(1, n)) for k in (0, 1)]
-
-    def add(self, h: np.ndarray, *weights: np.ndarray) -> None:
-        for out, w in zip(self.of, weights):
-            out[h[0] : h[-1] + 1] += np.bincount(h - h[0], weights=w)
-
-    def bow(self, file) -> None:
-        for a in range(0, self.n, CHUNK):
-            p, low = (np.maximum(1 - x[a : min(self.n, a + CHUNK)], 1e-12) for x in self.of)
-            np.asarray(np.log(p / low)).tofile(file)
-
-
-def train(docs: DataFrame, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> dict:
-    """The automaton's arrays, counted over all documents, mapped from the files in m["folder"]."""
-    need(docs, "text")
-    shared = shared_dir(docs.sparkSession)
-    if not shared.startswith(("file:", "/")):
-        raise ValueError(f"spark.checkpoint.dir must be mounted (file:), not {shared}")
-    folder = f"{shared.removeprefix('file:').replace('//', '/').rstrip('/')}/tickloom/lm-{uuid.uuid4().hex}"
-    os.makedirs(folder)
-    d = docs.select("text").where("text is not null")
-    words = _count(d, folder, 1).persist()
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    _keep(words, min_count, folder, "words", "c1")
-    words.unpersist()
-    _keep(_count(d, folder, 2), min_count, folder, "pairs", "c2")
-    _keep(_count(d, folder, 3), min_count, folder, "triples", "c3")
-    m = {name: mapped(folder, name) for name in ("words", "c1", "pairs", "c2", "triples", "c3")}
-    v, n2, n3 = (len(m[k]) for k in ("words", "pairs", "triples"))
-    c1, c2, pairs = m["c1"], m["c2"], m["pairs"]
-    each = lambda n: ((a, min(n, a + CHUNK)) for a in range(0, n, CHUNK))
-    p1 = lambda w: (c1[w] + 1) / (total + v + 1)
-    p2 = lambda k: (c2[k] - discount) / c1[pairs[k] >> 32]
-    with open(f"{folder}/p1", "wb") as f:
-        for a, b in each(v):
-            np.log(p1(slice(a, b))).tofile(f)
-    np.array([np.log((total - int(c1.sum()) + 1) / (total + v + 1))]).tofile(f"{folder}/unk")
-    one, two = _Sums(folder, "sum1-", v), _Sums(folder, "sum2-", n2)
-    # States of pairs are numbered after those of words, so the arcs of pairs and then of triples are in the order of their keys.
-    with open(f"{folder}/key", "wb") as key, open(f"{folder}/to", "wb") as to, open(f"{folder}/p", "wb") as p, open(f"{folder}/fail", "wb") as fail, open(f"{folder}/bow", "wb") as bow:
-        np.zeros(1, np.int64).tofile(fail)
-        for a, b in each(v):
-            np.zeros(b - a, np.int64).tofile(fail)
-        for a, b in each(n2):
-            h, w, q = pairs[a:b] >> 32, pairs[a:b] & 0xFFFFFFFF, p2(slice(a, b))
-            one.add(h, q, p1(w))
-            (h + 1 << 32 | w).tofile(key)
-            np.arange(a + 1 + v, b + 1 + v).tofile(to)
-            np.log(q).tofile(p)
-            (w + 1).tofile(fail)
-        for a, b in each(n3):
-            h, w = m["triples"][a:b] >> 32, m["triples"][a:b] & 0xFFFFFFFF
-            q = (m["c3"][a:b] - discount) / c2[h]
-            low = find(pairs, (pairs[h] & 0xFFFFFFFF) << 32 | w)  # a kept triple's pairs are kept
-            two.add(h, q, p2(low))
-            (h + 1 + v << 32 | w).tofile(key)
-            (low + 1 + v).tofile(to)
-            np.log(q).tofile(p)
-        np.zeros(1).tofile(bow)
-        one.bow(bow)
-        two.bow(bow)
-    del one, two
-    for name in ("sum1-0", "sum1-1", "sum2-0", "sum2-1"):
-        os.remove(f"{folder}/{name}")
-    return m | {"folder": folder}
+def ask(level: int, part: int, bits: int, context: np.ndarray, times: np.ndarray, followers: np.ndarray, word: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """Rows of a part's questions: sorted context hashes with their counts, the number of followers of each, the followers' word hashes and counts."""
+    begin = np.searchsorted(bucket_of(context, bits), np.arange((1 << bits) + 1))
+    at = np.concatenate([[0], np.cumsum(followers)])[begin]
+    rows = []
+    for k in np.flatnonzero(np.diff(begin)):
+        c, f = slice(begin[k], begin[k + 1]), slice(at[k], at[k + 1])
+        w = word[f]
+        six = (w >> np.uint64(32)).astype(np.uint32).tobytes() + (w >> np.uint64(16)).astype(np.uint16).tobytes()
+        rows.append((level, int(k), int(k), part, context[c].tobytes(), pack(times[c]), pack(followers[c]), six, pack(n[f])))
+    return rows
+
+
+def slices(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32()] * 4 + [pa.binary()] * 5
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], ["level", "bucket", "slot", "part", *FIELDS])
+
+
+def merge(t: pa.Table, least: int) -> pa.Table:
+    """A bucket's answers: for each part's contexts their counts in all parts, the number and the sum of kept followers; for each follower its count, 0 if it isn't kept."""
+    if not t.num_rows or t.column("bucket")[0].as_py() < 0:  # answers on their way to their part
+        return t
+    q = t.to_pylist()
+    ctx = [np.frombuffer(r["x1"], np.uint64) for r in q]
+    cc = [unpack(r["x2"], len(c)) for r, c in zip(q, ctx)]
+    nf = [unpack(r["x3"], len(c)) for r, c in zip(q, ctx)]
+    n = [int(x.sum()) for x in nf]
+    word = [np.frombuffer(r["x4"], np.uint32, m).astype(np.uint64) << np.uint64(16) | np.frombuffer(r["x4"], np.uint16, m, 4 * m).astype(np.uint64) for r, m in zip(q, n)]
+    fc = np.concatenate([unpack(r["x5"], m) for r, m in zip(q, n)])
+    all_ctx, inv = np.unique(np.concatenate(ctx), return_inverse=True)
+    total = np.zeros(len(all_ctx), np.int64)
+    np.add.at(total, inv, np.concatenate(cc))
+    of = np.repeat(inv, np.concatenate(nf))
+    key = mix(all_ctx[of] * np.uint64(P_WORD) + np.concatenate(word), 21)
+    order = np.argsort(key)
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[order[1:]] != key[order[:-1]]
+    begin = np.flatnonzero(first)
+    sums = np.add.reduceat(fc[order], begin) if len(begin) else np.zeros(0, np.int64)
+    kept = sums >= least
+    owner = of[order[begin]][kept]
+    k = np.bincount(owner, minlength=len(all_ctx))
+    s = np.zeros(len(all_ctx), np.int64)
+    np.add.at(s, owner, sums[kept])
+    each = np.zeros(len(key), np.int64)
+    each[order] = np.where(kept, sums, 0)[np.cumsum(first) - 1]
+    rows, a, b = [], 0, 0
+    for r, c, m in zip(q, ctx, n):
+        i = inv[a : a + len(c)]
+        rows.append((r["level"], r["bucket"], r["slot"], r["part"], pack(total[i]), pack(k[i]), pack(s[i]), pack(each[b : b + m]), b""))
+        a, b = a + len(c), b + m
+    return slices(rows)
+
+
+def hear(t: pa.Table, level: int) -> list[np.ndarray]:
+    """A part's answers of a level, in the order of its questions: counts, kept followers, their sum; the followers' counts."""
+    got = sorted((r for r in t.to_pylist() if r["level"] == level), key=lambda r: r["slot"])
+    return [np.concatenate([unpack(r[x], count(r[x])) for r in got] or [np.zeros(0, np.int64)]) for x in FIELDS[:4]]
+
+
+class Part:
+    """The words, pairs and triples of a part's texts."""
+
+    def __init__(self, col):
+        h, self.n = word_hashes(col)
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        self.words, self.at, self.times = np.unique(h, return_inverse=True, return_counts=True)
+        i = np.flatnonzero(self.row[1:] == self.row[:-1])
+        self.pairs, self.pair_at, self.pair_times = np.unique(self.at[i] << 32 | self.at[i + 1], return_inverse=True, return_counts=True)
+        self.pair_of = np.full(len(h), -1)  # of the word at that place and the next one
+        self.pair_of[i] = self.pair_at
+
+    def ask_pairs(self, part: int, bits: int) -> list[tuple]:
+        followers = np.bincount(self.pairs >> 32, minlength=len(self.words))
+        return ask(1, part, bits, self.words, self.times, followers, self.words[self.pairs & 0xFFFFFFFF], self.pair_times)
+
+    def kept_triples(self, pair_total: np.ndarray) -> None:
+        """Contexts (kept pairs that a word follows) by their hash, and triples of two kept pairs."""
+        kept = np.append(pair_total > 0, False)
+        i = np.flatnonzero(kept[self.pair_of[:-1]] & (self.pair_of[1:] >= 0)) if len(self.pair_of) else np.zeros(0, np.int64)
+        of = np.unique(self.pair_of[i])
+        i = i[kept[self.pair_of[i + 1]]]
+        h = mix(self.words[self.pairs[of] >> 32] * np.uint64(P_WORD) + self.words[self.pairs[of] & 0xFFFFFFFF], 22)
+        order = np.argsort(h)
+        self.context, self.context_hash = of[order], h[order]
+        number = np.zeros(len(self.pairs), np.int64)
+        number[self.context] = np.arange(len(of))
+        self.triples, self.triple_times = np.unique(number[self.pair_of[i]] << 32 | self.at[i + 2], return_counts=True)
+
+    def ask_triples(self, part: int, bits: int) -> list[tuple]:
+        followers = np.bincount(self.triples >> 32, minlength=len(self.context))
+        return ask(2, part, bits, self.context_hash, np.ones(len(self.context), np.int64), followers, self.words[self.triples & 0xFFFFFFFF], self.triple_times)
+
+    def automaton(self, pairs: list[np.ndarray], triples: list[np.ndarray], size: dict, least: int, discount: float) -> Automaton:
+        """The slice of the automaton that the part's texts can reach."""
+        total, k1, s1, c2 = pairs
+        _, k2, s2, c3 = triples
+        on = total >= least
+        number = np.where(on, np.cumsum(on) - 1, -1)
+        b0 = 1 - (size["s"] - discount * size["v"]) / max(1, size["n"])
+        unk = b0 / (size["v"] + 1)
+        p1 = np.where(on, (total - discount) / max(1, size["n"]) + unk, unk)
+        b1 = 1 - (s1 - discount * k1) / np.maximum(total, 1)
+        u, w = self.pairs >> 32, self.pairs & 0xFFFFFFFF
+        p2 = (c2 - discount) / np.maximum(total[u], 1) + b1[u] * p1[w]
+        live = c2 > 0
+        state2 = np.where(live, int(on.sum()) + np.cumsum(live), -1)
+        b2 = np.ones(len(self.pairs))
+        b2[self.context] = 1 - (s2 - discount * k2) / np.maximum(c2[self.context], 1)
+        t = np.flatnonzero(c3 > 0)
+        h, w3 = self.context[self.triples[t] >> 32], self.triples[t] & 0xFFFFFFFF
+        low = np.searchsorted(self.pairs, w[h] << 32 | w3)
+        p3 = (c3[t] - discount) / c2[h] + b2[h] * p2[low]
+        key = np.concatenate([number[u[live]] + 1 << 32 | number[w[live]], state2[h] << 32 | number[w3]])
+        to, p = np.concatenate([state2[live], state2[low]]), np.log(np.concatenate([p2[live], p3]))
+        order = np.argsort(key)
+        bow = np.log(np.concatenate([[1.0], b1[on], b2[live]]))
+        fail = np.concatenate([np.zeros(1 + int(on.sum()), np.int64), number[w[live]] + 1])
+        return Automaton(np.log(p1[on]), math.log(unk), key[order], to[order], p[order], bow, fail, number, state2)
 
 
 class Automaton:
@@ -190,9 +210,10 @@ class Automaton:
     states to pairs, of pair states to the pair of their last two words.
     """
 
-    def __init__(self, m: dict):
-        self.words, self.p1, self.key, self.to, self.p, self.bow, self.fail = (mapped(m["folder"], k) for k in ("words", "p1", "key", "to", "p", "bow", "fail"))
-        self.unk = float(mapped(m["folder"], "unk")[0])
+    def __init__(self, p1, unk, key, to, p, bow, fail, number, pair_state):
+        self.p1, self.unk, self.key, self.to, self.p, self.bow, self.fail = p1, unk, key, to, p, bow, fail
+        #: The part's words by their numbers in the model (-1: not kept), and its pairs' states.
+        self.number, self.pair_state = number, pair_state
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states and the log-probabilities; word -1 is <unk>."""
@@ -214,64 +235,114 @@ class Automaton:
             s = self.fail[s]
         return after, logp
 
-    def score(self, col) -> tuple[np.ndarray, np.ndarray]:
-        """Number of words and log-probability of each text."""
-        h, n = word_hashes(col)
-        w = find(self.words, h.view(np.int64))
-        begin = np.cumsum(n) - n
-        order = np.argsort(-n, kind="stable")
-        longest, total = n[order], np.zeros(len(n))
-        live = len(n) - np.searchsorted(longest[::-1], np.arange(1, (longest[0] if len(n) else 0) + 1))
-        state, sums, first = np.zeros(len(n), dtype=np.int64), np.zeros(len(n)), begin[order]
-        for t, k in enumerate(live):  # the k longest texts have a word number t
-            state[:k], p = self.step(state[:k], w[first[:k] + t])
-            sums[:k] += p
-        total[order] = sums
-        return n, total
-
-
-def lm_scores(docs: DataFrame, **kw) -> DataFrame:
-    """(doc_id, n_words, logprob, mean_logprob) of every row."""
-    need(docs, "doc_id", "text")
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    folder = train(d, **kw)["folder"]
+    def score(self, part: Part) -> np.ndarray:
+        """Log-probability of each text.
+
+        The automaton is definite: whatever came before, after two words the state is that of the longest kept suffix of
+        them. So the run of every text is laid out from left to right at once, its states one place ahead of its words, and
+        one step takes the arcs of all places.
+        """
+        w = self.number[part.at]
+        before = np.zeros(len(w), np.int64)
+        if len(w) > 1:
+            pair = np.where(part.pair_of[:-1] >= 0, self.pair_state[part.pair_of[:-1]], -1) if len(self.pair_state) else np.full(len(w) - 1, -1)
+            # The state before word t + 1 is the pair (t - 1, t) where that is a state, else the word t, in one text.
+            word = w[:-1] + 1
+            before[1:] = word
+            before[2:] = np.where(pair[:-1] >= 0, pair[:-1], word[1:])
+            begin = np.cumsum(part.n) - part.n
+            before[begin[part.n > 0]] = 0
+        p = self.step(before, w)[1] if len(w) else np.zeros(0)
+        return np.bincount(part.row, weights=p, minlength=len(part.n))
+
+
+def corpus_size(docs: DataFrame, least: int) -> dict:
+    """Bytes, words (n), kept words (v) and their occurrences (s); words are summed by partition before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton({"folder": folder})
+        held, size = [], 0
+
+        def flush():
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["k", "n"])
+
         for b in batches:
-            n, total = automaton.score(b.column(1))
-            none = n == 0
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n.astype(np.int64)), pa.array(np.round(total, 4), mask=none), pa.array(np.round(total / np.maximum(n, 1), 6), mask=none)], ["doc_id", "n_words", "logprob", "mean_logprob"]
-            )
+            held.append(word_hashes(b.column(0))[0])
+            size += len(held[-1])
+            if size > FLUSH:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
-    return d.transform(map_arrow, run, "doc_id long, n_words long, logprob double, mean_logprob double")
+    words = docs.select("text").transform(map_arrow, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    kept = lambda c: F.coalesce(F.sum(F.when(F.col("n") >= least, c)), F.lit(0))
+    r = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), kept(F.lit(1)).alias("v"), kept(F.col("n")).alias("s")).first()
+    return r.asDict()
+
+
+def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, discount: float = DISCOUNT, part: int = PART, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, n_words, logprob, mean_logprob) of every row."""
+    need(docs, "doc_id", "text")
+    d = docs.select(integer_id(docs, "doc_id").alias("doc_id"), "text")
+    size = corpus_size(d, min_count)
+    total = 6 * size["n"]
+    parts = max(1, math.ceil(total / part))
+    if parts > FEW:
+        parts = int(FEW * math.sqrt(parts / FEW))
+    bits = min(int(math.log2(MOST_BUCKETS)), max(0, math.ceil(math.log2(max(1, size["n"] / bucket)))))
+    d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"), "doc_id", "text").repartition("part")
+
+    def first(t: pa.Table) -> pa.Table:
+        return slices(Part(t.column("text")).ask_pairs(t.column("part")[0].as_py(), bits))
+
+    def second(t: pa.Table, back: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return slices([])
+        number, own = t.column("part")[0].as_py(), Part(t.column("text"))
+        own.kept_triples(hear(back, 1)[3])
+        rows = own.ask_triples(number, bits)
+        return slices(rows + [(1, -1 - number, r["slot"], number, *[r[x] for x in FIELDS]) for r in back.to_pylist()])
+
+    def last(t: pa.Table, back: pa.Table) -> pa.Table:
+        own = Part(t.column("text"))
+        pairs, triples = hear(back, 1), hear(back, 2)
+        own.kept_triples(pairs[3])
+        score, none = own.automaton(pairs, triples, size, min_count, discount).score(own), own.n == 0
+        return pa.Table.from_arrays(
+            [t.column("doc_id"), pa.array(own.n.astype(np.int64)), pa.array(np.round(score, 4), mask=none), pa.array(np.round(score / np.maximum(own.n, 1), 6), mask=none)], ["doc_id", "n_words", "logprob", "mean_logprob"]
+        )
+
+    add = lambda t: merge(t, min_count)
+    by = lambda x: x.groupBy("part")
+    pairs = by(d).applyInArrow(first, SLICE).groupBy("bucket").applyInArrow(add, SLICE)
+    both = by(d).cogroup(by(pairs)).applyInArrow(second, SLICE).groupBy("bucket").applyInArrow(add, SLICE)
+    return by(d).cogroup(by(both)).applyInArrow(last, "doc_id long, n_words long, logprob double, mean_logprob double")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LM_SQL = f"""
 WITH tok AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
-seq AS (SELECT r, i, ws[i] AS w, ws[i - 1] AS v, ws[i - 2] AS u FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM tok)),
-seq2 AS (SELECT r, i, w, CASE WHEN i > 1 THEN v END AS v, CASE WHEN i > 2 THEN u END AS u FROM seq),
-size AS (SELECT count(*)::double AS n, greatest({MIN_COUNT}, {MIN_RATE}::double * count(*)) AS least FROM seq2),
-k1 AS (SELECT w, count(*)::double AS c FROM seq2 GROUP BY w HAVING count(*) >= (SELECT least FROM size)),
-voc AS (SELECT count(*)::double AS v, sum(c) AS s FROM k1),
-p1 AS (SELECT w, c, (c + 1) / (n + v + 1) AS p FROM k1, size, voc),
-unk AS (SELECT ln((n - coalesce(s, 0) + 1) / (n + v + 1)) AS lp FROM size, voc),
-k2 AS (SELECT v, w, count(*)::double AS c FROM seq2 WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= (SELECT least FROM size)),
-k3 AS (SELECT u, v, w, count(*)::double AS c FROM seq2 WHERE u IS NOT NULL GROUP BY u, v, w HAVING count(*) >= (SELECT least FROM size)),
-p2 AS (SELECT k2.v, k2.w, k2.c, (k2.c - {DISCOUNT}::double) / a.c AS p, b.p AS low FROM k2 JOIN p1 a ON a.w = k2.v JOIN p1 b ON b.w = k2.w),
-bow1 AS (SELECT v, ln(greatest(1 - sum(p), 1e-12::double) / greatest(1 - sum(low), 1e-12::double)) AS b FROM p2 GROUP BY v),
-p3 AS (SELECT k3.u, k3.v, k3.w, (k3.c - {DISCOUNT}::double) / a.c AS p, b.p AS low FROM k3 JOIN p2 a ON a.v = k3.u AND a.w = k3.v JOIN p2 b ON b.v = k3.v AND b.w = k3.w),
-bow2 AS (SELECT u, v, ln(greatest(1 - sum(p), 1e-12::double) / greatest(1 - sum(low), 1e-12::double)) AS b FROM p3 GROUP BY u, v),
+seq AS (SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM tok)),
+size AS (SELECT count(*)::double AS n FROM seq),
+k1 AS (SELECT w, count(*)::double AS c FROM seq GROUP BY w HAVING count(*) >= {MIN_COUNT}),
+voc AS (SELECT count(*)::double AS v, coalesce(sum(c), 0) AS s FROM k1),
+unk AS (SELECT (1 - (s - {DISCOUNT}::double * v) / n) / (v + 1) AS p FROM size, voc),
+p1 AS (SELECT w, c, (c - {DISCOUNT}::double) / n + unk.p AS p FROM k1, size, unk),
+k2 AS (SELECT v, w, count(*)::double AS c FROM seq WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= {MIN_COUNT}),
+b1 AS (SELECT v, 1 - (sum(k2.c) - {DISCOUNT}::double * count(*)) / any_value(p1.c) AS b FROM k2 JOIN p1 ON p1.w = k2.v GROUP BY v),
+p2 AS (SELECT k2.v, k2.w, k2.c, (k2.c - {DISCOUNT}::double) / a.c + b1.b * z.p AS p FROM k2 JOIN p1 a ON a.w = k2.v JOIN b1 ON b1.v = k2.v JOIN p1 z ON z.w = k2.w),
+k3 AS (SELECT u, v, w, count(*)::double AS c FROM seq WHERE u IS NOT NULL GROUP BY u, v, w HAVING count(*) >= {MIN_COUNT}),
+b2 AS (SELECT u, k3.v, 1 - (sum(k3.c) - {DISCOUNT}::double * count(*)) / any_value(k2.c) AS b FROM k3 JOIN k2 ON k2.v = k3.u AND k2.w = k3.v GROUP BY u, k3.v),
+p3 AS (SELECT k3.u, k3.v, k3.w, (k3.c - {DISCOUNT}::double) / a.c + b2.b * z.p AS p FROM k3 JOIN k2 a ON a.v = k3.u AND a.w = k3.v JOIN b2 ON b2.u = k3.u AND b2.v = k3.v JOIN p2 z ON z.v = k3.v AND z.w = k3.w),
 each AS (
   SELECT s.r, CASE
     WHEN p3.p IS NOT NULL THEN ln(p3.p)
-    WHEN p2.p IS NOT NULL THEN coalesce(bow2.b, 0) + ln(p2.p)
-    ELSE coalesce(bow2.b, 0) + coalesce(bow1.b, 0) + coalesce(ln(p1.p), unk.lp) END AS lp
-  FROM seq2 s CROSS JOIN unk
+    WHEN p2.p IS NOT NULL THEN ln(coalesce(b2.b, 1)) + ln(p2.p)
+    ELSE ln(coalesce(b2.b, 1)) + ln(coalesce(b1.b, 1)) + ln(coalesce(p1.p, unk.p)) END AS lp
+  FROM seq s CROSS JOIN unk
   LEFT JOIN p1 ON p1.w = s.w LEFT JOIN p2 ON p2.v = s.v AND p2.w = s.w LEFT JOIN p3 ON p3.u = s.u AND p3.v = s.v AND p3.w = s.w
-  LEFT JOIN bow1 ON bow1.v = s.v LEFT JOIN bow2 ON bow2.u = s.u AND bow2.v = s.v)
+  LEFT JOIN b1 ON b1.v = s.v LEFT JOIN b2 ON b2.u = s.u AND b2.v = s.v)
 SELECT doc_id, coalesce(n, 0)::bigint AS n_words, round(lp, 4) AS logprob, round(lp / n, 6) AS mean_logprob
 FROM tok LEFT JOIN (SELECT r, count(*) AS n, sum(lp) AS lp FROM each GROUP BY r) USING (r)
 """

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 M64 = (1 << 64) - 1
 P_BYTE, P_WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -136,10 +137,12 @@ def word_hashes(col: pa.Array | pa.ChunkedArray, lower: bool = True, kind: np.nd
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset and all run on this machine, as in tests."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if have:
         return have
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     have = f"file://{tempfile.mkdtemp(prefix='tickloom-')}"
     atexit.register(shutil.rmtree, have[7:], True)
     spark.conf.set("spark.checkpoint.dir", have)
@@ -160,9 +163,26 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns missing: {', '.join(missing)}")
 
 
+def integer_id(df: DataFrame, name: str = "doc_id") -> Column:
+    """The id column as bigint; ids of another type are refused, for results carry integers."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise ValueError(f"{name} must be an integer column, not {kind.simpleString()}")
+    return F.col(quoted(name)).cast("bigint")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The table with its columns named c0, c1, ...: whatever their names were, an operator's own can't clash with them."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns by their names, whatever is in these."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return [F.col(quoted(c)) for c in df.columns]
 
 
 #: Rows in an Arrow batch: texts are long, and 10,000 of them are held several times over on the way to Python.
