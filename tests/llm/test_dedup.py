@@ -3,6 +3,7 @@
 import collections
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from tests.llm.conftest import SCHEMA, messy_rows, words
 from tickloom.llm import simhash_dedup as S
 from tickloom.llm.bitmaps import bitmap_of, mark
 from tickloom.llm.exact_dedup import exact_copies, exact_dedup
-from tickloom.llm.substring_dedup import substring_duplicates
+from tickloom.llm import substring_dedup as S1
+from tickloom.llm.substring_dedup import SUBSTRING_SQL, substring_duplicates
 
 
 def test_bitmap_keeps_every_key_and_drops_most_others(spark):
@@ -50,28 +52,29 @@ def test_exact_dedup_keeps_one_of_each(messy, empty):
 
 
 def brute_passages(rows, w):
-    where = collections.defaultdict(set)
-    for i, t in rows:
+    """Words of each row that lie in a window that occurs twice or more, anywhere."""
+    where = collections.Counter()
+    for _, t in rows:
         x = t.split()
-        for k in range(len(x) - w + 1):
-            where[tuple(x[k : k + w])].add(i)
+        where.update(tuple(x[k : k + w]) for k in range(len(x) - w + 1))
     out = collections.defaultdict(set)
     for i, t in rows:
         x = t.split()
         for k in range(len(x) - w + 1):
-            if len(where[tuple(x[k : k + w])]) > 1:
+            if where[tuple(x[k : k + w])] > 1:
                 out[i] |= set(range(k, k + w))
     return dict(out)
 
 
-def covered(df):
+def covered(df, only=lambda r: True):
     out = collections.defaultdict(set)
     for r in df.collect():
-        out[r.doc_id] |= set(range(r.start_word, r.end_word))
+        if only(r):
+            out[r.doc_id] |= set(range(r.start_word, r.end_word))
     return dict(out)
 
 
-def test_substrings_match_brute_force(spark):
+def passage_rows():
     rng = random.Random(3)
     shared = [words(rng, n) for n in (50, 51, 49, 120, 60)]
     rows = []
@@ -83,19 +86,62 @@ def test_substrings_match_brute_force(spark):
         if i % 7 == 0:
             w = w + w  # repeats within the document only
         rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_substrings_match_brute_force(spark):
+    rows = passage_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_passages(rows, 50)
     assert want
     for part in (1 << 24, 3000):
         assert covered(substring_duplicates(df, part=part)) == want
-    assert covered(substring_duplicates(df, window=8, anchor=4)) == brute_passages(rows, 8)
+    assert covered(substring_duplicates(df, window=8)) == brute_passages(rows, 8)
+
+
+def test_substrings_match_sql_whatever_the_parts(spark):
+    rows = passage_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    want = sorted(con.execute(SUBSTRING_SQL).fetchall())
+    assert any(r[6] for r in want) and any(r[0] == r[5] and not r[6] for r in want)
+    for part in (1 << 24, 3000):
+        assert sorted(map(tuple, substring_duplicates(df, part=part).collect())) == want
+
+
+def test_every_repeated_window_has_one_keeper(spark):
+    rng = random.Random(21)
+    p, q = words(rng, 60), words(rng, 60)
+    rows = [(1, " ".join(p)), (2, " ".join(p + q)), (3, " ".join(q)), (None, " ".join(q)), (None, " ".join(words(rng, 20) + q + q)), (4, " ".join(q)), (4, " ".join(q))]
+    out = substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    keep = sorted((r.doc_id, r.start_word, r.end_word) for r in out if r.is_first)
+    assert keep == [(1, 0, 60), (2, 60, 120)]  # the second passage stays where it stands first, though the document repeats the first
+    assert sum(r.doc_id is None for r in out) >= 2 and all(r.first_doc_id in (1, 2) or r.first_doc_id is None for r in out)
+    only = substring_duplicates(spark.createDataFrame([(None, " ".join(q)), (None, " ".join(q))], "doc_id long, text string")).collect()
+    assert sorted(r.is_first for r in only) == [False, True] and all(r.first_doc_id is None and r.copies == 2 for r in only)
+
+
+def test_sketch_loses_nothing():
+    rng = np.random.default_rng(2)
+    lists = [np.unique(rng.integers(0, 1000, 300)) for _ in range(4)]
+    more = [rng.random(len(c)) < 0.1 for c in lists]
+    total = np.zeros(1000, int)
+    for c, m in zip(lists, more):
+        total[c] += 1 + m
+    for step in (1000, 64):
+        for c, got in zip(lists, S1.merge_cells(lists, more, 1000, step)):
+            assert (got == (total[c] > 1)).all()
+    for c in (*lists, np.array([0, 255, 256, 10**9]), np.zeros(0, np.int64)):
+        assert (S1.unpack_sorted(S1.pack_sorted(c), len(c)) == c).all()
 
 
 def test_substrings_defined_cases(messy, empty):
-    rows = [(r[0], r[1]) for r in messy_rows() if r[0] is not None and r[1] is not None]
+    rows = [(r[0], r[1]) for r in messy_rows() if r[1] is not None]
     got = substring_duplicates(messy).collect()
     assert covered(substring_duplicates(messy)) == brute_passages(rows, 50)
-    assert {r.doc_id for r in got} == {0, 100, 101} and all(r.is_first == (r.doc_id == 0) for r in got)
+    assert {r.doc_id for r in got} == {0, 1, 2, 100, 101, None}
+    assert {r.doc_id for r in got if r.is_first} == {0, 1, 2} and sum(r.is_first for r in got) == 3
     assert substring_duplicates(empty).isEmpty()
 
 

@@ -14,7 +14,7 @@ from tickloom.llm.lm_automaton import LM_SQL, lm_scores
 from tickloom.llm.media_sequences import MEDIA_TAGS, media_sequences, page_payloads
 from tickloom.llm.mixing import MIXTURE_SQL, mixture
 from tickloom.llm.simhash_dedup import near_copies
-from tickloom.llm.substring_dedup import substring_duplicates
+from tickloom.llm.substring_dedup import SUBSTRING_SQL, substring_duplicates
 from tickloom.llm.toxicity import toxicity
 
 
@@ -36,6 +36,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 LLM_ORACLES: dict[str, str] = {
+    "op1_substring_dedup": SUBSTRING_SQL,
     "op3_mix_sources": MIXTURE_SQL,
     "op7_lm_automaton": LM_SQL,
     "op5_exact_dedup": EXACT_COPIES_SQL,

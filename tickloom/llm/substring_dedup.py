@@ -1,23 +1,24 @@
-"""Substring dedup: passages of `window` words or more that several documents share.
+"""Substring dedup: passages of `window` words or more that occur twice or more.
 
 A document's windows are all runs of `window` consecutive words (anything between white
 space). Most windows occur once, so a count-min sketch goes before the exact count.
 
-Anchors. Of the runs of `anchor` words the local minima of a hash are chosen (winnowing over
-window - anchor + 1 runs), so each window has an anchor, the least hash in it, and equal windows equal ones. An anchor occurs
-at least as often as any window that has it: its count is an upper bound of theirs.
-Sketch. Documents are spread over parts by id. Each part counts its anchors in two
-rows of a count-min sketch, kept sparse; the parts' sketches are merged block by block, with saturation at 2.
-A merged cell of 2 or more goes back to the parts that touched it. Nothing is broadcast.
-Second pass. Windows whose anchor is estimated twice or more, in both rows, are
-grouped exactly by 128 bits of hash; those in two documents or more count. Estimates
-are never too low (saturation keeps the comparison with 2), so no repeated window is lost.
-
-Overlapping windows of a document are joined to passages.
-
-Defined cases: documents with a null id or text or fewer than `window` words have no passage;
-rows of equal ids are one document, so passages that a document repeats only within itself don't
-count; other columns are ignored; an empty table gives no rows.
+Sketch. Documents are spread over parts by a hash. Each part counts its windows in two
+rows of a count-min sketch, kept sparse: its sorted cells as differences of a byte or so each. The parts' sketches are merged
+block by block, a block range by range; each part gets back a bit for every cell it sent: whether all parts
+together have counted it twice or more. Nothing is broadcast.
+Second pass. Windows estimated twice or more in both rows are grouped exactly by 96 bits of hash. A part sends a row for each
+distinct one, however often it holds it, so a window that very many documents share is one row a part.
+Estimates are never too low, so no repeated window is lost.
+The counts go back to the parts, which join overlapping windows to passages. A passage ends where the
+first document of its windows changes, so that each has one keeper; passages then overlap by up to window - 1 words.
+
+Defined cases: documents with a null text or fewer than `window` words have no passage; every row is a document of its own,
+so rows repeated in full and rows of equal ids share passages; a passage that a document repeats within itself counts, and is first at its first
+place only; null ids take part and come last when the first document is chosen (first_doc_id is null where all are); equal ids
+are ordered by part and text; other columns are ignored; an empty table gives no rows.
+
+A clean document is reported too where it shares a passage: the synthetic tables have licence lines and benchmark passages in clean ones.
 """
 
 from __future__ import annotations
@@ -26,17 +27,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import IS_TOKEN, P_WORD, mix, need, prefix_sums, span_hash, word_hashes
+from tickloom.llm.shared import IS_TOKEN, P_WORD, integer_id, mix, need, prefix_sums, quoted, span_hash, word_hashes
 
-WINDOW, ANCHOR = 50, 25
-#: Bytes of text in a part; cells for each anchor expected, in each row of the sketch; cells in a block.
-PART, CELLS, BLOCK = 16 << 20, 8, 1 << 22
-#: Most blocks of a row: beyond it the blocks grow.
+WINDOW = 50
+#: Bytes of text in a part (parts grow with the square root of the corpus beyond FEW of them); cells for each window in each row of the sketch; cells in a block.
+PART, FEW, CELLS, BLOCK = 8 << 20, 4096, 4, 1 << 22
+#: Most blocks of a row: beyond it the blocks grow, and are merged by ranges of BLOCK cells.
 MOST_BLOCKS = 1 << 15
 BASES = (P_WORD, 0xD6E8FEB86659FD93)
+NONE = (1 << 63) - 1
 
 
 def windows_of(words: np.ndarray, rows: np.ndarray, k: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,114 +51,164 @@ def windows_of(words: np.ndarray, rows: np.ndarray, k: int, base: int) -> tuple[
     return mix(span_hash(prefix_sums(words, base), at, at + k, base), k), rows[k - 1 :] == rows[:n]
 
 
-def sliding(a: np.ndarray, k: int, f) -> np.ndarray:
-    """f (minimum or maximum) of each run of k values, by doubling."""
-    out, have = a, 1
-    while 2 * have <= k:
-        out, have = f(out[:-have], out[have:]), 2 * have
-    return f(out[: len(out) - (k - have)], out[k - have :]) if have < k else out
+def cells_of(h: np.ndarray, row: int, width: int) -> np.ndarray:
+    return (mix(h, 101 + row) & np.uint64(width - 1)).astype(np.int64)
 
 
-def anchors_of(words: np.ndarray, rows: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchors, one for each place; and for each run of `window` words its own anchor's hash and whether it lies in one row.
+def pack_sorted(cells: np.ndarray) -> bytes:
+    """Sorted distinct numbers as differences: a byte each, those of 255 and more after them."""
+    d = np.diff(cells, prepend=-1) - 1
+    return np.minimum(d, 255).astype(np.uint8).tobytes() + d[d >= 255].astype(np.uint64).tobytes()
 
-    A window's anchor is the least hash among its runs of `anchor` words, so equal windows have equal ones.
-    """
-    span = window - anchor + 1
-    if len(words) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = windows_of(words, rows, anchor, P_WORD)[0]
-    low, inside = sliding(h, span, np.minimum), rows[window - 1 :] == rows[: len(rows) - window + 1]
-    pad = np.zeros(span - 1, dtype=np.uint64)
-    # A place is chosen if it is the least of a window around it.
-    chosen = sliding(np.concatenate([pad, np.where(inside, low, np.uint64(0)), pad]), span, np.maximum) == h
-    return h[chosen], low, inside
 
+def unpack_sorted(b: bytes, n: int) -> np.ndarray:
+    d = np.frombuffer(b, np.uint8, n).astype(np.int64)
+    d[d == 255] = np.frombuffer(b, np.uint64, offset=n)
+    return np.cumsum(d + 1) - 1
 
-def cells_of(h: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (mix(h, 101 + row) & np.uint64(width - 1)).astype(np.int64)
+
+def merge_cells(cells: list[np.ndarray], more: list[np.ndarray], block: int, step: int = BLOCK) -> list[np.ndarray]:
+    """Whether each cell of each list is counted twice or more by all lists together; a range of `step` cells at a time."""
+    out = [np.zeros(len(c), dtype=bool) for c in cells]
+    for lo in range(0, block, step):
+        total = np.zeros(min(step, block - lo), dtype=np.uint8)
+        cut = [np.searchsorted(c, (lo, lo + step)) for c in cells]
+        for c, m, (a, z) in zip(cells, more, cut):
+            at = c[a:z] - lo
+            total[at] = np.minimum(total[at] + 1 + m[a:z], 2)  # a list's cells are distinct
+        for c, o, (a, z) in zip(cells, out, cut):
+            o[a:z] = total[c[a:z] - lo] > 1
+    return out
 
 
-def substring_duplicates(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, part: int = PART, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def passages(at: np.ndarray, row: np.ndarray, copies: np.ndarray, first: np.ndarray, is_first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs of repeated windows (sorted by row and place) with the same keeper that overlap or touch: first window, last window, and most copies of each."""
+    if not len(at):
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + window) | (first[1:] != first[:-1]) | (is_first[1:] != is_first[:-1])
+    begin = np.flatnonzero(new)
+    return begin, np.append(begin[1:], len(at)) - 1, np.maximum.reduceat(copies, begin)
+
+
+def substring_duplicates(docs: DataFrame, window: int = WINDOW, part: int = PART, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, start_word, end_word, n_words, copies, first_doc_id, is_first) of each repeated passage.
 
-    copies: the most occurrences of a window in it; first_doc_id: the least id that shares one; is_first: no
-    window of it is in a document of a lesser id, so it stays where the others go.
+    copies: the most occurrences of a window in it; first_doc_id: the least id that has its windows; is_first: these are
+    their first occurrences, so the passage stays where the others go.
     """
     need(docs, text, doc_id)
-    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    d = docs.select(integer_id(docs, doc_id).alias("doc_id"), F.col(quoted(text)).alias("text")).where("text is not null")
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(size / part))
-    due = max(1, size // 6 * 2 // (window - anchor + 2))
-    width = 1 << max(16, (CELLS * due - 1).bit_length())
+    if parts > FEW:
+        parts = int(FEW * math.sqrt(parts / FEW))
+    width = 1 << max(12, (CELLS * (size // 6) - 1).bit_length())
     block = max(min(BLOCK, width), width // MOST_BLOCKS)
-    d = d.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).select("part", "doc_id", "text").repartition("part")
+    d = d.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).select("part", "doc_id", "text").repartition("part")
 
     def read(t: pa.Table) -> tuple[np.ndarray, ...]:
+        """Words' rows, the windows' hashes, and where the windows that lie in a row begin."""
         words, n = word_hashes(t.column("text"), lower=False, kind=IS_TOKEN)
         rows = np.repeat(np.arange(len(n)), n)
-        return words, rows, n, *anchors_of(words, rows, window, anchor)
+        h, inside = windows_of(words, rows, window, BASES[0])
+        return words, rows, n, h, np.flatnonzero(inside)
+
+    def counted(h: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cells, n = np.unique(cells_of(h, row, width), return_counts=True)
+        return cells, n > 1, np.searchsorted(cells, np.arange(0, width + 1, block))
 
     def sketch(t: pa.Table) -> pa.Table:
-        number = t.column("part")[0].as_py()
-        h = read(t)[3]
+        number, (*_, h, on) = t.column("part")[0].as_py(), read(t)
         out = []
         for row in (0, 1):
-            cells, n = np.unique(cells_of(h, row, width), return_counts=True)
-            begin = np.searchsorted(cells, np.arange(0, width + 1, block))
+            cells, more, begin = counted(h[on], row)
             for k in np.flatnonzero(np.diff(begin)):
-                c, m = (cells[begin[k] : begin[k + 1]] - k * block).astype(np.uint32), n[begin[k] : begin[k + 1]]
-                out.append((row, int(k), number, c[m == 1].tobytes(), c[m > 1].tobytes()))
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 5, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["row", "block", "part", "once", "more"])
+                s = slice(begin[k], begin[k + 1])
+                out.append((row, int(k), number, int(begin[k + 1] - begin[k]), pack_sorted(cells[s] - k * block), np.packbits(more[s]).tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["row", "block", "part", "n", "cells", "more"])
 
     def merge(t: pa.Table) -> pa.Table:
-        total = np.zeros(block, dtype=np.uint8)
-        once, more = ([np.frombuffer(x, np.uint32) for x in t.column(c).to_pylist()] for c in ("once", "more"))
-        for a, b in zip(once, more):
-            total[a] = np.minimum(total[a] + 1, 2)  # a part's cells are distinct
-            total[b] = 2
-        back = []
-        for a, b in zip(once, more):
-            c = np.sort(np.concatenate([a, b]))
-            back.append(c[total[c] > 1].tobytes())
-        return pa.Table.from_arrays([t.column("part").combine_chunks(), t.column("row").combine_chunks(), t.column("block").combine_chunks(), pa.array(back, pa.binary())], ["part", "row", "block", "cells"])
+        n = t.column("n").to_pylist()
+        cells = [unpack_sorted(b, k) for b, k in zip(t.column("cells").to_pylist(), n)]
+        more = [np.unpackbits(np.frombuffer(b, np.uint8), count=k) for b, k in zip(t.column("more").to_pylist(), n)]
+        back = [np.packbits(x).tobytes() for x in merge_cells(cells, more, block)]
+        return pa.Table.from_arrays([t.column("part").combine_chunks(), t.column("row").combine_chunks(), t.column("block").combine_chunks(), pa.array(back, pa.binary())], ["part", "row", "block", "twice"])
 
     def emit(t: pa.Table, back: pa.Table) -> pa.Table:
-        empty = pa.Table.from_arrays([pa.array([], pa.int64())] * 2 + [pa.array([], pa.int64()), pa.array([], pa.int32())], ["w1", "w2", "doc_id", "at"])
+        """A row for each distinct window of the part that is estimated twice or more in both rows of the sketch."""
         if not t.num_rows or not back.num_rows:
-            return empty
-        words, rows, n, h, low, inside = read(t)
-        # Neighbouring windows mostly share their anchor: each run of them is looked up once.
-        turn = np.ones(len(low), dtype=bool)
-        turn[1:] = low[1:] != low[:-1]
-        h = low[turn]
-        twice = np.ones(len(h), dtype=bool)
-        row, blk, blobs = back.column("row").to_numpy(), back.column("block").to_numpy(), back.column("cells").to_pylist()
+            return pa.Table.from_arrays([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())], ["w1", "w2", "part", "n", "id"])
+        words, rows, n, h, every = read(t)
+        on = every
+        row, blk, blobs = back.column("row").to_numpy(), back.column("block").to_numpy(), back.column("twice").to_pylist()
         for k in (0, 1):
-            mine = [i for i in np.argsort(blk, kind="stable") if row[i] == k]
-            known = np.concatenate([np.frombuffer(blobs[i], np.uint32).astype(np.int64) + int(blk[i]) * block for i in mine] or [np.zeros(0, np.int64)])
-            cells = cells_of(h, k, width)
-            if len(known):
-                found = np.minimum(np.searchsorted(known, cells), len(known) - 1)
-                twice &= known[found] == cells
-            else:
-                twice[:] = False
-        begin = np.flatnonzero(inside & twice[np.cumsum(turn) - 1])
-        w1 = windows_of(words, rows, window, BASES[0])[0]
-        w2 = windows_of(words, rows, window, BASES[1])[0]
-        first = np.cumsum(n) - n
-        ids = t.column("doc_id").to_numpy()
-        return pa.Table.from_arrays([pa.array(w1[begin].view(np.int64)), pa.array(w2[begin].view(np.int64)), pa.array(ids[rows[begin]]), pa.array((begin - first[rows[begin]]).astype(np.int32))], ["w1", "w2", "doc_id", "at"])
-
-    merged = d.groupBy("part").applyInArrow(sketch, "row int, block int, part int, once binary, more binary").groupBy("row", "block").applyInArrow(merge, "part int, row int, block int, cells binary")
-    candidates = d.groupBy("part").cogroup(merged.groupBy("part")).applyInArrow(emit, "w1 long, w2 long, doc_id long, at int")
+            cells, _, begin = counted(h[every], k)
+            twice = np.zeros(len(cells), dtype=bool)
+            for i in np.flatnonzero(row == k):
+                a, z = begin[blk[i]], begin[blk[i] + 1]
+                twice[a:z] = np.unpackbits(np.frombuffer(blobs[i], np.uint8), count=z - a)
+            if len(on):
+                on = on[twice[np.searchsorted(cells, cells_of(h[on], k, width))]]
+        w1, at, n = np.unique(h[on], return_index=True, return_counts=True)
+        w2 = windows_of(words, rows, window, BASES[1])[0][on[at]]
+        known = ids_of(t)
+        low = np.full(len(w1), NONE)
+        np.minimum.at(low, np.searchsorted(w1, h[on]), known[rows[on]])
+        return pa.Table.from_arrays(
+            [pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(w1), t.column("part")[0].as_py(), np.int32)), pa.array(n.astype(np.int32)), pa.array(low)], ["w1", "w2", "part", "n", "id"]
+        )
+
+    def ids_of(t: pa.Table) -> np.ndarray:
+        return t.column("doc_id").fill_null(NONE).to_numpy()
+
+    def report(t: pa.Table, back: pa.Table) -> pa.Table:
+        """The part's passages, from its windows that all parts together hold twice or more."""
+        names = ["doc_id", "start_word", "end_word", "n_words", "copies", "first_doc_id", "is_first"]
+        kinds = [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.bool_()]
+        if not t.num_rows or not back.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+        _, rows, n, h, on = read(t)
+        back = back.sort_by("w1")
+        w1, copies, first, home = (back.column(c).to_numpy() for c in ("w1", "copies", "first", "home"))
+        h = h.view(np.int64)
+        k = np.minimum(np.searchsorted(w1, h[on]), len(w1) - 1)
+        hit = w1[k] == h[on]
+        on, k = on[hit], k[hit]
+        r = rows[on]
+        at = on - (np.cumsum(n) - n)[r]
+        # The first occurrence of a window in the part: the least id, then text, then place.
+        digest = np.array([xxhash.xxh64_intdigest(x) for x in t.column("text").to_pylist()], dtype=np.uint64)
+        rank = np.empty(len(n), np.int64)
+        rank[np.lexsort((digest, ids_of(t)))] = np.arange(len(n))
+        order = np.lexsort((at, rank[r], k))
+        lead = np.zeros(len(on), dtype=bool)
+        lead[order[np.flatnonzero(np.diff(k[order], prepend=-1))]] = True
+        lead &= home[k] == t.column("part")[0].as_py()
+        begin, end, most = passages(at, r, copies[k], first[k], lead, window)
+        keeper, ids = first[k][begin], ids_of(t)[r[begin]]
+        return pa.Table.from_arrays(
+            [pa.array(ids, mask=ids == NONE), pa.array(at[begin].astype(np.int32)), pa.array((at[end] + window).astype(np.int32)), pa.array((at[end] + window - at[begin]).astype(np.int32)), pa.array(most), pa.array(keeper, mask=keeper == NONE), pa.array(lead[begin])],
+            names,
+        )
+
+    by = lambda x: x.groupBy("part")
+    merged = by(d).applyInArrow(sketch, "row int, block int, part int, n int, cells binary, more binary").groupBy("row", "block").applyInArrow(merge, "part int, row int, block int, twice binary")
+    found = by(d).cogroup(by(merged)).applyInArrow(emit, "w1 long, w2 int, part int, n int, id long")
     same = Window.partitionBy("w1", "w2")
-    repeated = (
-        candidates.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same)).withColumn("copies", F.count(F.lit(1)).over(same))
-        .where("first < last").select("doc_id", "at", "first", "copies")
-    )
-    order = Window.partitionBy("doc_id").orderBy("at")
-    new = F.when(F.col("at") > F.lag("at").over(order) + window, 1).otherwise(0)
-    passages = repeated.withColumn("new", new).withColumn("passage", F.sum("new").over(order)).groupBy("doc_id", "passage")
-    found = passages.agg(F.min("at").alias("start_word"), (F.max("at") + window).alias("end_word"), F.max("copies").alias("copies"), F.min("first").alias("first_doc_id"))
-    return found.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "copies", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("is_first"))
+    least = F.min(F.struct("id", "part")).over(same)
+    repeated = found.withColumn("copies", F.sum("n").over(same)).withColumn("least", least).where("copies > 1").select("part", "w1", "copies", F.col("least.id").alias("first"), F.col("least.part").alias("home"))
+    return by(d).cogroup(by(repeated)).applyInArrow(report, "doc_id long, start_word int, end_word int, n_words int, copies long, first_doc_id long, is_first boolean")
+
+
+SUBSTRING_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM documents WHERE text IS NOT NULL),
+g AS (SELECT r, doc_id, i, array_to_string(list_slice(ws, i + 1, i + {WINDOW}), ' ') AS g FROM (SELECT *, unnest(range(0, len(ws) - {WINDOW - 1})) AS i FROM w WHERE len(ws) >= {WINDOW})),
+c AS (SELECT r, doc_id, i, count(*) OVER s AS copies, min(doc_id) OVER s AS first_doc_id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, r, i) = 1 AS is_first FROM g WINDOW s AS (PARTITION BY g)),
+n AS (SELECT *, CASE WHEN i <= lag(i) OVER o + {WINDOW} AND first_doc_id IS NOT DISTINCT FROM lag(first_doc_id) OVER o AND is_first = lag(is_first) OVER o THEN 0 ELSE 1 END AS new FROM c WHERE copies > 1 WINDOW o AS (PARTITION BY r ORDER BY i)),
+p AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS p FROM n)
+SELECT doc_id, min(i)::int AS start_word, (max(i) + {WINDOW})::int AS end_word, (max(i) + {WINDOW} - min(i))::int AS n_words, max(copies)::bigint AS copies, any_value(first_doc_id) AS first_doc_id, any_value(is_first) AS is_first
+FROM p GROUP BY r, doc_id, p
+"""
