@@ -1,19 +1,20 @@
 """Language-model scoring by a weighted backoff automaton over words.
 
-Counting. Words, pairs and triples are counted over all documents; kept are those with a count of MIN_COUNT or more,
-at every size, so the model grows with the corpus. A triple can't be more frequent than its pairs, so triples are
+Counting. Words, pairs and triples are counted over all documents; kept are all words, and pairs and triples with a count of
+MIN_COUNT or more, at every size, so the model grows with the corpus. A triple can't be more frequent than its pairs, so triples are
 counted only where both pairs are kept, without losing one.
 
 Distribution. Documents are spread over parts by a hash. A part asks for what its own texts need: for each
 context its followers, by hash, sorted and cut by context into buckets. A bucket's task adds up what all
 parts sent and answers each in the order of its question, so an answer has no keys. Two rounds (pairs with their
 words, then triples) give every part the slice of the model that its texts can reach, with corpus-wide counts. Nothing
-is broadcast or brought to the driver but four numbers; a task holds a part or a bucket, whatever the corpus.
+is broadcast or brought to the driver but the number of words; a task holds a part or a bucket, whatever the corpus.
+Contexts go by 64 bits of hash, followers within their context by 40.
 
 Smoothing. Interpolated absolute discounting: for a kept h w, P(w | h) = (c(h w) - D) / c(h) + b(h) P(w | h'), else
 b(h) P(w | h'), where h' drops the first word of h and b(h) = 1 - (S - D K) / c(h), with S and K the sum and the
-number of the kept h w. Words have P(w) = (c(w) - D) / N + b / (V + 1); all that aren't kept together are one word <unk>
-of b / (V + 1). Every context's probabilities add up to 1.
+number of the kept h w. Words have P(w) = (c(w) - D) / N; the D V / N that is left is for words that the corpus doesn't have.
+Every context's probabilities add up to 1.
 
 Automaton. States are the contexts: the empty one, words, pairs. An arc (state, word) has a log-probability and leads to the
 longest context that is a state; where there is none, the failure arc costs log b(state) and leads to
@@ -35,40 +36,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import P_WORD, integer_id, map_arrow, mix, need, word_hashes
+from tickloom.llm.shared import P_WORD, integer_id, map_arrow, mix, need, spans, text_bytes, word_hashes
 
 MIN_COUNT, DISCOUNT = 2, 0.5
 #: Bytes of text in a part (parts grow with the square root of the corpus beyond FEW of them); n-grams in a bucket; most buckets.
-PART, FEW, BUCKET, MOST_BUCKETS = 8 << 20, 4096, 1 << 20, 1 << 16
-#: Counts of so many words are summed in a partition before they are handed on.
-FLUSH = 4 << 20
+PART, FEW, BUCKET, MOST_BUCKETS = 16 << 20, 4096, 1 << 20, 1 << 16
 FIELDS = ("x1", "x2", "x3", "x4", "x5")
 SLICE = "level int, bucket int, slot int, part int, " + ", ".join(f"{x} binary" for x in FIELDS)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Counts, mostly small: a byte each, greater ones after them."""
-    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.uint64).tobytes()
-
-
-def unpack(b: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(b, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(b, np.uint64, offset=n)
+    """Counts, mostly small: their number, a byte each, then two bytes for those from 255 on, then eight for those from 65535 on."""
+    big = x[x >= 255]
+    return np.int64(len(x)).tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes() + np.minimum(big, 65535).astype(np.uint16).tobytes() + big[big >= 65535].astype(np.uint64).tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    n = int(np.frombuffer(b, np.int64, 1)[0])
+    out = np.frombuffer(b, np.uint8, n, 8).astype(np.int64)
+    big = out == 255
+    m = int(big.sum())
+    mid = np.frombuffer(b, np.uint16, m, 8 + n).astype(np.int64)
+    mid[mid == 65535] = np.frombuffer(b, np.uint64, offset=8 + n + 2 * m)
+    out[big] = mid
     return out
 
 
-def count(b: bytes) -> int:
-    """How many counts are packed there: big ones take 9 bytes, others 1."""
-    lo, hi = len(b) // 9, len(b)
-    while lo < hi:
-        m = (lo + hi) // 2
-        if m + 8 * int((np.frombuffer(b, np.uint8, m) == 255).sum()) < len(b):
-            lo = m + 1
-        else:
-            hi = m
-    return lo
-
-
 def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
@@ -90,8 +83,8 @@ def ask(level: int, part: int, bits: int, context: np.ndarray, times: np.ndarray
     for k in np.flatnonzero(np.diff(begin)):
         c, f = slice(begin[k], begin[k + 1]), slice(at[k], at[k + 1])
         w = word[f]
-        six = (w >> np.uint64(32)).astype(np.uint32).tobytes() + (w >> np.uint64(16)).astype(np.uint16).tobytes()
-        rows.append((level, int(k), int(k), part, context[c].tobytes(), pack(times[c]), pack(followers[c]), six, pack(n[f])))
+        five = (w >> np.uint64(32)).astype(np.uint32).tobytes() + (w >> np.uint64(24)).astype(np.uint8).tobytes()
+        rows.append((level, int(k), int(k), part, context[c].tobytes(), pack(times[c]), pack(followers[c]), five, pack(n[f])))
     return rows
 
 
@@ -106,11 +99,10 @@ def merge(t: pa.Table, least: int) -> pa.Table:
         return t
     q = t.to_pylist()
     ctx = [np.frombuffer(r["x1"], np.uint64) for r in q]
-    cc = [unpack(r["x2"], len(c)) for r, c in zip(q, ctx)]
-    nf = [unpack(r["x3"], len(c)) for r, c in zip(q, ctx)]
+    cc, nf = ([unpack(r[x]) for r in q] for x in ("x2", "x3"))
     n = [int(x.sum()) for x in nf]
-    word = [np.frombuffer(r["x4"], np.uint32, m).astype(np.uint64) << np.uint64(16) | np.frombuffer(r["x4"], np.uint16, m, 4 * m).astype(np.uint64) for r, m in zip(q, n)]
-    fc = np.concatenate([unpack(r["x5"], m) for r, m in zip(q, n)])
+    word = [np.frombuffer(r["x4"], np.uint32, m).astype(np.uint64) << np.uint64(8) | np.frombuffer(r["x4"], np.uint8, m, 4 * m).astype(np.uint64) for r, m in zip(q, n)]
+    fc = np.concatenate([unpack(r["x5"]) for r in q])
     all_ctx, inv = np.unique(np.concatenate(ctx), return_inverse=True)
     total = np.zeros(len(all_ctx), np.int64)
     np.add.at(total, inv, np.concatenate(cc))
@@ -139,7 +131,7 @@ def merge(t: pa.Table, least: int) -> pa.Table:
 def hear(t: pa.Table, level: int) -> list[np.ndarray]:
     """A part's answers of a level, in the order of its questions: counts, kept followers, their sum; the followers' counts."""
     got = sorted((r for r in t.to_pylist() if r["level"] == level), key=lambda r: r["slot"])
-    return [np.concatenate([unpack(r[x], count(r[x])) for r in got] or [np.zeros(0, np.int64)]) for x in FIELDS[:4]]
+    return [np.concatenate([unpack(r[x]) for r in got] or [np.zeros(0, np.int64)]) for x in FIELDS[:4]]
 
 
 class Part:
@@ -175,32 +167,30 @@ class Part:
         followers = np.bincount(self.triples >> 32, minlength=len(self.context))
         return ask(2, part, bits, self.context_hash, np.ones(len(self.context), np.int64), followers, self.words[self.triples & 0xFFFFFFFF], self.triple_times)
 
-    def automaton(self, pairs: list[np.ndarray], triples: list[np.ndarray], size: dict, least: int, discount: float) -> Automaton:
+    def automaton(self, pairs: list[np.ndarray], triples: list[np.ndarray], size: int, discount: float) -> Automaton:
         """The slice of the automaton that the part's texts can reach."""
         total, k1, s1, c2 = pairs
         _, k2, s2, c3 = triples
-        on = total >= least
-        number = np.where(on, np.cumsum(on) - 1, -1)
-        b0 = 1 - (size["s"] - discount * size["v"]) / max(1, size["n"])
-        unk = b0 / (size["v"] + 1)
-        p1 = np.where(on, (total - discount) / max(1, size["n"]) + unk, unk)
+        v = len(self.words)
+        p1 = (total - discount) / max(1, size)
         b1 = 1 - (s1 - discount * k1) / np.maximum(total, 1)
         u, w = self.pairs >> 32, self.pairs & 0xFFFFFFFF
         p2 = (c2 - discount) / np.maximum(total[u], 1) + b1[u] * p1[w]
         live = c2 > 0
-        state2 = np.where(live, int(on.sum()) + np.cumsum(live), -1)
+        state2 = np.where(live, v + np.cumsum(live), -1)
         b2 = np.ones(len(self.pairs))
         b2[self.context] = 1 - (s2 - discount * k2) / np.maximum(c2[self.context], 1)
         t = np.flatnonzero(c3 > 0)
         h, w3 = self.context[self.triples[t] >> 32], self.triples[t] & 0xFFFFFFFF
         low = np.searchsorted(self.pairs, w[h] << 32 | w3)
         p3 = (c3[t] - discount) / c2[h] + b2[h] * p2[low]
-        key = np.concatenate([number[u[live]] + 1 << 32 | number[w[live]], state2[h] << 32 | number[w3]])
+        # Arcs of words and then of pairs: both in the order of their keys.
+        key = np.concatenate([u[live] + 1 << 32 | w[live], state2[h] << 32 | w3])
         to, p = np.concatenate([state2[live], state2[low]]), np.log(np.concatenate([p2[live], p3]))
-        order = np.argsort(key)
-        bow = np.log(np.concatenate([[1.0], b1[on], b2[live]]))
-        fail = np.concatenate([np.zeros(1 + int(on.sum()), np.int64), number[w[live]] + 1])
-        return Automaton(np.log(p1[on]), math.log(unk), key[order], to[order], p[order], bow, fail, number, state2)
+        bow = np.log(np.concatenate([[1.0], b1, b2[live]]))
+        fail = np.concatenate([np.zeros(1 + v, np.int64), w[live] + 1])
+        order = np.argsort(key, kind="stable")
+        return Automaton(np.log(p1), key[order], to[order], p[order], bow, fail, state2)
 
 
 class Automaton:
@@ -210,23 +200,22 @@ class Automaton:
     states to pairs, of pair states to the pair of their last two words.
     """
 
-    def __init__(self, p1, unk, key, to, p, bow, fail, number, pair_state):
-        self.p1, self.unk, self.key, self.to, self.p, self.bow, self.fail = p1, unk, key, to, p, bow, fail
-        #: The part's words by their numbers in the model (-1: not kept), and its pairs' states.
-        self.number, self.pair_state = number, pair_state
+    def __init__(self, p1, key, to, p, bow, fail, pair_state):
+        self.p1, self.key, self.to, self.p, self.bow, self.fail = p1, key, to, p, bow, fail
+        #: The states of the part's pairs; -1 for those that aren't kept.
+        self.pair_state = pair_state
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states and the log-probabilities; word -1 is <unk>."""
+        """The next states and the log-probabilities."""
         logp, after = np.zeros(len(state)), np.zeros(len(state), dtype=np.int64)
         todo, s, w = np.arange(len(state)), state, word
         while len(todo):
             base = s == 0
             k = todo[base]
-            known = w[base] >= 0
-            logp[k] += np.where(known, self.p1[w[base]], self.unk) if len(self.p1) else self.unk
-            after[k] = np.where(known, w[base] + 1, 0)
+            logp[k] += self.p1[w[base]]
+            after[k] = w[base] + 1
             todo, s, w = todo[~base], s[~base], w[~base]
-            at = find(self.key, np.where(w >= 0, s << 32 | w, -1))
+            at = find(self.key, s << 32 | w)
             hit = at >= 0
             logp[todo[hit]] += self.p[at[hit]]
             after[todo[hit]] = self.to[at[hit]]
@@ -242,7 +231,7 @@ class Automaton:
         them. So the run of every text is laid out from left to right at once, its states one place ahead of its words, and
         one step takes the arcs of all places.
         """
-        w = self.number[part.at]
+        w = part.at
         before = np.zeros(len(w), np.int64)
         if len(w) > 1:
             pair = np.where(part.pair_of[:-1] >= 0, self.pair_state[part.pair_of[:-1]], -1) if len(self.pair_state) else np.full(len(w) - 1, -1)
@@ -256,41 +245,25 @@ class Automaton:
         return np.bincount(part.row, weights=p, minlength=len(part.n))
 
 
-def corpus_size(docs: DataFrame, least: int) -> dict:
-    """Bytes, words (n), kept words (v) and their occurrences (s); words are summed by partition before the shuffle."""
+def corpus_size(docs: DataFrame) -> int:
+    """The number of words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["k", "n"])
-
         for b in batches:
-            held.append(word_hashes(b.column(0))[0])
-            size += len(held[-1])
-            if size > FLUSH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array([int(spans(*text_bytes(b.column(0)))[2].sum())])], ["n"])
 
-    words = docs.select("text").transform(map_arrow, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    kept = lambda c: F.coalesce(F.sum(F.when(F.col("n") >= least, c)), F.lit(0))
-    r = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), kept(F.lit(1)).alias("v"), kept(F.col("n")).alias("s")).first()
-    return r.asDict()
+    return docs.select("text").transform(map_arrow, run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, discount: float = DISCOUNT, part: int = PART, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_words, logprob, mean_logprob) of every row."""
     need(docs, "doc_id", "text")
     d = docs.select(integer_id(docs, "doc_id").alias("doc_id"), "text")
-    size = corpus_size(d, min_count)
-    total = 6 * size["n"]
-    parts = max(1, math.ceil(total / part))
+    size = corpus_size(d)
+    parts = max(1, math.ceil(6 * size / part))
     if parts > FEW:
         parts = int(FEW * math.sqrt(parts / FEW))
-    bits = min(int(math.log2(MOST_BUCKETS)), max(0, math.ceil(math.log2(max(1, size["n"] / bucket)))))
+    bits = min(int(math.log2(MOST_BUCKETS)), max(0, math.ceil(math.log2(max(1, size / bucket)))))
     d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"), "doc_id", "text").repartition("part")
 
     def first(t: pa.Table) -> pa.Table:
@@ -308,7 +281,7 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, discount: float = DIS
         own = Part(t.column("text"))
         pairs, triples = hear(back, 1), hear(back, 2)
         own.kept_triples(pairs[3])
-        score, none = own.automaton(pairs, triples, size, min_count, discount).score(own), own.n == 0
+        score, none = own.automaton(pairs, triples, size, discount).score(own), own.n == 0
         return pa.Table.from_arrays(
             [t.column("doc_id"), pa.array(own.n.astype(np.int64)), pa.array(np.round(score, 4), mask=none), pa.array(np.round(score / np.maximum(own.n, 1), 6), mask=none)], ["doc_id", "n_words", "logprob", "mean_logprob"]
         )
@@ -325,10 +298,7 @@ LM_SQL = f"""
 WITH tok AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
 seq AS (SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM tok)),
 size AS (SELECT count(*)::double AS n FROM seq),
-k1 AS (SELECT w, count(*)::double AS c FROM seq GROUP BY w HAVING count(*) >= {MIN_COUNT}),
-voc AS (SELECT count(*)::double AS v, coalesce(sum(c), 0) AS s FROM k1),
-unk AS (SELECT (1 - (s - {DISCOUNT}::double * v) / n) / (v + 1) AS p FROM size, voc),
-p1 AS (SELECT w, c, (c - {DISCOUNT}::double) / n + unk.p AS p FROM k1, size, unk),
+p1 AS (SELECT w, count(*)::double AS c, (count(*) - {DISCOUNT}::double) / any_value(n) AS p FROM seq, size GROUP BY w),
 k2 AS (SELECT v, w, count(*)::double AS c FROM seq WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= {MIN_COUNT}),
 b1 AS (SELECT v, 1 - (sum(k2.c) - {DISCOUNT}::double * count(*)) / any_value(p1.c) AS b FROM k2 JOIN p1 ON p1.w = k2.v GROUP BY v),
 p2 AS (SELECT k2.v, k2.w, k2.c, (k2.c - {DISCOUNT}::double) / a.c + b1.b * z.p AS p FROM k2 JOIN p1 a ON a.w = k2.v JOIN b1 ON b1.v = k2.v JOIN p1 z ON z.w = k2.w),
@@ -339,8 +309,8 @@ each AS (
   SELECT s.r, CASE
     WHEN p3.p IS NOT NULL THEN ln(p3.p)
     WHEN p2.p IS NOT NULL THEN ln(coalesce(b2.b, 1)) + ln(p2.p)
-    ELSE ln(coalesce(b2.b, 1)) + ln(coalesce(b1.b, 1)) + ln(coalesce(p1.p, unk.p)) END AS lp
-  FROM seq s CROSS JOIN unk
+    ELSE ln(coalesce(b2.b, 1)) + ln(coalesce(b1.b, 1)) + ln(p1.p) END AS lp
+  FROM seq s
   LEFT JOIN p1 ON p1.w = s.w LEFT JOIN p2 ON p2.v = s.v AND p2.w = s.w LEFT JOIN p3 ON p3.u = s.u AND p3.v = s.v AND p3.w = s.w
   LEFT JOIN b1 ON b1.v = s.v LEFT JOIN b2 ON b2.u = s.u AND b2.v = s.v)
 SELECT doc_id, coalesce(n, 0)::bigint AS n_words, round(lp, 4) AS logprob, round(lp / n, 6) AS mean_logprob
