@@ -9,7 +9,7 @@ context its followers, by hash, sorted and cut by context into buckets. A bucket
 parts sent and answers each in the order of its question, so an answer has no keys. Two rounds (pairs with their
 words, then triples) give every part the slice of the model that its texts can reach, with corpus-wide counts. Nothing
 is broadcast or brought to the driver but the number of words; a task holds a part or a bucket, whatever the corpus.
-Contexts go by 64 bits of hash, followers within their context by 40.
+Contexts go by 56 bits of hash; followers within their context by 40, those of pairs by 32.
 
 Smoothing. Interpolated absolute discounting: for a kept h w, P(w | h) = (c(h w) - D) / c(h) + b(h) P(w | h'), else
 b(h) P(w | h'), where h' drops the first word of h and b(h) = 1 - (S - D K) / c(h), with S and K the sum and the
@@ -42,7 +42,7 @@ MIN_COUNT, DISCOUNT = 2, 0.5
 #: Bytes of text in a part (parts grow with the square root of the corpus beyond FEW of them); n-grams in a bucket; most buckets.
 PART, FEW, BUCKET, MOST_BUCKETS = 16 << 20, 4096, 1 << 20, 1 << 16
 FIELDS = ("x1", "x2", "x3", "x4", "x5")
-SLICE = "level int, bucket int, slot int, part int, " + ", ".join(f"{x} binary" for x in FIELDS)
+SLICE = "level int, bucket int, part int, " + ", ".join(f"{x} binary" for x in FIELDS)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -66,6 +66,21 @@ def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
+def pack_sorted(h: np.ndarray) -> bytes:
+    """Sorted 56-bit numbers as differences: five bytes each, those that need more after them."""
+    d = np.diff(h, prepend=np.uint64(0))
+    most = np.uint64((1 << 40) - 1)
+    low = np.minimum(d, most)
+    return np.int64(len(h)).tobytes() + low.astype(np.uint32).tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes() + d[d >= most].tobytes()
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    n = int(np.frombuffer(b, np.int64, 1)[0])
+    d = np.frombuffer(b, np.uint32, n, 8).astype(np.uint64) | np.frombuffer(b, np.uint8, n, 8 + 4 * n).astype(np.uint64) << np.uint64(32)
+    d[d == np.uint64((1 << 40) - 1)] = np.frombuffer(b, np.uint64, offset=8 + 5 * n)
+    return np.cumsum(d, dtype=np.uint64)
+
+
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each wanted key is in the sorted keys; -1 if it isn't."""
     if not len(keys):
@@ -83,25 +98,26 @@ def ask(level: int, part: int, bits: int, context: np.ndarray, times: np.ndarray
     for k in np.flatnonzero(np.diff(begin)):
         c, f = slice(begin[k], begin[k + 1]), slice(at[k], at[k + 1])
         w = word[f]
-        five = (w >> np.uint64(32)).astype(np.uint32).tobytes() + (w >> np.uint64(24)).astype(np.uint8).tobytes()
-        rows.append((level, int(k), int(k), part, context[c].tobytes(), pack(times[c]), pack(followers[c]), five, pack(n[f])))
+        bytes_of = (w >> np.uint64(32)).astype(np.uint32).tobytes() + ((w >> np.uint64(24)).astype(np.uint8).tobytes() if level == 1 else b"")
+        rows.append((level, int(k), part, pack_sorted(context[c] >> np.uint64(8)), pack(times[c]), pack(followers[c]), bytes_of, pack(n[f])))
     return rows
 
 
 def slices(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32()] * 4 + [pa.binary()] * 5
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], ["level", "bucket", "slot", "part", *FIELDS])
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], ["level", "bucket", "part", *FIELDS])
 
 
 def merge(t: pa.Table, least: int) -> pa.Table:
     """A bucket's answers: for each part's contexts their counts in all parts, the number and the sum of kept followers; for each follower its count, 0 if it isn't kept."""
-    if not t.num_rows or t.column("bucket")[0].as_py() < 0:  # answers on their way to their part
-        return t
     q = t.to_pylist()
-    ctx = [np.frombuffer(r["x1"], np.uint64) for r in q]
+    ctx = [unpack_sorted(r["x1"]) for r in q]
     cc, nf = ([unpack(r[x]) for r in q] for x in ("x2", "x3"))
     n = [int(x.sum()) for x in nf]
-    word = [np.frombuffer(r["x4"], np.uint32, m).astype(np.uint64) << np.uint64(8) | np.frombuffer(r["x4"], np.uint8, m, 4 * m).astype(np.uint64) for r, m in zip(q, n)]
+    word = [np.frombuffer(r["x4"], np.uint32, m).astype(np.uint64) << np.uint64(8) for r, m in zip(q, n)]
+    for r, w, m in zip(q, word, n):
+        if r["level"] == 1:
+            w |= np.frombuffer(r["x4"], np.uint8, m, 4 * m).astype(np.uint64)
     fc = np.concatenate([unpack(r["x5"]) for r in q])
     all_ctx, inv = np.unique(np.concatenate(ctx), return_inverse=True)
     total = np.zeros(len(all_ctx), np.int64)
@@ -123,14 +139,14 @@ def merge(t: pa.Table, least: int) -> pa.Table:
     rows, a, b = [], 0, 0
     for r, c, m in zip(q, ctx, n):
         i = inv[a : a + len(c)]
-        rows.append((r["level"], r["bucket"], r["slot"], r["part"], pack(total[i]), pack(k[i]), pack(s[i]), pack(each[b : b + m]), b""))
+        rows.append((r["level"], r["bucket"], r["part"], pack(total[i]), pack(k[i]), pack(s[i]), pack(each[b : b + m]), b""))
         a, b = a + len(c), b + m
     return slices(rows)
 
 
 def hear(t: pa.Table, level: int) -> list[np.ndarray]:
     """A part's answers of a level, in the order of its questions: counts, kept followers, their sum; the followers' counts."""
-    got = sorted((r for r in t.to_pylist() if r["level"] == level), key=lambda r: r["slot"])
+    got = sorted((r for r in t.to_pylist() if r["level"] == level), key=lambda r: r["bucket"])
     return [np.concatenate([unpack(r[x]) for r in got] or [np.zeros(0, np.int64)]) for x in FIELDS[:4]]
 
 
@@ -274,8 +290,7 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, discount: float = DIS
             return slices([])
         number, own = t.column("part")[0].as_py(), Part(t.column("text"))
         own.kept_triples(hear(back, 1)[3])
-        rows = own.ask_triples(number, bits)
-        return slices(rows + [(1, -1 - number, r["slot"], number, *[r[x] for x in FIELDS]) for r in back.to_pylist()])
+        return slices(own.ask_triples(number, bits))
 
     def last(t: pa.Table, back: pa.Table) -> pa.Table:
         own = Part(t.column("text"))
@@ -288,9 +303,10 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, discount: float = DIS
 
     add = lambda t: merge(t, min_count)
     by = lambda x: x.groupBy("part")
-    pairs = by(d).applyInArrow(first, SLICE).groupBy("bucket").applyInArrow(add, SLICE)
-    both = by(d).cogroup(by(pairs)).applyInArrow(second, SLICE).groupBy("bucket").applyInArrow(add, SLICE)
-    return by(d).cogroup(by(both)).applyInArrow(last, "doc_id long, n_words long, logprob double, mean_logprob double")
+    pairs = by(d).applyInArrow(first, SLICE).groupBy("bucket").applyInArrow(add, SLICE).repartition("part")
+    triples = by(d).cogroup(by(pairs)).applyInArrow(second, SLICE).groupBy("bucket").applyInArrow(add, SLICE).repartition("part")
+    # The union keeps its parts' partitioning, so the answers of the first round aren't shuffled again.
+    return by(d).cogroup(by(pairs.unionAll(triples))).applyInArrow(last, "doc_id long, n_words long, logprob double, mean_logprob double")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
