@@ -39,14 +39,50 @@ def test_block_max_search_is_exact():
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
     r, f = np.nonzero(dense)
     index = X.BlockMaxIndex(n, r, f, dense[r, f], nf)
-    for _ in range(50):
-        q = rng.random(nf) * (rng.random(nf) < 0.15)
-        fs = np.flatnonzero(q)
-        q = q / max(np.linalg.norm(q), 1e-9)
-        ids, sims = index.nearest(fs, q[fs], 15)
-        cos = np.round(dense @ q, 12)
-        want = [i for i in np.lexsort((np.arange(n), -cos)) if cos[i] > 0][:15]
-        assert np.allclose(sims, cos[want], atol=1e-9) and np.allclose(cos[ids], cos[want], atol=1e-9)
+    q = rng.random((300, nf)) * (rng.random((300, nf)) < 0.15)
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
+    qr, qf = np.nonzero(q)
+    but = rng.integers(0, n, 300)
+    for left_out in (None, but):
+        got = {i: (ids, sims) for i, ids, sims in index.search(qr, qf, q[qr, qf], 300, 15, left_out)}
+        for i in range(300):
+            cos = np.round(dense @ q[i], 12)
+            if left_out is not None:
+                cos[but[i]] = 0
+            want = [j for j in np.lexsort((np.arange(n), -cos)) if cos[j] > 0][:15]
+            ids, sims = got.get(i, (np.zeros(0, int), np.zeros(0)))
+            assert np.allclose(sims, cos[want], atol=1e-9) and np.allclose(cos[ids], cos[want], atol=1e-9)
+
+
+def test_toxicity_matches_brute_force(spark):
+    """Weights, cosines, neighbours, votes and scores of 500 documents by loops over words."""
+    rows, labels = toxic_rows(500)
+    docs, y = spark.createDataFrame(rows, "doc_id long, text string"), dict(labels)
+    model = X.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in X.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    tf = {i: collections.Counter(t.lower().split()) for i, t in rows}
+    df = collections.Counter(w for c in tf.values() for w in c)
+    a, b = (collections.Counter(w for i, t in labels if t == k for w in tf[i]) for k in (1, 0))
+    relevance = {w: math.log2(2 + max(a[w] - 1, 0) / max(b[w], 1)) ** 2 for w in {*a, *b}}
+    weight = {w: math.log(500 / df[w]) * r if df[w] <= 50 or r >= X.RELEVANT else 0 for w, r in relevance.items()}
+
+    def vector(i):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in tf[i].items() if weight.get(w)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {i: vector(i) for i in y}
+    assert sum(map(bool, examples.values())) > 0.95 * len(examples)  # clean ones are in the index as well
+    for i, _ in rows:
+        v = vector(i)
+        cos = {j: round(sum(x * e.get(w, 0) for w, x in v.items()), 12) for j, e in examples.items()}
+        near = sorted((-c, j) for j, c in cos.items() if c > 1e-12)[: X.NEIGHBOURS]
+        assert np.allclose([e.cosine for e in got[i].evidence], [-c for c, _ in near], atol=2e-6)
+        w = [c * c for c, _ in near]
+        raw = (sum(x for x, (_, j) in zip(w, near) if y[j]) + X.PRIOR * model.prior) / (sum(w) + X.PRIOR)
+        x = min(max(raw, 1e-4), 1 - 1e-4)
+        want = 1 / (1 + math.exp(-(model.beta[0] + model.beta[1] * math.log(x / (1 - x)))))
+        assert abs(got[i].score - want) < 1e-3 and got[i].toxic == (got[i].score >= X.THRESHOLD and bool(near))
 
 
 def test_toxicity_separates_held_out(spark):

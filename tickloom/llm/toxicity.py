@@ -1,24 +1,25 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Features of a document are its words (ASCII lower case) and their first four to
-eight bytes, for stems. The features used are those that labelled toxic examples have
-significantly more often than clean ones. Two parts of a bounded, seeded sample of the labels
-(at most `per_class` of each class) serve this: one half chooses the features, the other half
-is the index of examples. Document frequencies for the IDF are counted over all documents.
-
-The index is inverted: a posting list for each feature, in blocks of BLOCK examples, each
-with its largest weight. A query adds these maxima to a bound for every block, visits
-blocks from the highest bound on, and stops below the k-th best cosine so far, so the
-k nearest are exact (ties: the lesser id). Every text is read whole; equal vectors are searched once in a batch.
+Terms are a text's words (ASCII lower case). The examples are a bounded, seeded sample of the labels (at most `per_class`
+of each class), clean and toxic ones alike; the vocabulary is all their words. A term weighs (1 + ln tf) x idf x
+relevance. idf = ln(N / df), with document frequencies counted over all documents, is floored to 0 for terms of more than MAX_SHARE of
+them, unless more toxic examples than clean ones have the term. Relevance (relevance frequency, squared) is log2(2 + (a - 1) / b)^2 for a term
+that a toxic and b clean examples have, never below 1: no term is dropped for it. Without that factor neighbours are decided
+by rare harmless words (README has the figures).
+
+The index is inverted: a posting list for each term, in blocks of BLOCK examples, each with its largest weight. A query
+adds these maxima to a bound for every block. The FIRST blocks of the highest bounds are scored, then every other block whose bound
+reaches the k-th best cosine so far; so the k nearest are exact (ties: the lesser id). Queries are
+searched many at a time. Every text is read whole.
 
 The score is a distance-weighted vote: squared cosines, weighted by how many labelled
-documents of its class each example stands for, with the share of toxic labels among
-documents without any feature as a prior of weight PRIOR; then a logistic
-calibration fitted on the index's examples, each scored without itself.
+documents of its class each example stands for, with the labels' toxic share as a prior of weight PRIOR; then a logistic
+calibration fitted on the examples, each scored without itself.
 
-Defined cases: null and empty texts, and those without a feature, get the prior and no
+Defined cases: null and empty texts, and those without a term of the vocabulary, get the prior and no
 evidence, and are never called toxic; without toxic or without clean labels every score is null and nothing is toxic;
-rows of the same id are scored one by one; labels that are null are left out, of a document's several labels the highest counts.
+rows of the same id are scored one by one; labels that are null are left out, of a document's several labels the highest counts;
+ids are integers; other columns, whatever their names, are ignored or passed on.
 Neither documents nor scores are shuffled.
 """
 
@@ -31,136 +32,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import IS_WORD, LOWER, P_BYTE, T_BYTE, map_arrow, mix, need, prefix_sums, row_slices, span_hash, spans, text_bytes
-
-PER_CLASS, NEIGHBOURS, BLOCK, PRIOR, MAX_FEATURES, MIN_Z, MIN_LIFT, THRESHOLD = 3000, 15, 64, 0.05, 8192, 4.0, 5.0, 0.5
-STEMS = (4, 5, 6, 7, 8)
+from tickloom.llm.shared import integer_id, map_arrow, need, numbered, word_hashes
 
+PER_CLASS, NEIGHBOURS, BLOCK, FIRST, PRIOR, MAX_SHARE, THRESHOLD = 3000, 15, 64, 8, 4e-4, 0.1, 0.5
+#: The relevance of a term that as many toxic examples (but one) as clean ones have.
+RELEVANT = np.log2(3) ** 2
+#: Queries searched at a time.
+QUERIES = 128
 
-def feature_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all features of the rows, and their rows. A word no longer than a stem is no stem as well."""
-    starts, ends, n = spans(buf, off, IS_WORD)
-    sums = prefix_sums(T_BYTE[LOWER[buf]], P_BYTE)
-    rows = np.repeat(np.arange(len(n)), n)
-    hs, rs = [mix(span_hash(sums, starts, ends, P_BYTE), 1)], [rows]
-    for k in STEMS:
-        long = np.flatnonzero(ends - starts > k)
-        hs.append(mix(span_hash(sums, starts[long], starts[long] + k, P_BYTE), 1 + k))
-        rs.append(rows[long])
-    return np.concatenate(hs), np.concatenate(rs)
 
-
-class Features:
-    """The chosen features' hashes, sorted; a bitmap of 2^20 bits goes before the search in them."""
+class Terms:
+    """The vocabulary: sorted hashes; a bitmap of 2^20 bits goes before the search in them."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(np.uint64))
+        self.hashes = np.unique(hashes.astype(np.uint64))
         self.may = np.zeros(1 << 20, dtype=bool)
         self.may[self.hashes >> np.uint64(44)] = True
 
     def vectors(self, col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, feature, count) of the texts' features, in this order."""
-        buf, off = text_bytes(col)
-        keys = [np.zeros(0, np.int64)]
-        for a, b in row_slices(off):
-            h, r = feature_hashes(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-            on = self.may[h >> np.uint64(44)]
-            h, r = h[on], r[on]
-            at = np.searchsorted(self.hashes, h)
-            at[at == len(self.hashes)] = 0
-            on = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-            keys.append((r[on] + a) * np.int64(MAX_FEATURES) + at[on])
-        key, count = np.unique(np.concatenate(keys), return_counts=True)
-        return key // MAX_FEATURES, key % MAX_FEATURES, count
-
-
-def choose_features(texts: list[str], toxic: np.ndarray, min_z: float = MIN_Z) -> np.ndarray:
-    """Hashes of the features that toxic examples have more often than clean ones, MIN_LIFT times as often or more, and by a signed root likelihood ratio of min_z or more."""
-    buf, off = text_bytes(pa.array(texts, pa.large_string()))
-    pairs = []
-    for a, b in row_slices(off):
-        h, r = feature_hashes(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-        o = np.lexsort((h, r))
-        h, r = h[o], r[o]
-        first = np.ones(len(h), dtype=bool)
-        first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-        pairs.append((h[first], toxic[r[first] + a]))
-    h, t = (np.concatenate([p[k] for p in pairs]) for k in (0, 1)) if pairs else (np.zeros(0, np.uint64), np.zeros(0))
-    u, inv = np.unique(h, return_inverse=True)
-    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-    x1, n = np.bincount(inv, weights=t, minlength=len(u)), np.bincount(inv, minlength=len(u))
-
-    def part(seen: np.ndarray, due: np.ndarray) -> np.ndarray:
-        return seen * np.log(np.maximum(seen, 1e-300) / np.maximum(due, 1e-300))
-
-    # The signed root of the likelihood ratio against equal shares: good for small counts, too.
-    share = n / (n1 + n0)
-    g = part(x1, n1 * share) + part(n - x1, n0 * share) + part(n1 - x1, n1 * (1 - share)) + part(n0 - n + x1, n0 * (1 - share))
-    more = (x1 + 0.5) / (n1 + 1) >= MIN_LIFT * (n - x1 + 0.5) / (n0 + 1)
-    z = np.where(more, np.sqrt(np.maximum(0, 2 * g)), 0)
-    best = np.lexsort((u, -z))[:MAX_FEATURES]
-    return u[best[z[best] >= min_z]]
-
-
-def weigh(rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF with logarithmic TF, of length 1 in each row."""
-    w = (1 + np.log(counts)) * idf[feats]
+        """(row, term, count) of the texts' terms, in this order."""
+        h, n = word_hashes(col)
+        row = np.repeat(np.arange(len(n)), n)
+        on = self.may[h >> np.uint64(44)]
+        h, row = h[on], row[on]
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        on = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+        key, count = np.unique(row[on] << 32 | at[on], return_counts=True)
+        return key >> 32, key & 0xFFFFFFFF, count
+
+
+def relevance(rows: np.ndarray, terms: np.ndarray, toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """log2(2 + (a - 1) / b)^2 of each term, from the examples that have it."""
+    a = np.bincount(terms, weights=toxic[rows], minlength=n_terms)
+    b = np.bincount(terms, minlength=n_terms) - a
+    return np.log2(2 + np.maximum(a - 1, 0) / np.maximum(b, 1)) ** 2
+
+
+def weigh(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of length 1 in each row, without terms of weight 0."""
+    w = (1 + np.log(counts)) * weight[terms]
+    on = w > 0
+    rows, terms, w = rows[on], terms[on], w[on]
     if len(rows):
-        norm = np.sqrt(np.bincount(rows, weights=w * w))
-        w = w / norm[rows]
-    return w
+        w = w / np.sqrt(np.bincount(rows, weights=w * w))[rows]
+    return rows, terms, w
+
+
+def spread(begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers begin .. begin + n - 1 of every entry in turn, and the entry of each."""
+    entry = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + begin[entry], entry
 
 
 class BlockMaxIndex:
-    """Posting lists of the examples' weights, with the largest weight in each block of examples."""
+    """Posting lists of the examples' weights by term and block, with the largest weight of each term in each of its blocks."""
 
-    def __init__(self, n: int, rows: np.ndarray, feats: np.ndarray, weights: np.ndarray, n_features: int):
-        self.n, self.blocks = n, -(-n // BLOCK) if n else 0
-        order = np.lexsort((rows, feats))
+    def __init__(self, n: int, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
+        self.n, self.blocks = n, max(1, -(-n // BLOCK))
+        order = np.lexsort((rows, terms))
         self.rows, self.weights = rows[order], weights[order]
-        feats = feats[order]
-        self.most = np.zeros((n_features, self.blocks))
-        np.maximum.at(self.most, (feats, self.rows // BLOCK), self.weights)
-        #: Where the postings of a feature in a block begin.
-        self.begin = np.searchsorted(feats * np.int64(max(1, self.blocks)) + self.rows // BLOCK, np.arange(n_features * max(1, self.blocks) + 1))
-
-    def nearest(self, feats: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the highest cosine above 0 (ties: the lesser number), and their cosines."""
-        bound = weights @ self.most[feats] if len(feats) else np.zeros(self.blocks)
-        ids, sims, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(ids) == k and bound[b] < kth - 1e-9:
-                break
-            s = np.zeros(BLOCK)
-            for f, w in zip(feats, weights):
-                a, z = self.begin[f * self.blocks + b], self.begin[f * self.blocks + b + 1]
-                s[self.rows[a:z] - b * BLOCK] += w * self.weights[a:z]
-            got = np.flatnonzero(s > 0)
-            got = got[got + b * BLOCK != but]
-            ids, sims = np.concatenate([ids, got + b * BLOCK]), np.concatenate([sims, np.round(s[got], 12)])
-            top = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[top], sims[top]
-            kth = sims[-1] if len(sims) == k else 0.0
-        return ids, sims
+        key = terms[order] * np.int64(self.blocks) + self.rows // BLOCK
+        self.post = np.flatnonzero(np.diff(key, prepend=-1))  # where a term's postings in a block begin
+        self.size = np.diff(np.append(self.post, len(key)))
+        self.block = key[self.post] % self.blocks
+        self.most = np.maximum.reduceat(self.weights, self.post) if len(self.post) else np.zeros(0)
+        self.begin = np.searchsorted(key[self.post], np.arange(n_terms + 1) * np.int64(self.blocks))
+
+    def search(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, but: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each of the n queries that has one, its k examples of the highest cosine above 0 (ties: the lesser number) and the cosines. but: an example that a query leaves out."""
+        cut = np.searchsorted(rows, np.arange(0, n + QUERIES, QUERIES))
+        for q in range(len(cut) - 1):
+            s = slice(cut[q], cut[q + 1])
+            if s.start < s.stop:
+                m = min(QUERIES, n - q * QUERIES)
+                yield from self._batch(rows[s] - q * QUERIES, terms[s], weights[s], m, k, None if but is None else but[q * QUERIES : q * QUERIES + m], q * QUERIES)
+
+    def _batch(self, rows, terms, weights, n, k, but, first):
+        e, of = spread(self.begin[terms], self.begin[terms + 1] - self.begin[terms])
+        row, w = rows[of], weights[of]
+        cell = row * self.blocks + self.block[e]
+        bound = np.bincount(cell, weights=w * self.most[e], minlength=n * self.blocks).reshape(n, self.blocks)
+        cos = np.zeros(n * self.n)
+
+        def score(chosen: np.ndarray) -> None:
+            on = np.flatnonzero(chosen.ravel()[cell])
+            p, i = spread(self.post[e[on]], self.size[e[on]])
+            np.add(cos, np.bincount(row[on][i] * self.n + self.rows[p], weights=w[on][i] * self.weights[p], minlength=n * self.n), out=cos)
+            if but is not None:
+                cos.reshape(n, self.n)[np.arange(n), but] = 0
+
+        done = np.zeros_like(bound, dtype=bool)
+        np.put_along_axis(done, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        done &= bound > 0
+        score(done)
+        at = min(k, self.n) - 1
+        kth = -np.partition(-cos.reshape(n, self.n), at, axis=1)[:, at]
+        score((bound > 0) & ~done & (bound >= kth[:, None] - 1e-9))
+        c = np.round(cos.reshape(n, self.n), 12)
+        kth = -np.partition(-c, at, axis=1)[:, at]
+        r, x = np.nonzero((c >= kth[:, None]) & (c > 0))
+        v = c[r, x]
+        order = np.lexsort((x, -v, r))
+        r, x, v = r[order], x[order], v[order]
+        begin = np.searchsorted(r, np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(begin)):
+            z = slice(begin[i], min(begin[i] + k, begin[i + 1]))
+            yield first + int(i), x[z], v[z]
 
 
 class ToxicModel:
-    """Features, IDF, index, votes and calibration; of bounded size, so it may be broadcast."""
-
-    def __init__(self, features: Features, k: int = NEIGHBOURS):
-        self.features, self.k = features, k
-
-    def fit(self, ids: np.ndarray, texts: list[str], toxic: np.ndarray, stands_for: np.ndarray, idf: np.ndarray) -> ToxicModel:
-        self.ids, self.toxic, self.mass, self.idf = ids, toxic.astype(float), stands_for, idf
-        rows, feats, counts = self.features.vectors(pa.array(texts, pa.large_string()))
-        weights = weigh(rows, feats, counts, idf)
-        self.index = BlockMaxIndex(len(ids), rows, feats, weights, len(self.features.hashes))
-        bare = np.setdiff1d(np.arange(len(ids)), rows)
-        self.prior = float(((self.toxic * self.mass)[bare].sum() + 0.5 * self.mass.min()) / (self.mass[bare].sum() + self.mass.max()))
+    """Terms, their weights, index, votes and calibration; of bounded size, so it may be broadcast."""
+
+    def __init__(self, terms: Terms, k: int = NEIGHBOURS):
+        self.terms, self.k = terms, k
+
+    def fit(self, ids: np.ndarray, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], toxic: np.ndarray, stands_for: np.ndarray, idf: np.ndarray, common: np.ndarray) -> ToxicModel:
+        """ids ascend; vectors: the examples' (row, term, count); common: which terms have a floored IDF."""
+        self.ids, self.toxic, self.mass = ids, toxic.astype(float), stands_for
+        self.weight = idf * relevance(vectors[0], vectors[1], self.toxic, len(idf))
+        self.weight[common & (self.weight < idf * RELEVANT)] = 0
+        self.prior = float((self.toxic * self.mass).sum() / self.mass.sum())
+        v = weigh(*vectors, self.weight)
+        self.index = BlockMaxIndex(len(ids), *v, len(idf))
         raw = np.full(len(ids), self.prior)
-        starts = np.flatnonzero(np.diff(rows, prepend=-1))
-        for a, b in zip(starts, np.append(starts[1:], len(rows))):
-            raw[rows[a]] = self.vote(*self.index.nearest(feats[a:b], weights[a:b], self.k, int(rows[a])))
+        for i, near, cos in self.index.search(*v, len(ids), self.k, np.arange(len(ids))):
+            raw[i] = self.vote(near, cos)
         # Logistic calibration by Newton's method, with the classes at their true shares and a little ridge.
         x = np.stack([np.ones(len(raw)), _logit(raw)], axis=1)
         m = self.mass / self.mass.mean()
@@ -175,24 +172,17 @@ class ToxicModel:
         self.beta = beta
         return self
 
-    def vote(self, near: np.ndarray, sims: np.ndarray) -> float:
-        w = sims**2 * self.mass[near] / self.mass.mean()
+    def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
+        w = cos**2 * self.mass[near] / self.mass.mean()
         return float((np.sum(w * self.toxic[near]) + PRIOR * self.prior) / (np.sum(w) + PRIOR))
 
     def score(self, col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, list[list[dict]]]:
         """Calibrated scores, and evidence: the nearest examples with their cosines and labels."""
-        rows, feats, counts = self.features.vectors(col)
-        weights = weigh(rows, feats, counts, self.idf)
         raw = np.full(len(col), self.prior)
         evidence: list[list[dict]] = [[] for _ in range(len(col))]
-        seen: dict[bytes, tuple] = {}
-        starts = np.flatnonzero(np.diff(rows, prepend=-1))
-        for a, b in zip(starts, np.append(starts[1:], len(rows))):
-            key = feats[a:b].tobytes() + counts[a:b].tobytes()
-            if key not in seen:
-                near, sims = self.index.nearest(feats[a:b], weights[a:b], self.k)
-                seen[key] = self.vote(near, sims), [{"doc_id": int(self.ids[i]), "cosine": float(round(s, 6)), "toxic": bool(self.toxic[i])} for i, s in zip(near, sims)]
-            raw[rows[a]], evidence[rows[a]] = seen[key]
+        for i, near, cos in self.index.search(*weigh(*self.terms.vectors(col), self.weight), len(col), self.k):
+            raw[i] = self.vote(near, cos)
+            evidence[i] = [{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in zip(self.ids[near].tolist(), np.round(cos, 6).tolist(), (self.toxic[near] > 0).tolist())]
         return 1 / (1 + np.exp(-(self.beta[0] + self.beta[1] * _logit(raw)))), evidence
 
 
@@ -206,43 +196,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     size = {r["toxic"]: r["count"] for r in y.groupBy("toxic").count().collect()}
     w = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    chosen = y.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_class).select("doc_id", "toxic", "h")
-    d = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = d.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("h").alias("h")).collect()
-    return sorted(rows, key=lambda r: (r["h"], r["doc_id"])), size
+    chosen = y.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_class).select("doc_id", "toxic")
+    d = docs.where("text is not null").select(integer_id(docs).alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = d.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    return sorted(rows, key=lambda r: r["doc_id"]), size
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS, min_z: float = MIN_Z) -> ToxicModel | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS, max_share: float = MAX_SHARE) -> ToxicModel | None:
     """The model; None if a class has no labelled document. docs: all of them, for the document frequencies."""
     need(docs, "doc_id", "text")
     need(labels, "doc_id", "toxic")
     rows, size = labelled_sample(docs, labels, per_class)
-    halves = [[r for i, r in enumerate(x for x in rows if x["toxic"] == t) if i % 2 == half] for half in (0, 1) for t in (0, 1)]
-    choose, index = halves[0] + halves[1], halves[2] + halves[3]
-    if not all(halves[2:]) or not all(halves[:2]):
-        choose = index = rows
-    if len({r["toxic"] for r in index}) < 2:
+    if len({r["toxic"] for r in rows}) < 2:
         return None
-    y = np.array([r["toxic"] for r in choose])
-    features = Features(choose_features([r["text"] for r in choose], y, min_z))
-    n = len(features.hashes)
-    shared = docs.sparkSession.sparkContext.broadcast(features)
+    texts = pa.array([r["text"] for r in rows], pa.large_string())
+    terms = Terms(word_hashes(texts)[0])
+    n = len(terms.hashes)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n + 1, dtype=np.int64)
         for b in batches:
             total[n] += b.num_rows
             total[:n] += np.bincount(shared.value.vectors(b.column(0))[1], minlength=n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(total)], ["f", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["f", "n"])
 
     df = np.zeros(n + 1)
-    for r in docs.select("text").transform(map_arrow, count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
+    counts = docs.select("text").transform(map_arrow, count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    for r in counts.collect():  # one number a term of the vocabulary, which the sample bounds
         df[r["f"]] = r["n"]
-    idf = np.log((df[n] + 1) / (df[:n] + 1)) + 1
-    y = np.array([r["toxic"] for r in index])
+    idf = np.log(df[n] / np.maximum(df[:n], 1))
+    y = np.array([r["toxic"] for r in rows])
     have = np.bincount(y, minlength=2)
     mass = np.array([size[0] / have[0], size[1] / have[1]])[y]
-    return ToxicModel(features, k).fit(np.array([r["doc_id"] for r in index]), [r["text"] for r in index], y, mass, idf)
+    return ToxicModel(terms, k).fit(np.array([r["doc_id"] for r in rows]), terms.vectors(texts), y, mass, idf, df[:n] > max_share * df[n])
 
 
 EVIDENCE = "array<struct<doc_id: bigint, cosine: double, toxic: boolean>>"
@@ -250,7 +238,8 @@ EVIDENCE = "array<struct<doc_id: bigint, cosine: double, toxic: boolean>>"
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
     """(doc_id, score, toxic, evidence) of every document."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    need(docs, "doc_id", "text")
+    d = docs.select(integer_id(docs).alias("doc_id"), "text")
     model = train(docs, labels, **kw)
     if model is None:
         return d.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(False).alias("toxic"), F.expr(f"cast(array() as {EVIDENCE})").alias("evidence"))
@@ -278,6 +267,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             score, evidence = shared.value.score(b.column(at))
             yield b.filter(pa.array((score < threshold) | np.array([not e for e in evidence], dtype=bool)))
 
-    # Columns go by number meanwhile: their names may be anything.
-    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    plain = numbered(docs)  # columns' names may be anything
     return plain.transform(map_arrow, run, plain.schema).toDF(*docs.columns)
