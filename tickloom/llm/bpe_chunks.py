@@ -1,10 +1,11 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the last bytes cuts texts where content says so, so equal passages
-give equal chunks wherever they stand. Cuts lie before white space that follows a printable
-ASCII character: no piece of the tokenizer's pattern crosses such a place, and what comes after it is
+give equal chunks wherever they stand. Cuts lie before white space that follows another character, of any script, and after
+ideographic punctuation before a letter: no piece of the tokenizer's pattern crosses such a place, and what comes after it is
 split without regard to what came before, so encodings on both sides can simply be joined (a "safe" cut).
-Where no safe cut comes within MOST bytes, the chunk is cut between any two characters.
+A stretch of more than LONG bytes without a safe cut (scripts written without spaces) is cut between characters, by content too, and
+where even that gives none within MOST bytes, anywhere between two characters.
 
 1. The chunks' 128-bit hashes are counted over all documents; those in two places or more are
    marked in a bitmap of fixed size (a false positive only makes a chunk take the longer way).
@@ -13,12 +14,13 @@ Where no safe cut comes within MOST bytes, the chunk is cut between any two char
    then encoded once, and its tokens are joined back to the references and put together.
    Documents without a marked chunk are encoded where they are read.
 3. Joins at unsafe cuts are repaired: the tokens around the join are decoded and encoded
-   again, in a window that doubles until both its ends are safe cuts or ends of the text, where the new
-   tokens agree with the old.
+again, in a window that doubles until the new tokens agree with the old ones at both its ends. Byte-pair encodings are
+those sequences whose neighbouring tokens are encoded as they are, so agreement makes the whole exact.
 
 `round_trip` tells whether the tokens decode to the text's bytes (by hash where the text is no longer at hand).
 Defined cases: a null text has null tokens and is no round trip; an empty one has none and is; rows of
-equal or null ids are encoded each on their own; an empty table gives no rows.
+equal or null ids are encoded each on their own; ids are integers; other columns are ignored; an empty table gives no rows.
+The bitmap is of fixed size: where more chunks recur than it can tell apart, more documents are taken apart, with the same tokens.
 """
 
 from __future__ import annotations
@@ -34,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.bitmaps import BITS
-from tickloom.llm.shared import P_BYTE, T_BYTE, map_arrow, materialise, mix, need, prefix_sums, row_slices, span_hash, text_bytes
+from tickloom.llm.shared import P_BYTE, T_BYTE, integer_id, map_arrow, materialise, mix, need, prefix_sums, row_slices, span_hash, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes that the rolling hash looks back on; a safe place is cut once in 2^MASK_BITS; the longest chunk.
-LOOK_BACK, MASK_BITS, MOST = 48, 7, 16384
+#: Bytes that the rolling hash looks back on; a safe place is cut once in 2^MASK_BITS; stretches beyond LONG without one are cut at one in 2^(MASK_BITS + 1) characters; the longest chunk.
+LOOK_BACK, MASK_BITS, LONG, MOST = 48, 7, 2048, 16384
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 13, 32]] = True
@@ -65,29 +67,62 @@ def token_type(enc) -> type:
     return np.uint16 if enc.n_vocab <= 1 << 16 else np.uint32
 
 
-def cut_places(buf: np.ndarray, off: np.ndarray, mask_bits: int = MASK_BITS, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+def safe_places(buf: np.ndarray) -> np.ndarray:
+    """Where the text can be cut and its parts encoded apart: before white space after anything else; between ideographic punctuation and a letter."""
+    n = len(buf)
+    back = lambda k: np.concatenate([np.zeros(k, np.uint8), buf[: n - k]])
+    at = np.flatnonzero(_SPACE[buf] & (back(1) > 32))
+    one, two, three = (np.where(at >= k, buf[np.maximum(at - k, 0)], 0) for k in (1, 2, 3))
+    # White space beyond ASCII ends in these bytes.
+    wide = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE1) & (two == 0x9A) & (one == 0x80) | (three == 0xE3) & (two == 0x80) & (one == 0x80)
+    wide |= (three == 0xE2) & ((two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF)) | (two == 0x81) & (one == 0x9F)) & (one >= 0x80)
+    at = at[~wide & (_PRINT[one] | (one >= 0x80))]
+    if n < 6 or not (buf == 0x80).any() and not (buf == 0xBC).any():
+        return at
+    i = np.flatnonzero((buf[3:-2] >= 0xE3) & (buf[3:-2] <= 0xED)) + 3
+    a, b, c = buf[i - 3], buf[i - 2], buf[i - 1]
+    i = i[(a == 0xE3) & (b == 0x80) & ((c == 0x81) | (c == 0x82) | (c == 0x8D)) | (a == 0xEF) & (b == 0xBC) & ((c == 0x81) | (c == 0x8C) | (c == 0x9F))]
+    x, y, z = buf[i], buf[i + 1], buf[i + 2]
+    letter = (x == 0xE4) & (y >= 0xB8) | (x >= 0xE5) & (x <= 0xE8) | (x == 0xE9) & (y <= 0xBE) | (x == 0xEA) & (y >= 0xB0) | (x == 0xEB) | (x == 0xEC) | (x == 0xED) & (y <= 0x9D)
+    letter |= (x == 0xE3) & ((y == 0x81) & (z >= 0x82) | (y == 0x82) & ((z <= 0x96) | (z >= 0xA1)) | (y == 0x83) & (z <= 0xBA))
+    return np.union1d(at, i[letter])
+
+
+def cut_places(buf: np.ndarray, off: np.ndarray, mask_bits: int = MASK_BITS, most: int = MOST, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
     """All chunk starts in the bytes of the rows (each row's start among them, unless it is empty), and whether each is safe."""
     n = len(buf)
     begins = np.unique(off[:-1][np.diff(off) > 0])
     if n == 0:
         return begins, np.ones(0, bool)
     sums = prefix_sums(T_BYTE[buf], P_BYTE)
-    at = np.flatnonzero(_SPACE[buf[1:]] & _PRINT[buf[:-1]]) + 1
-    at = at[at - begins[np.searchsorted(begins, at, "right") - 1] >= LOOK_BACK]
-    h = mix(span_hash(sums, at - LOOK_BACK, at, P_BYTE), 3)
-    cuts = np.union1d(begins, at[h & np.uint64((1 << mask_bits) - 1) == 0])
+
+    def chosen(at: np.ndarray, bits: int) -> np.ndarray:
+        """Of the places those that the bytes before them, in the same row, choose."""
+        at = at[at - begins[np.searchsorted(begins, at, "right") - 1] >= LOOK_BACK]
+        h = mix(span_hash(sums, at - LOOK_BACK, at, P_BYTE), 3)
+        return at[h & np.uint64((1 << bits) - 1) == 0]
+
+    def gaps(cuts: np.ndarray, least: int) -> list[tuple[int, int]]:
+        ends = np.append(cuts[1:], n)
+        return [(int(cuts[k]), int(ends[k])) for k in np.flatnonzero(ends - cuts > least)]
+
+    places = safe_places(buf)
+    places = places[~np.isin(places, begins)]
+    cuts = np.union1d(begins, chosen(places, mask_bits))
+    # Long stretches first take every safe place that fewer bits choose, and only what is still long is cut elsewhere.
+    more = [chosen(places[slice(*np.searchsorted(places, (a + 1, z)))], max(0, mask_bits - 4)) for a, z in gaps(cuts, min(long, most))]
+    cuts = np.union1d(cuts, np.concatenate(more)) if more else cuts
+    more = [chosen(a + 1 + np.flatnonzero(buf[a + 1 : z] & 0xC0 != 0x80), mask_bits + 1) for a, z in gaps(cuts, min(long, most))]
+    cuts = np.union1d(cuts, np.concatenate(more)) if more else cuts
     forced = []
-    for k in np.flatnonzero(np.diff(np.append(cuts, n)) > most):
-        a, z = int(cuts[k]), int(cuts[k + 1]) if k + 1 < len(cuts) else n
+    for a, z in gaps(cuts, most):
         while z - a > most:
             a += most
-            while a > 0 and buf[a] & 0xC0 == 0x80:  # not inside a character
+            while buf[a] & 0xC0 == 0x80:  # not inside a character
                 a -= 1
             forced.append(a)
-    if forced:
-        cuts = np.union1d(cuts, forced)
-    safe = np.isin(cuts, begins) | (_SPACE[buf[cuts]] & _PRINT[buf[np.maximum(cuts - 1, 0)]])
-    return cuts, safe
+    cuts = np.union1d(cuts, np.array(forced, dtype=np.int64)) if forced else cuts
+    return cuts, np.isin(cuts, begins) | np.isin(cuts, places)
 
 
 def chunked(col: pa.Array | pa.ChunkedArray, mask_bits: int = MASK_BITS, most: int = MOST) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -120,8 +155,8 @@ def shared_chunks(docs: DataFrame, bits: int, mask_bits: int, most: int) -> np.n
     """The bitmap (2^bits bits) of the chunks that occur twice or more; of fixed size."""
     n = docs.select("text").transform(map_arrow, _count_batches(mask_bits, most), "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1")
     at = n.select(F.pmod("h1", F.lit(1 << bits).cast("bigint")).alias("b"))
-    maps = at.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"), F.bit_or(F.when(F.col("b") == 0, 1).otherwise(0)).alias("zero"))
-    # Bit b is at position (b - 1) of bucket 1 + (b - 1) / 32768; 0 is at position 0 of bucket 0.
+    maps = at.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
+    # Bit b is at position (b - 1) of bucket 1 + (b - 1) / 32768; 0 is at position 0 of bucket 0, which is left out: such a chunk is never marked.
     out = np.zeros((1 << bits) // 8 + 4096, dtype=np.uint8)
     for r in maps.collect():
         if r["k"] == 0:
@@ -139,35 +174,29 @@ def _str(part: np.ndarray, a: int, b: int) -> str:
     return part[a:b].tobytes().decode("utf-8")
 
 
-def safe_at(text: bytes, p: int) -> bool:
-    return p in (0, len(text)) or bool(_SPACE[text[p]] and _PRINT[text[p - 1]])
-
-
 def join_tokens(pieces: list[tuple[bool, np.ndarray]], enc) -> np.ndarray:
     """The pieces' tokens as one, repaired at the starts of pieces that aren't safe."""
-    done: list[np.ndarray] = []
+    inside = lambda token: enc.decode_single_token_bytes(token)[0] & 0xC0 == 0x80
+    done: list[int] = []
     for safe, tokens in pieces:
+        right = tokens.tolist()
         if safe or not done:
-            done.append(tokens)
+            done += right
             continue
-        left = np.concatenate(done)
-        m = 8
+        m = 16
         while True:
-            lo, hi = max(0, len(left) - m), min(len(tokens), m)
-            # Bytes before and after the window are needed only to see whether its ends are safe.
-            before = enc.decode_bytes(left[max(0, lo - 1) : lo].tolist())
-            window = enc.decode_bytes(left[lo:].tolist()) + enc.decode_bytes(tokens[:hi].tolist())
-            after = enc.decode_bytes(tokens[hi : hi + 1].tolist())
-            start = lo == 0 or safe_at(before + window, len(before)) and len(before) > 0
-            end = hi == len(tokens) or safe_at(window + after, len(window))
-            if start and end:
+            a, b = max(0, len(done) - m), min(len(right), m)
+            while a > 0 and inside(done[a]):  # windows begin and end between characters
+                a -= 1
+            while b < len(right) and inside(right[b]):
+                b += 1
+            again = enc.encode_ordinary(enc.decode_bytes(done[a:] + right[:b]).decode("utf-8"))
+            if (a == 0 or again[:2] == done[a : a + 2]) and (b == len(right) or again[-2:] == right[b - 2 : b]):
                 break
             m *= 2
-        again = np.array(enc.encode_ordinary(window.decode("utf-8")), dtype=np.uint32)
-        done, tail = [left[:lo], again], tokens[hi:]
-        # With the whole next piece in the window, its end is no safe cut: the next join looks back over it.
-        done.append(tail)
-    return np.concatenate(done) if done else np.zeros(0, np.uint32)
+        done[a:] = again
+        done += right[b:]
+    return np.array(done, dtype=np.uint32)
 
 
 def encode_whole(text: str, enc) -> np.ndarray:
@@ -287,7 +316,7 @@ def _join_batches(path: str):
 def encode_documents(docs: DataFrame, path: str = VOCABULARY, bits: int = BITS, mask_bits: int = MASK_BITS, most: int = MOST) -> DataFrame:
     """(doc_id, n_tokens, tokens, round_trip) of every row."""
     need(docs, "doc_id", "text")
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    d = docs.select(integer_id(docs).alias("doc_id"), "text")
     bitmap = d.sparkSession.sparkContext.broadcast(shared_chunks(d, bits, mask_bits, most))
     plain = d.transform(map_arrow, _plain_batches(bitmap, bits, mask_bits, most, path), OUT)
     apart = d.withColumn("rid", F.monotonically_increasing_id()).transform(map_arrow, _piece_batches(bitmap, bits, mask_bits, most, path), PIECES)
