@@ -1,6 +1,8 @@
 """Mixing, sharding, media sequences and the pipeline."""
 
 import collections
+import hashlib
+import html.parser
 import random
 
 import duckdb
@@ -129,13 +131,98 @@ def test_media_payloads_are_joined_by_digest(spark):
         by[r.page_id].append(r)
     assert len(out) == 6 and [len(by[k]) for k in (1, 2, 3, 4, None)] == [2, 1, 1, 1, 1]
     first = by[1][0]
-    assert first.n_resolved == 1 and [x.content for x in first.sequence if x.mime] == ["aa"] and first.sequence[1].caption == "Cap & tion"
-    assert by[2][0].n_resolved == 0 and by[3][0].sequence == [] and by[None][0].n_text == 0
+    assert first.n_resolved == 2 and [x.content for x in first.sequence if x.mime] == ["aa", "AAAA"] and first.sequence[1].caption == "Cap & tion"
+    assert by[2][0].n_resolved == 1 and by[3][0].sequence == [] and by[None][0].n_text == 0
     assert by[4][0].n_resolved == 2 and [x.position for x in by[4][0].sequence] == [0, 1, 2]
     assert M.media_sequences(pages.limit(0), pay).isEmpty()
     assert M.page_payloads(pages).where("digest is not null").count() == 4
 
 
+def test_media_content_that_is_easily_lost():
+    tags = frozenset((*M.MEDIA_TAGS, "a", "style", "script"))
+    say = lambda page: [x.get("text") or (x["tag"], x.get("src"), x.get("caption")) for x in M.parse(page, None, tags)]
+    assert say("<head><title>T</title><meta x><p>one<figure><pre>code</pre><figcaption>Listing <b>one</b></figcaption></figure>two") == ["one", "code", "Listing one", "two"]
+    assert say("<head><title>T</title><body>one") == ["one"] and say("<head><title>T</title></head>one") == ["one"] and say("<head>lost") == []
+    assert say("<noscript><img data-src=a.png></noscript>x") == [("img", "a.png", None), "x"]
+    assert say('<img srcset="a.png 1x, b.png 2x"><video src=v poster=p>') == [("img", "a.png", None), ("video", "v", None), ("video", "p", None)]
+    assert say("<figure><a href=x>Link</a><img src=i><figcaption>Cap</figcaption></figure>") == [("a", "x", "Link"), ("img", "i", "Cap")]
+    assert say("<figure><a href=x>Link</a><figcaption>Cap</figcaption></figure>") == [("a", "x", "Link"), "Cap"]
+    assert say("<head><style>p{}</style></head>a<svg><text>t</text></svg>b<script> </script>") == [("style", None, None), "a", ("svg", None, None), "b"]
+
+
+class Simple(html.parser.HTMLParser):
+    """Another reading of simple pages, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.text, self.link = [], "", None
+
+    def end(self):
+        if folded := " ".join(self.text.split()):
+            self.out.append(folded)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "p":
+            self.end()
+        elif tag == "img":
+            self.end()
+            self.out.append(["img", a["src"], a.get("alt")])
+        elif tag == "a":
+            self.end()
+            self.out.append(["a", a["href"], ""])
+            self.link = self.out[-1]
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link[2] = " ".join(self.link[2].split())
+            self.link = None
+        elif tag == "p":
+            self.end()
+
+    def handle_data(self, data):
+        if self.link is not None:
+            self.link[2] += data
+        else:
+            self.text += data
+
+
+def test_media_sequences_match_brute_force(spark):
+    rng = random.Random(19)
+    pages = []
+    for i in range(60):
+        body = ""
+        for _ in range(rng.randrange(8)):
+            body += rng.choice(["<p>%s</p>", "<p>%s &amp; <b>%s</b> %s</p>", "<img src='data:image/gif;base64,R0lG%s' alt='%s'>", "<img src='/i/%s.png' alt='x'>", "<a href='/l/%s'>%s <i>t</i></a>"])
+            body = body.replace("%s", rng.choice(["AAAA", "BBBB", "CCCC"]))
+        pages.append((i if i % 9 else None, f"http://h{i % 3}.com/", body))
+    store = {M.address_digest(f"http://h{h}.com/i/{n}.png"): (f"c{h}{n}", "image/png", h) for h in (0, 1) for n in ("AAAA", "BBBB")}
+    pay = spark.createDataFrame([(d, m, n, c) for d, (c, m, n) in store.items()] + [("unused", "x", 1, "c")], "digest string, mime string, n_bytes long, content string")
+    got = collections.Counter()
+    for r in M.media_sequences(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), pay, (*M.MEDIA_TAGS, "a")).collect():
+        assert [x.position for x in r.sequence] == list(range(len(r.sequence)))
+        got[r.page_id, r.n_text, r.n_media, r.n_resolved, tuple(x.text or (x.tag, x.src, x.caption, x.content) for x in r.sequence)] += 1
+    want = collections.Counter()
+    for i, url, body in pages:
+        x = Simple()
+        x.feed(body)
+        x.end()
+        seq, resolved = [], 0
+        for item in x.out:
+            if isinstance(item, str):
+                seq.append(item)
+                continue
+            tag, src, caption = item
+            src = src if src.startswith("data:") else url[:-1] + src
+            content = src.partition(",")[2] if src.startswith("data:") else store.get(hashlib.sha256(src.encode()).hexdigest(), (None,))[0]
+            resolved += content is not None
+            seq.append((tag, src, caption, content))
+        n = sum(isinstance(s, str) for s in seq)
+        want[i, n, len(seq) - n, resolved, tuple(seq)] += 1
+    assert got == want and any(k[3] for k in want)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

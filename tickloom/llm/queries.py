@@ -30,7 +30,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": lambda s, d: exact_copies(_t(s, d, "documents")),
     "op6_kd_sharding": lambda s, d: kd_shards(_t(s, d, "documents")),
     "op7_lm_automaton": lambda s, d: lm_scores(_t(s, d, "documents")),
-    "op8_media_sequences": lambda s, d: media_sequences(_t(s, d, "pages"), page_payloads(_t(s, d, "pages")), (*MEDIA_TAGS, "a")),
+    "op8_media_sequences": lambda s, d: media_sequences(_t(s, d, "pages"), page_payloads(_t(s, d, "pages")), (*MEDIA_TAGS, "a", "style", "script")),
     "op9_simhash_dedup": lambda s, d: near_copies(_t(s, d, "documents")),
     "op10_bpe": lambda s, d: encode_documents(_t(s, d, "documents")),
 }
