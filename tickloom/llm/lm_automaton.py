@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import P_WORD, integer_id, map_arrow, mix, need, spans, text_bytes, word_hashes
+from tickloom.llm.shared import P_WORD, integer_id, lean_group, map_arrow, mix, need, spans, text_bytes, word_hashes
 
 MIN_COUNT, DISCOUNT = 2, 0.5
 #: Bytes of text in a part (parts grow with the square root of the corpus beyond FEW of them); n-grams in a bucket; most buckets.
-PART, FEW, BUCKET, MOST_BUCKETS = 16 << 20, 4096, 1 << 20, 1 << 16
+PART, FEW, BUCKET, MOST_BUCKETS = 12 << 20, 4096, 1 << 20, 1 << 16
+#: Places whose arcs are looked up at a time.
+PLACES = 1 << 18
 FIELDS = ("x1", "x2", "x3", "x4", "x5")
 SLICE = "level int, bucket int, part int, " + ", ".join(f"{x} binary" for x in FIELDS)
 
@@ -257,7 +259,9 @@ class Automaton:
             before[2:] = np.where(pair[:-1] >= 0, pair[:-1], word[1:])
             begin = np.cumsum(part.n) - part.n
             before[begin[part.n > 0]] = 0
-        p = self.step(before, w)[1] if len(w) else np.zeros(0)
+        p = np.zeros(len(w))
+        for a in range(0, len(w), PLACES):
+            p[a : a + PLACES] = self.step(before[a : a + PLACES], w[a : a + PLACES])[1]
         return np.bincount(part.row, weights=p, minlength=len(part.n))
 
 
@@ -303,10 +307,10 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, discount: float = DIS
 
     add = lambda t: merge(t, min_count)
     by = lambda x: x.groupBy("part")
-    pairs = by(d).applyInArrow(first, SLICE).groupBy("bucket").applyInArrow(add, SLICE).repartition("part")
-    triples = by(d).cogroup(by(pairs)).applyInArrow(second, SLICE).groupBy("bucket").applyInArrow(add, SLICE).repartition("part")
+    pairs = by(d).applyInArrow(lean_group(first), SLICE).groupBy("bucket").applyInArrow(add, SLICE).repartition("part")
+    triples = by(d).cogroup(by(pairs)).applyInArrow(lean_group(second), SLICE).groupBy("bucket").applyInArrow(add, SLICE).repartition("part")
     # The union keeps its parts' partitioning, so the answers of the first round aren't shuffled again.
-    return by(d).cogroup(by(pairs.unionAll(triples))).applyInArrow(last, "doc_id long, n_words long, logprob double, mean_logprob double")
+    return by(d).cogroup(by(pairs.unionAll(triples))).applyInArrow(lean_group(last), "doc_id long, n_words long, logprob double, mean_logprob double")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

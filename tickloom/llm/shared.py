@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import inspect
 import shutil
 import tempfile
 import uuid
@@ -189,16 +190,33 @@ def columns(df: DataFrame) -> list[Column]:
 BATCH_ROWS = 2000
 
 
+def give_back() -> None:
+    """Memory that only waits for reuse goes back to the system, for idle workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean_group(run):
+    """A function of whole groups that gives memory back after each."""
+
+    def lean(*tables: pa.Table) -> pa.Table:
+        out = run(*tables)
+        give_back()
+        return out
+
+    lean.__signature__ = inspect.signature(run)
+    return lean
+
+
 def _lean(run):
-    """The batch function; when a partition is done, memory that only waits for reuse goes back to the system, for idle workers live on."""
+    """The batch function; memory is given back when a partition is done."""
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc
-            pass
+        give_back()
 
     return lean
 

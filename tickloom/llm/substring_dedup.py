@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import IS_TOKEN, P_WORD, integer_id, mix, need, prefix_sums, quoted, span_hash, word_hashes
+from tickloom.llm.shared import IS_TOKEN, P_WORD, integer_id, lean_group, mix, need, prefix_sums, quoted, span_hash, word_hashes
 
 WINDOW = 50
 #: Bytes of text in a part (parts grow with the square root of the corpus beyond FEW of them); cells for each window in each row of the sketch; cells in a block.
@@ -195,12 +195,12 @@ def substring_duplicates(docs: DataFrame, window: int = WINDOW, part: int = PART
         )
 
     by = lambda x: x.groupBy("part")
-    merged = by(d).applyInArrow(sketch, "row int, block int, part int, n int, cells binary, more binary").groupBy("row", "block").applyInArrow(merge, "part int, row int, block int, twice binary")
-    found = by(d).cogroup(by(merged)).applyInArrow(emit, "w1 long, w2 int, part int, n int, id long")
+    merged = by(d).applyInArrow(lean_group(sketch), "row int, block int, part int, n int, cells binary, more binary").groupBy("row", "block").applyInArrow(lean_group(merge), "part int, row int, block int, twice binary")
+    found = by(d).cogroup(by(merged)).applyInArrow(lean_group(emit), "w1 long, w2 int, part int, n int, id long")
     same = Window.partitionBy("w1", "w2")
     least = F.min(F.struct("id", "part")).over(same)
     repeated = found.withColumn("copies", F.sum("n").over(same)).withColumn("least", least).where("copies > 1").select("part", "w1", "copies", F.col("least.id").alias("first"), F.col("least.part").alias("home"))
-    return by(d).cogroup(by(repeated)).applyInArrow(report, "doc_id long, start_word int, end_word int, n_words int, copies long, first_doc_id long, is_first boolean")
+    return by(d).cogroup(by(repeated)).applyInArrow(lean_group(report), "doc_id long, start_word int, end_word int, n_words int, copies long, first_doc_id long, is_first boolean")
 
 
 SUBSTRING_SQL = f"""
