@@ -94,12 +94,31 @@ def test_kd_tree_matches_brute_force(spark):
     b = rng.integers(0, 100, 400)
     df = spark.createDataFrame([(*map(int, r), int(w)) for r, w in zip(x, b)], "d0 long, d1 long, d2 long, bytes long").repartition(4)
     for target in (50, 700, 10**9):
-        tree = K.grow(df, 3, target)
+        tree, _ = K.grow(df, 3, target)
         at = tree.shards()[K.descend(x.T.copy(), *tree.arrays())]
         want = brute_kd(x, b, target)
         assert all(set(np.flatnonzero(at == k)) == set(ix) for k, ix in enumerate(want)) and at.max() + 1 == len(want)
 
 
+def test_kd_shards_are_the_same_whoever_splits(spark):
+    rng = random.Random(20)
+    rows = [(i, "x" * rng.randrange(1, 400), rng.choice(["en", "de", None]), f"src{rng.randrange(4)}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    x = np.array([[r[k] for k in K.dimensions()] for r in df.select(*[c.alias(k) for k, c in K.dimensions().items()], "doc_id").orderBy("doc_id").collect()])
+    want = {int(i): k for k, ix in enumerate(brute_kd(x, np.array([len(r[1]) for r in rows]), 3000)) for i in ix}
+    asked = []
+    real = K._ranges
+    try:
+        K._ranges = lambda points, tree, n, ask: asked.append(len(ask)) or real(points, tree, n, ask)
+        for most in (0, 100, 10**6):  # a larger table has more nodes in the top, none of more points
+            asked.clear()
+            got = {r.doc_id: r.shard for r in K.kd_shards(df, 3000, most_points=most).collect()}
+            assert got == want
+            assert max(asked, default=0) <= (600 // most if most else 600)
+    finally:
+        K._ranges = real
+
+
 def test_kd_defined_cases(messy, empty):
     out = K.kd_shards(messy, target=2000).collect()
     assert len(out) == len(messy_rows())
