@@ -113,6 +113,38 @@ def test_codewords_are_far_apart():
         c = L.codewords(n)
         d = [(c[i] != c[j]).sum() for i in range(n) for j in range(i)]
         assert min(d) >= max(1, c.shape[1] // 4)
+        assert len({tuple(x * x[0]) for x in c.T}) == c.shape[1] == {2: 1, 3: 3, 4: 7}.get(n, c.shape[1])  # no bit is another's copy or opposite
+
+
+def test_language_decoding_matches_brute_force(spark):
+    """Features, losses, decoding, margins and flags by loops, with the classifiers that were fitted."""
+    rng = random.Random(22)
+    langs = {"aa": "abcd", "bb": "bcde", "cc": "cdef"}
+    rows = [(i, "".join(rng.choice(langs[k] + " ") for _ in range(rng.randrange(1, 40))), k) for i in range(150) for k in [rng.choice(list(langs))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.language_id(df, per_lang=30).collect()}
+    sample = L.labelled_sample(df, 30)
+    m = L.OutputCodes().fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    ambiguous = 0
+    for i, text, _ in rows:
+        grams = collections.Counter()
+        raw = text.lower().encode()
+        for n in (1, 2, 3):
+            for at in range(len(raw) - n + 1):
+                key = 0
+                for c in raw[at : at + n]:
+                    key = (key * 257 + c) % 2**32
+                grams[(key + n * 0x51ED27) * 0x9E3779B1 % 2**32 >> 20] += 1
+        norm = math.sqrt(sum(math.log1p(c) ** 2 for c in grams.values()))
+        f = [sum(math.log1p(c) / norm * m.w[g, b] for g, c in grams.items()) + m.bias[b] for b in range(m.w.shape[1])]
+        loss = {lang: sum(w * math.log1p(math.exp(-x * c)) for w, x, c in zip(m.weight, f, code)) for lang, code in zip(m.langs, m.code)}
+        first, second = sorted(loss.values())[:2]
+        if second - first > 1e-4:
+            assert got[i].predicted == min(loss, key=loss.get)
+        assert abs(got[i].margin - (second - first)) < 1e-4
+        assert abs(second - first - L.AMBIGUOUS) < 1e-4 or got[i].ambiguous == (second - first < L.AMBIGUOUS)
+        ambiguous += got[i].ambiguous
+    assert 0 < ambiguous < len(rows)
 
 
 def test_language_id_held_out(spark):

@@ -10,7 +10,7 @@ The classifiers are fitted on at most `per_lang` labelled documents of each lang
 id; a quarter of them is held out for the weights. All texts are classified whole, where they are read; nothing is shuffled but the sample.
 
 Defined cases: null and empty texts, and any text without a model (no labelled document), have no language and are
-ambiguous; with one language all texts are of it; null labels aren't learned from; repeated or null ids are rows like others.
+ambiguous; of equal losses the first language by name wins, with margin 0; with one language all texts are of it; null labels aren't learned from; repeated or null ids are rows like others; ids are integers; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import LOWER, map_arrow, need, row_slices, text_bytes
+from tickloom.llm.shared import LOWER, integer_id, map_arrow, need, row_slices, text_bytes
 
 PER_LANG, BINS, BITS, AMBIGUOUS = 400, 4096, 15, 0.25
 ROUNDS, RATE, RIDGE = 300, 4.0, 1e-4
@@ -33,14 +33,13 @@ def codewords(n: int, bits: int = BITS, seed: int = 7) -> np.ndarray:
     if n < 2:
         return np.ones((n, bits), dtype=np.int8)
     rng = np.random.Generator(np.random.PCG64(seed))
-    if n <= 5:  # all splits, repeated in turn: every pair of codewords is as far apart as any
-        every = np.array([[1 if k >> j & 1 else -1 for k in range(1, 1 << n - 1)] for j in range(n)], dtype=np.int8)
-        return every[:, np.arange(max(bits, every.shape[1])) % every.shape[1]]
+    if n <= 5:  # all distinct splits: every pair of codewords is as far apart as any. A repeated one would be the same classifier, and correct nothing.
+        return np.array([[1 if k >> j & 1 else -1 for k in range(1, 1 << n - 1)] for j in range(n)], dtype=np.int8)
     bits = max(bits, 4 * int(np.ceil(np.log2(n))))
     best, far = None, -1
     for _ in range(200):
         m = rng.choice(np.array([-1, 1], dtype=np.int8), size=(n, bits))
-        if (abs(m.sum(axis=0)) == n).any():
+        if (abs(m.sum(axis=0)) == n).any() or len(np.unique(m * m[0], axis=1).T) < bits:
             continue
         d = (bits - m.astype(int) @ m.T) // 2
         least = d[~np.eye(n, dtype=bool)].min()
@@ -137,7 +136,7 @@ def labelled_sample(docs: DataFrame, per_lang: int) -> list:
 def language_id(docs: DataFrame, per_lang: int = PER_LANG, ambiguous: float = AMBIGUOUS) -> DataFrame:
     """(doc_id, lang, predicted, margin, ambiguous) of every row."""
     need(docs, "doc_id", "text", "lang")
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
+    d = docs.select(integer_id(docs).alias("doc_id"), "lang", "text")
     rows = labelled_sample(d, per_lang)
     if not rows:
         return d.select("doc_id", "lang", F.lit(None).cast("string").alias("predicted"), F.lit(None).cast("double").alias("margin"), F.lit(True).alias("ambiguous"))
