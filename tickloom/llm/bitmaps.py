@@ -1,6 +1,6 @@
-"""A set of keys as a bitmap of fixed size, to thin a large table before anything of it is shuffled.
+"""A set of keys as a bitmap of bounded size, to thin a large table before anything of it is shuffled.
 
-The bitmap has 2^bits bits whatever the number of keys (16 MB at 27), so it may be
+The bitmap has 2^bits bits; bits follow a bound of the number of keys, up to MOST_BITS (64 MB), so it may be
 broadcast at any scale: a fuller one lets more rows through, which costs time, and never
 drops a key that was put in. Whoever uses it decides exactly afterwards.
 """
@@ -10,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 27
+BITS, LEAST_BITS, MOST_BITS = 27, 20, 29
+
+
+def bits_for(keys: int) -> int:
+    """Eight bits a key, within bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * keys - 1).bit_length()))
 
 
 def _bit(keys: list[Column], bits: int) -> Column:

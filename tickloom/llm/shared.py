@@ -151,11 +151,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the table to the shared folder and read it back. An executor lost later costs a reread only."""
+    """Cut the lineage: write the table to the shared folder and read it back. An executor lost later costs a reread only.
+
+    The files go when the application ends, or by `discard`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _files(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tickloom_path = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that no later plan reads."""
+    fs, at = _files(df.sparkSession, df._tickloom_path)
+    fs.delete(at, True)
 
 
 def need(df: DataFrame, *names: str) -> None:
