@@ -14,9 +14,12 @@ A leaf's share is made of whole epochs and a prefix of one more, in an order see
 before it are taken whole, later ones left, and only the range in which it ends is
 sorted, so a hot leaf is never sorted as a whole and no text is shuffled but that range's.
 
+A node of weight 0 takes nothing, nor does what is below it; negative weights are refused.
+
 Defined cases: null levels are a child of their own, named ""; null or empty texts have
 0 tokens; documents are taken while the tokens before them are under the share; ids that
-are null or repeated are ordered by their text's hash; an empty table gives no rows.
+are null or repeated are ordered by their text's hash, and rows repeated in full are documents each; other columns pass through, whatever their
+names but "_mx_epoch" and "_mx_tokens", which are refused; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import columns, materialise, need
+from tickloom.llm.shared import columns, materialise, need, quoted
 
 LEVELS = ("domain", "lang", "source")
 DOMAIN_WEIGHTS = {"web": 0.4, "books": 0.3, "forums": 0.2, "reference": 0.1}
@@ -60,11 +63,17 @@ def _fill(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 def leaf_shares(leaves: DataFrame, depth: int, weights: dict[int, dict[str, float]], share: float, max_epochs: int) -> DataFrame:
     """leaves: (l_0 .. l_{depth-1}, supply). Adds take (tokens to take), full (whole epochs) and rest (tokens of the epoch after)."""
+    if any(w < 0 for table in weights.values() for w in table.values()):
+        raise ValueError("weights must not be negative")
     path = [f"l_{k}" for k in range(depth)]
-    caps = leaves.withColumn("cap", F.col("supply") * F.lit(float(max_epochs)))
+    takes = F.lit(True)
+    for k in range(depth):
+        takes = takes & (_weight(k, F.col(path[k]), weights) > 0)
+    caps = leaves.withColumn("cap", F.when(takes, F.col("supply") * F.lit(float(max_epochs))).otherwise(F.lit(0.0)))
     up = caps.agg(F.coalesce(F.sum("supply"), F.lit(0)).cast("double").alias("_s")).select(F.least(F.col("_s") * max_epochs, F.col("_s") * share).alias("budget"))
     for k in range(depth):
         nodes = caps.groupBy(*path[: k + 1]).agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(k, F.col(path[k]), weights))
+        nodes = nodes.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(1.0)))  # of weight 0: they have no cap, so any weight is as good
         nodes = nodes.crossJoin(up) if k == 0 else nodes.join(up, path[:k])
         up = _fill(nodes, path[:k] or [F.lit(0)]).select(*path[: k + 1], F.col("share").alias("budget"))
     out = caps.join(up, path).withColumn("take", F.floor(F.col("budget") + 1e-6).cast("bigint"))
@@ -78,10 +87,16 @@ def mix_sources(docs: DataFrame, weights: dict[int, dict[str, float]] | None = N
     share: the token budget over the tokens that there are. levels: the tree's levels from the root.
     """
     need(docs, text, doc_id)
+    if clash := {"_mx_epoch", "_mx_tokens"} & set(docs.columns):
+        raise ValueError(f"columns of these names are added: {', '.join(sorted(clash))}")
     weights = WEIGHTS if weights is None else weights
     levels = levels or [source_domain(F.col("source")), F.col("lang"), F.col("source")]
     path = [f"l_{k}" for k in range(len(levels))]
-    d = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(f"_mx_{p}") for p, c in zip(path, levels)], F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint").alias("_mx_tokens"))
+    # Columns go by number meanwhile: their names may be anything.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    numbers = [c.alias(n) for c, n in zip(columns(docs), names)]
+    d = docs.select(*numbers, *[F.coalesce(c.cast("string"), F.lit("")).alias(f"_mx_{p}") for p, c in zip(path, levels)], F.coalesce(F.regexp_count(F.col(quoted(text)), F.lit(r"\S+")), F.lit(0)).cast("bigint").alias("_mx_tokens"))
+    doc_id, text = (names[docs.columns.index(c)] for c in (doc_id, text))
     mine = [f"_mx_{p}" for p in path]
     leaves = d.groupBy(*mine).agg(F.sum("_mx_tokens").alias("supply")).toDF(*path, "supply")
     shares = materialise(leaf_shares(leaves, len(path), weights, share, max_epochs), "mix-shares")
@@ -99,8 +114,8 @@ def mix_sources(docs: DataFrame, weights: dict[int, dict[str, float]] | None = N
     under = d.where(F.col("_mx_range") < F.col("_mx_edge")).withColumn("_mx_epoch", F.col("_mx_full"))
     w = Window.partitionBy(*mine).orderBy("_mx_key", F.md5(F.coalesce(F.col(text), F.lit("")))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = d.where(F.col("_mx_range") == F.col("_mx_edge")).withColumn("_mx_sum", F.sum("_mx_tokens").over(w) - F.col("_mx_tokens") + F.col("_mx_before")).where("_mx_sum < _mx_rest").withColumn("_mx_epoch", F.col("_mx_full"))
-    out = [*columns(docs), "_mx_epoch", "_mx_tokens"]
-    return whole.select(*out).unionAll(under.select(*out)).unionAll(at.select(*out))
+    out = [*names, "_mx_epoch", "_mx_tokens"]
+    return whole.select(*out).unionAll(under.select(*out)).unionAll(at.select(*out)).toDF(*docs.columns, "_mx_epoch", "_mx_tokens")
 
 
 def mixture(docs: DataFrame, **kw) -> DataFrame:
