@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 #: Names that the operators use for columns of their own.
-CLASHING = ["part", "rid", "node", "h", "n", "tokens", "count", "key", "first", "l_0", "shard", "seq", "a.b", "_bit", "at", "keep_id"]
+CLASHING = ["part", "rid", "node", "h", "n", "tokens", "count", "key", "first", "l_0", "shard", "seq", "a.b", "_bit", "at", "keep_id", "_mx_key", "_mx_l_0", "_nd_id", "_nd_hit", "_xd_len", "_xd_sha", "__tl_map", "__tl_bit", "c0", "c1"]
 
 
 def words(rng, n, lang="en"):

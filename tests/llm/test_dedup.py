@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, messy_rows, words
@@ -260,6 +261,38 @@ def test_components(spark):
     assert S.components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def test_shards_stay_small_and_complete_as_the_table_grows():
+    for docs in (10**5, 10**7, 10**9, 5 * 10**10):
+        picks = S.picks_for(docs)
+        assert docs / S.GROWTH**picks <= S.FEW / S.GROWTH**S.PICKS  # unrelated documents that meet in a shard
+        assert (1 - S.LEAST_J**picks) ** S.tables_for(picks) <= S.MISSED
+    assert S.picks_for(10**5) == S.PICKS and S.tables_for(S.PICKS) == 24
+    rng = random.Random(23)
+    w = words(rng, 150)
+    x = [words(rng, 1)[0] if rng.random() < 0.05 else t for t in w]
+    key, _ = S.features_of(pa.array([" ".join(w), " ".join(x)]))
+    for picks in (3, 5, 8):
+        keys = S.shard_keys(key, 2, picks)
+        assert keys.shape == (2, S.tables_for(picks)) and (keys[0] == keys[1]).any()
+
+
+def test_slices_of_a_shard_find_what_the_whole_does(spark, monkeypatch):
+    rng = random.Random(24)
+    w = words(rng, 100)
+    rows = [(i, " ".join([words(rng, 1)[0] if rng.random() < 0.04 else t for t in w])) for i in range(40)] + [(100 + i, " ".join(words(rng, 100))) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, S.near_copies(df).collect()))
+    monkeypatch.setattr(S, "SLICE", 7)
+    assert sorted(map(tuple, S.near_copies(df).collect())) == want and len(want) == 40
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for op in (exact_copies, substring_duplicates, S.near_copies):
+        with pytest.raises(ValueError, match="doc_id must be an integer"):
+            op(df)
+
+
 def test_near_defined_cases(messy, empty):
     got = {r.doc_id: r.keep_id for r in S.near_copies(messy).collect()}
     assert got == {0: 0, 100: 0, 101: 0}

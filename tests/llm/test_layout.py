@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import messy_rows, words
@@ -50,6 +51,16 @@ def test_shares_go_to_siblings_first(spark):
         assert all(abs(got[f"k{i}"] - want[i]) <= 1 for i in range(6))
 
 
+def test_weight_zero_takes_nothing(spark):
+    leaves = [("a", "x", 10.0), ("a", "y", 100.0), ("b", "x", 40.0), ("b", "y", 5.0), ("c", "x", 30.0)]
+    df = spark.createDataFrame(leaves, "l_0 string, l_1 string, supply double")
+    out = {tuple(r)[:2]: r["take"] for r in X.leaf_shares(df, 2, {0: {"c": 0.0}, 1: {"y": 0.0}}, 0.2, 1).collect()}
+    assert out == {("a", "x"): 10, ("a", "y"): 0, ("b", "x"): 27, ("b", "y"): 0, ("c", "x"): 0}
+    assert set(r["take"] for r in X.leaf_shares(df, 2, {0: {k: 0.0 for k in "abc"}}, 0.2, 1).collect()) == {0}
+    with pytest.raises(ValueError, match="negative"):
+        X.leaf_shares(df, 2, {0: {"a": -1.0}}, 0.2, 1)
+
+
 def test_mixture_matches_sql_and_targets(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(words(rng, rng.randrange(1, 60))), rng.choice(["en", "de", "fr"]), f"src{rng.randrange(20) if i % 3 else 0}") for i in range(500)]
@@ -119,6 +130,29 @@ def test_kd_shards_are_the_same_whoever_splits(spark):
         K._ranges = real
 
 
+def test_pipeline_on_messy_and_empty_tables(spark, messy, empty, tmp_path):
+    import corpus_pipeline as P
+
+    labels = [(0, 0, 1), (1, 0, 0), (2, 0, 0), (None, 0, 1), (3, 0, None)]
+    for name, docs in (("messy", messy), ("empty", empty)):
+        at = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        d, sizes = spark.read.parquet(f"{at}/documents.parquet"), []
+        for k, (_, stage) in enumerate(P.STAGES):
+            stage(spark, d, at).write.parquet(f"{at}/out-{k}")
+            d = spark.read.parquet(f"{at}/out-{k}")
+            sizes.append(d.count())
+            assert k == 4 or d.columns == docs.columns
+        assert P.run(spark, at).count() == sizes[-1]
+        if name == "empty":
+            assert sizes == [0] * 5
+    texts = [r.text for r in spark.read.parquet(f"{tmp_path}/messy/out-1").where("text is not null").select("text").collect()]
+    assert len(texts) == len(set(texts))  # one of each text
+    assert spark.read.parquet(f"{tmp_path}/messy/out-2").where("text is null").count() >= 1  # no stage but mixing leaves texts out that nothing is wrong with
+    assert all(r.round_trip == (r.tokens is not None) for r in d.collect())
+
+
 def test_kd_defined_cases(messy, empty):
     out = K.kd_shards(messy, target=2000).collect()
     assert len(out) == len(messy_rows())

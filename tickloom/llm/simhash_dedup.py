@@ -7,11 +7,14 @@ empty bins taking the next one's) and each value of these. Two documents that sh
 table with chance J^PICKS. Bits of the fingerprint would do for a small radius only: at 27 of 128, 16 of them agree with
 chance 0.02, as they do for unrelated texts. At 27 bits the features' cosine is about 0.79 and J about 0.65, so 24 tables
 miss fewer than one pair in a thousand at that J; texts whose distance is less than their features say are missed more often.
+From 2^20 documents on, PICKS and with them TABLES grow with the logarithm of their number, so that unrelated documents
+meet as rarely as before and the chance of missing a pair stays the same.
 Every shard with two nodes or more becomes a BK-tree,
 children keyed by their Hamming distance to the parent, and every node of the shard is a
 query that follows only the edges within the radius of its distance to the parent.
 The shuffle sends a shard's tree to where its queries are. Broadcasting all trees to all
-queries would grow with the data and compare far pairs, so it isn't done.
+queries would grow with the data and compare far pairs, so it isn't done. A shard of more than SLICE nodes goes to several
+tasks, its queries in slices: each searches the whole tree for its own.
 
 Building and searching go level by level over all shards of an Arrow batch at once.
 A shard emits one edge per node, to the least node of those it is linked with; the edges'
@@ -19,22 +22,29 @@ connected components (alternating large and small stars, with the edges written
 between the rounds) are the groups.
 
 Defined cases: null and empty texts and texts without a word are near nothing; rows
-without an id are kept and not searched; rows with equal ids are one document; the least id of a group stays.
+without an id are kept and not searched; rows with equal ids are one document, so all of them stay or go; the least id of a group stays;
+ids are integers; other columns pass through, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.bitmaps import bitmap_of, mark
-from tickloom.llm.shared import P_WORD, columns, map_arrow, materialise, mix, need, prefix_sums, span_hash, word_hashes
+from tickloom.llm.bitmaps import bitmap_of, bits_for, mark
+from tickloom.llm.shared import P_WORD, columns, discard, integer_id, map_arrow, materialise, mix, need, numbered, prefix_sums, quoted, span_hash, word_hashes
 
-RADIUS, TABLES, PICKS, BINS = 27, 24, 3, 64
+RADIUS, PICKS, BINS = 27, 3, 64
+#: The J at which a pair is missed with chance MISSED; documents up to which PICKS are enough; by how much more documents need one more (the J of unrelated texts is below 1 / GROWTH).
+LEAST_J, MISSED, FEW, GROWTH = 0.65, 4.6e-4, 1 << 20, 8
+#: Queries of a shard that one task searches for.
+SLICE = 4096
 #: Near copies on sf0.1 lie at 4 to 27 bits and unrelated texts from about 31 on; texts of under SHORT_WORDS words reach into the gap, so theirs is the smaller radius.
 SHORT_WORDS, SHORT_RADIUS = 16, 18
 #: Pairs of query and node followed at a time.
@@ -85,13 +95,22 @@ def signs(key: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _picks() -> np.ndarray:
+def picks_for(docs: int) -> int:
+    return PICKS + max(0, math.ceil(math.log(max(1, docs) / FEW, GROWTH)))
+
+
+def tables_for(picks: int) -> int:
+    return math.ceil(math.log(MISSED) / math.log(1 - LEAST_J**picks))
+
+
+@lru_cache
+def _picks(picks: int) -> np.ndarray:
     rng = np.random.Generator(np.random.PCG64(4711))
-    return np.stack([np.sort(rng.permutation(BINS)[:PICKS]) for _ in range(TABLES)])
+    return np.stack([np.sort(rng.permutation(BINS)[:picks]) for _ in range(tables_for(picks))])
 
 
-def shard_keys(key: np.ndarray, n: int) -> np.ndarray:
-    """n x TABLES shard numbers from the rows' features: a hash of the table and of its PICKS least hashes."""
+def shard_keys(key: np.ndarray, n: int, picks: int = PICKS) -> np.ndarray:
+    """n x tables shard numbers from the rows' features: a hash of the table and of its least hashes."""
     none = np.uint64((1 << 64) - 1)
     x = mix(key << np.uint64(10), 77)
     least = np.full(n * BINS, none, dtype=np.uint64)
@@ -100,28 +119,31 @@ def shard_keys(key: np.ndarray, n: int) -> np.ndarray:
     at = np.where(np.hstack([least, least]) != none, np.arange(2 * BINS), 2 * BINS)
     at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS] % BINS
     least = np.take_along_axis(least, at, axis=1)
-    out = np.tile(np.arange(TABLES, dtype=np.uint64), (n, 1))
-    for k in _picks().T:
+    out = np.tile(np.arange(tables_for(picks), dtype=np.uint64), (n, 1))
+    for k in _picks(picks).T:
         out = mix(out ^ least[:, k], 78)
     return out
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(0, max(1, b.num_rows), 1000):
-            part = b.slice(k, 1000)
-            key, n = features_of(part.column(1))
-            f, on = signs(key, len(n)), n > 0
-            keys = shard_keys(key, len(n))[on].view(np.int64)
-            keys = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * TABLES, pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), pa.array(f[on, 0].view(np.int64)), pa.array(f[on, 1].view(np.int64)), pa.array(n[on] < SHORT_WORDS), keys], ["doc_id", "f0", "f1", "short", "shards"])
+def _fingerprint_batches(picks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, max(1, b.num_rows), 1000):
+                part = b.slice(k, 1000)
+                key, n = features_of(part.column(1))
+                f, on = signs(key, len(n)), n > 0
+                keys = shard_keys(key, len(n), picks)[on].view(np.int64)
+                keys = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on)), pa.array(f[on, 0].view(np.int64)), pa.array(f[on, 1].view(np.int64)), pa.array(n[on] < SHORT_WORDS), keys], ["doc_id", "f0", "f1", "short", "shards"])
+
+    return run
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, f0, f1, short, shards) of the documents that have an id and a word; short: under SHORT_WORDS words."""
     need(docs, text, doc_id)
-    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return d.transform(map_arrow, _fingerprint_batches, "doc_id long, f0 long, f1 long, short boolean, shards array<long>")
+    d = docs.select(integer_id(docs, doc_id).alias("doc_id"), F.col(quoted(text)).alias("text")).where("doc_id is not null and text is not null")
+    return d.transform(map_arrow, _fingerprint_batches(picks_for(docs.count())), "doc_id long, f0 long, f1 long, short boolean, shards array<long>")
 
 
 def distance(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
@@ -156,8 +178,8 @@ def build_trees(tree: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> tuple[np.nd
     return parent, edge, roots
 
 
-def search_trees(tree: np.ndarray, f0: np.ndarray, f1: np.ndarray, radius: int | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of the same tree within the radius: every row is a query; a pair comes once, the later row first. Rows may have radii of their own: a pair is within the lesser."""
+def search_trees(tree: np.ndarray, f0: np.ndarray, f1: np.ndarray, radius: int | np.ndarray, queries: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same tree within the radius: every row (or those in `queries`) is a query; a pair comes once, the later row first. Rows may have radii of their own: a pair is within the lesser."""
     parent, edge, roots = build_trees(tree, f0, f1)
     n = len(tree)
     if n == 0:
@@ -168,7 +190,8 @@ def search_trees(tree: np.ndarray, f0: np.ndarray, f1: np.ndarray, radius: int |
     order = np.argsort(key, kind="stable")
     kids, key = kids[order], key[order]
     root_of = np.repeat(roots, np.diff(np.append(roots, n)))
-    stack = [(np.arange(a, min(n, a + FRONTIER)), root_of[a : a + FRONTIER]) for a in range(0, n, FRONTIER)]
+    every = np.arange(n) if queries is None else queries
+    stack = [(every[a : a + FRONTIER], root_of[every[a : a + FRONTIER]]) for a in range(0, len(every), FRONTIER)]
     while stack:
         q, at = stack.pop()
         d = distance(f0[q], f1[q], f0[at], f1[at])
@@ -221,7 +244,11 @@ def _edge_batches(radius: int):
             tree = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((node, tree))
             tree, node, f0, f1, radii = tree[order], node[order], f0[order], f1[order], radii[order]
-            root = least_linked(len(node), search_trees(tree, f0, f1, radii))
+            first = np.repeat(np.cumsum(size) - size, size)
+            lo = np.repeat(b.column(1).to_numpy(zero_copy_only=False), size) * SLICE
+            rank = np.arange(len(node)) - first
+            queries = np.flatnonzero((rank >= lo) & (rank < lo + SLICE))
+            root = least_linked(len(node), search_trees(tree, f0, f1, radii, queries))
             on = root != np.arange(len(root))
             yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[root[on]])], ["a", "b"])
 
@@ -238,7 +265,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(low.select("a", F.col("m").alias("b"))).distinct()
-        e = materialise(small, name)
+        last, e = e, materialise(small, name)
+        discard(last)
         # Done when every edge goes to a root: no node is both the greater and the lesser of edges, and none has two.
         if e.select("b").distinct().join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and e.groupBy("a").count().where("count > 1").isEmpty():
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -250,7 +278,10 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_i
     nodes = f.groupBy("f0", "f1").agg(F.min(F.struct("doc_id", "short", "shards")).alias("x")).select("f0", "f1", F.col("x.doc_id").alias("node"), "x.short", "x.shards")
     shards = nodes.select(F.explode("shards").alias("shard"), "node", "f0", "f1", "short")
     trees = shards.groupBy("shard").agg(F.collect_list(F.struct("node", "f0", "f1", "short")).alias("members")).where("size(members) > 1")
-    root = components(trees.select("members").transform(map_arrow, _edge_batches(radius), "a long, b long"))
+    slices = F.expr(f"sequence(0, (size(members) - 1) div {SLICE})")
+    small = trees.where(f"size(members) <= {SLICE}").select("members", F.lit(0).alias("slice"))
+    large = trees.where(f"size(members) > {SLICE}").select("members", F.explode(slices).alias("slice"), "shard").repartition("shard", "slice").select("members", "slice")
+    root = components(small.unionAll(large).transform(map_arrow, _edge_batches(radius), "a long, b long"))
     named = f.join(nodes.select("f0", "f1", "node"), ["f0", "f1"]).select("doc_id", "node").distinct().join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keep_id"))
     size = named.groupBy("keep_id").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     return named.join(size, "keep_id").select("doc_id", "keep_id", "group_size")
@@ -259,6 +290,9 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_i
 def near_dedup(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents with one of each group of near copies, that of the least id. Texts are shuffled only where a bitmap of the ids to go may hold theirs."""
     gone = materialise(near_copies(docs, radius, text, doc_id).where("doc_id <> keep_id").select(F.col("doc_id").alias("_nd_id")), "near-gone")
-    d = mark(docs, [F.col(doc_id).cast("bigint")], bitmap_of(gone, [F.col("_nd_id")]), "_nd_hit")
-    rest = d.where("_nd_hit").join(gone, F.col(doc_id) == F.col("_nd_id"), "left_anti")
-    return d.where("not _nd_hit").select(*columns(docs)).unionAll(rest.select(*columns(docs)))
+    bits = bits_for(gone.count())
+    plain = numbered(docs)
+    own = F.col(f"c{docs.columns.index(doc_id)}").cast("bigint")
+    d = mark(plain, [own], bitmap_of(gone, [F.col("_nd_id")], bits), "_nd_hit", bits)
+    rest = d.where("_nd_hit").join(gone, own == F.col("_nd_id"), "left_anti")
+    return d.where("not _nd_hit").select(*columns(plain)).unionAll(rest.select(*columns(plain))).toDF(*docs.columns)
