@@ -133,8 +133,9 @@ def test_sketch_loses_nothing():
     for step in (1000, 64):
         for c, got in zip(lists, S1.merge_cells(lists, more, 1000, step)):
             assert (got == (total[c] > 1)).all()
-    for c in (*lists, np.array([0, 255, 256, 10**9]), np.zeros(0, np.int64)):
-        assert (S1.unpack_sorted(S1.pack_sorted(c), len(c)) == c).all()
+    for c in (*lists, np.array([0, 255, 256, 999]), np.zeros(0, np.int64), np.arange(1000)):
+        for block in (1000, 10**6):
+            assert (S1.unpack_sorted(S1.pack_sorted(c, block), len(c), block) == c).all()
 
 
 def test_substrings_defined_cases(messy, empty):

@@ -4,7 +4,7 @@ A document's windows are all runs of `window` consecutive words (anything betwee
 space). Most windows occur once, so a count-min sketch goes before the exact count.
 
 Sketch. Documents are spread over parts by a hash. Each part counts its windows in two
-rows of a count-min sketch, kept sparse: its sorted cells as differences of a byte or so each. The parts' sketches are merged
+rows of a count-min sketch, kept sparse: its sorted cells as differences of a dozen bits or so each. The parts' sketches are merged
 block by block, a block range by range; each part gets back a bit for every cell it sent: whether all parts
 together have counted it twice or more. Nothing is broadcast.
 Second pass. Windows estimated twice or more in both rows are grouped exactly by 96 bits of hash. A part sends a row for each
@@ -52,19 +52,30 @@ def windows_of(words: np.ndarray, rows: np.ndarray, k: int, base: int) -> tuple[
 
 
 def cells_of(h: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (mix(h, 101 + row) & np.uint64(width - 1)).astype(np.int64)
+    return (mix(h, 101 + row) % np.uint64(width)).astype(np.int64)
 
 
-def pack_sorted(cells: np.ndarray) -> bytes:
-    """Sorted distinct numbers as differences: a byte each, those of 255 and more after them."""
-    d = np.diff(cells, prepend=-1) - 1
-    return np.minimum(d, 255).astype(np.uint8).tobytes() + d[d >= 255].astype(np.uint64).tobytes()
+def low_bits(n: int, block: int) -> int:
+    """How many low bits of a difference are written as they are: about those of the usual difference."""
+    return max(0, int(math.log2(max(1, 0.69 * block / max(1, n)))))
 
 
-def unpack_sorted(b: bytes, n: int) -> np.ndarray:
-    d = np.frombuffer(b, np.uint8, n).astype(np.int64)
-    d[d == 255] = np.frombuffer(b, np.uint64, offset=n)
-    return np.cumsum(d + 1) - 1
+def pack_sorted(cells: np.ndarray, block: int) -> bytes:
+    """Sorted distinct numbers below `block` as Golomb-Rice codes of their differences: some 1.5 bits above the entropy of the usual difference."""
+    d, k = np.diff(cells, prepend=-1) - 1, low_bits(len(cells), block)
+    end = np.cumsum((d >> k) + 1)
+    high = np.zeros(int(end[-1]) if len(end) else 0, dtype=np.uint8)
+    high[end - 1] = 1
+    low = (d[:, None] >> np.arange(k) & 1).astype(np.uint8)
+    return np.packbits(low.ravel()).tobytes() + np.packbits(high).tobytes()
+
+
+def unpack_sorted(b: bytes, n: int, block: int) -> np.ndarray:
+    k = low_bits(n, block)
+    size = -(-n * k // 8)
+    low = np.unpackbits(np.frombuffer(b, np.uint8, size), count=n * k).reshape(n, k).astype(np.int64) @ (1 << np.arange(k, dtype=np.int64))
+    end = np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8, offset=size)))[:n]
+    return np.cumsum((np.diff(end, prepend=-1) - 1 << k) + low + 1) - 1
 
 
 def merge_cells(cells: list[np.ndarray], more: list[np.ndarray], block: int, step: int = BLOCK) -> list[np.ndarray]:
@@ -104,8 +115,9 @@ def substring_duplicates(docs: DataFrame, window: int = WINDOW, part: int = PART
     parts = max(1, math.ceil(size / part))
     if parts > FEW:
         parts = int(FEW * math.sqrt(parts / FEW))
-    width = 1 << max(12, (CELLS * (size // 6) - 1).bit_length())
-    block = max(min(BLOCK, width), width // MOST_BLOCKS)
+    width = max(1 << 12, CELLS * (size // 6))
+    block = max(min(BLOCK, width), -(-width // MOST_BLOCKS))
+    width = -(-width // block) * block
     d = d.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).select("part", "doc_id", "text").repartition("part")
 
     def read(t: pa.Table) -> tuple[np.ndarray, ...]:
@@ -126,13 +138,13 @@ def substring_duplicates(docs: DataFrame, window: int = WINDOW, part: int = PART
             cells, more, begin = counted(h[on], row)
             for k in np.flatnonzero(np.diff(begin)):
                 s = slice(begin[k], begin[k + 1])
-                out.append((row, int(k), number, int(begin[k + 1] - begin[k]), pack_sorted(cells[s] - k * block), np.packbits(more[s]).tobytes()))
+                out.append((row, int(k), number, int(begin[k + 1] - begin[k]), pack_sorted(cells[s] - k * block, block), np.packbits(more[s]).tobytes()))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["row", "block", "part", "n", "cells", "more"])
 
     def merge(t: pa.Table) -> pa.Table:
         n = t.column("n").to_pylist()
-        cells = [unpack_sorted(b, k) for b, k in zip(t.column("cells").to_pylist(), n)]
+        cells = [unpack_sorted(b, k, block) for b, k in zip(t.column("cells").to_pylist(), n)]
         more = [np.unpackbits(np.frombuffer(b, np.uint8), count=k) for b, k in zip(t.column("more").to_pylist(), n)]
         back = [np.packbits(x).tobytes() for x in merge_cells(cells, more, block)]
         return pa.Table.from_arrays([t.column("part").combine_chunks(), t.column("row").combine_chunks(), t.column("block").combine_chunks(), pa.array(back, pa.binary())], ["part", "row", "block", "twice"])
