@@ -191,15 +191,14 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list, dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[pa.Table, dict[int, int]]:
     """At most per_class labelled documents of each class, chosen by a hash of the id, and how many labels each class has."""
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     size = {r["toxic"]: r["count"] for r in y.groupBy("toxic").count().collect()}
     w = Window.partitionBy("toxic").orderBy("h", "doc_id")
     chosen = y.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_class).select("doc_id", "toxic")
     d = docs.where("text is not null").select(integer_id(docs).alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = d.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    return sorted(rows, key=lambda r: r["doc_id"]), size
+    return d.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow().sort_by("doc_id"), size
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS, max_share: float = MAX_SHARE) -> ToxicModel | None:
@@ -207,9 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int
     need(docs, "doc_id", "text")
     need(labels, "doc_id", "toxic")
     rows, size = labelled_sample(docs, labels, per_class)
-    if len({r["toxic"] for r in rows}) < 2:
+    y = rows.column("toxic").to_numpy()
+    if len(set(y)) < 2:
         return None
-    texts = pa.array([r["text"] for r in rows], pa.large_string())
+    ids, texts = rows.column("doc_id").to_numpy(), rows.column("text").cast(pa.large_string()).combine_chunks()
     terms = Terms(word_hashes(texts)[0])
     n = len(terms.hashes)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -224,13 +224,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int
 
     df = np.zeros(n + 1)
     counts = docs.select("text").transform(map_arrow, count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    for r in counts.collect():  # one number a term of the vocabulary, which the sample bounds
-        df[r["f"]] = r["n"]
+    counts = counts.toArrow()  # one number a term of the vocabulary, which the sample bounds
+    df[counts.column("f").to_numpy()] = counts.column("n").to_numpy()
+    shared.unpersist()
     idf = np.log(df[n] / np.maximum(df[:n], 1))
-    y = np.array([r["toxic"] for r in rows])
     have = np.bincount(y, minlength=2)
     mass = np.array([size[0] / have[0], size[1] / have[1]])[y]
-    return ToxicModel(terms, k).fit(np.array([r["doc_id"] for r in rows]), terms.vectors(texts), y, mass, idf, df[:n] > max_share * df[n])
+    return ToxicModel(terms, k).fit(ids, terms.vectors(texts), y, mass, idf, df[:n] > max_share * df[n])
 
 
 EVIDENCE = "array<struct<doc_id: bigint, cosine: double, toxic: boolean>>"
