@@ -63,3 +63,12 @@ def fold_text(c: Column) -> Column:
 
 def stable_id(*parts: Column, length: int = 24) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, length)
+
+
+def timestamp_of(c: Column) -> Column:
+    """A time from text: seconds (below 1e10) or milliseconds, YYYYMMDDTHHMMSSZ, an ISO or an RFC 822 date; null else."""
+    n = c.try_cast("double")
+    number = F.when(n.isNotNull() & (n > 0), F.timestamp_millis(F.when(n < 1e10, n * 1000).otherwise(n).cast("bigint")))
+    compact = F.try_to_timestamp(F.regexp_extract(c, r"^(\d{8}T\d{6})Z?$", 1), F.lit("yyyyMMdd'T'HHmmss"))
+    mail = F.try_to_timestamp(F.regexp_replace(F.regexp_extract(c, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} (?:GMT|UTC|[+-]\d{4}))", 1), "GMT|UTC", "+0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
+    return F.coalesce(number, compact, mail, c.try_cast("timestamp"))
