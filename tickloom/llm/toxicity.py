@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import integer_id, map_arrow, need, numbered, word_hashes
+from tickloom.llm.shared import give_back, integer_id, map_arrow, need, numbered, word_hashes
 
-PER_CLASS, NEIGHBOURS, BLOCK, FIRST, PRIOR, MAX_SHARE, THRESHOLD = 3000, 15, 64, 8, 4e-4, 0.1, 0.5
+PER_CLASS, NEIGHBOURS, BLOCK, FIRST, PRIOR, MAX_SHARE, THRESHOLD = 1500, 15, 64, 8, 4e-4, 0.1, 0.5
 #: The relevance of a term that as many toxic examples (but one) as clean ones have.
 RELEVANT = np.log2(3) ** 2
-#: Queries searched at a time.
-QUERIES = 128
+#: Most queries, and most of their terms' blocks, searched at a time (a query of more is alone).
+QUERIES, ENTRIES = 128, 1 << 20
 
 
 class Terms:
@@ -101,12 +101,15 @@ class BlockMaxIndex:
 
     def search(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, but: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each of the n queries that has one, its k examples of the highest cosine above 0 (ties: the lesser number) and the cosines. but: an example that a query leaves out."""
-        cut = np.searchsorted(rows, np.arange(0, n + QUERIES, QUERIES))
-        for q in range(len(cut) - 1):
-            s = slice(cut[q], cut[q + 1])
+        begin = np.searchsorted(rows, np.arange(n + 1))
+        entries = np.concatenate([[0], np.cumsum(self.begin[terms + 1] - self.begin[terms])])[begin]
+        a = 0
+        while a < n:
+            b = min(n, a + QUERIES, max(a + 1, int(np.searchsorted(entries, entries[a] + ENTRIES, "right")) - 1))
+            s = slice(begin[a], begin[b])
             if s.start < s.stop:
-                m = min(QUERIES, n - q * QUERIES)
-                yield from self._batch(rows[s] - q * QUERIES, terms[s], weights[s], m, k, None if but is None else but[q * QUERIES : q * QUERIES + m], q * QUERIES)
+                yield from self._batch(rows[s] - a, terms[s], weights[s], b - a, k, None if but is None else but[a:b], a)
+            a = b
 
     def _batch(self, rows, terms, weights, n, k, but, first):
         e, of = spread(self.begin[terms], self.begin[terms + 1] - self.begin[terms])
@@ -170,6 +173,7 @@ class ToxicModel:
             if np.abs(step).max() < 1e-9:
                 break
         self.beta = beta
+        give_back()
         return self
 
     def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
