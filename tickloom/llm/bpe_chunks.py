@@ -41,7 +41,7 @@ from tickloom.llm.shared import P_BYTE, T_BYTE, integer_id, map_arrow, materiali
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes that the rolling hash looks back on; a safe place is cut once in 2^MASK_BITS; stretches beyond LONG without one are cut at one in 2^(MASK_BITS + 1) characters; the longest chunk.
-LOOK_BACK, MASK_BITS, LONG, MOST = 48, 7, 2048, 16384
+LOOK_BACK, MASK_BITS, LONG, MOST = 48, 7, 4096, 16384
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 13, 32]] = True
@@ -110,7 +110,7 @@ def cut_places(buf: np.ndarray, off: np.ndarray, mask_bits: int = MASK_BITS, mos
     places = places[~np.isin(places, begins)]
     cuts = np.union1d(begins, chosen(places, mask_bits))
     # Long stretches first take every safe place that fewer bits choose, and only what is still long is cut elsewhere.
-    more = [chosen(places[slice(*np.searchsorted(places, (a + 1, z)))], max(0, mask_bits - 4)) for a, z in gaps(cuts, min(long, most))]
+    more = [chosen(places[slice(*np.searchsorted(places, (a + 1, z)))], max(0, mask_bits - 2)) for a, z in gaps(cuts, min(long, most))]
     cuts = np.union1d(cuts, np.concatenate(more)) if more else cuts
     more = [chosen(a + 1 + np.flatnonzero(buf[a + 1 : z] & 0xC0 != 0x80), mask_bits + 1) for a, z in gaps(cuts, min(long, most))]
     cuts = np.union1d(cuts, np.concatenate(more)) if more else cuts
