@@ -38,7 +38,7 @@ PER_CLASS, NEIGHBOURS, BLOCK, FIRST, PRIOR, MAX_SHARE, THRESHOLD = 1500, 15, 64,
 #: The relevance of a term that as many toxic examples (but one) as clean ones have.
 RELEVANT = np.log2(3) ** 2
 #: Most queries, and most of their terms' blocks, searched at a time (a query of more is alone).
-QUERIES, ENTRIES = 128, 1 << 20
+QUERIES, ENTRIES = 128, 1 << 18
 
 
 class Terms:
