@@ -101,7 +101,9 @@ def hmm(d: DataFrame) -> DataFrame:
 
 
 def market(b: DataFrame, htf: DataFrame) -> DataFrame:
-    """One row for each symbol with all indicators, models, direction and regime. b: base bars' arrays; htf: those of the slower bars."""
+    """One row for each symbol with all indicators, models, direction and regime. b: base bars' arrays, and funding_rate and oi_change where they are known; htf: those of the slower bars."""
+    for name in ("funding_rate", "oi_change"):
+        b = b if name in b.columns else b.withColumn(name, F.lit(0.0))
     d = b.join(htf.select("symbol", F.col("c").alias("c4")), "symbol")
     d = d.withColumn("r", log_returns("c")).withColumn("latest", F.expr("element_at(c, -1)"))
     d = d.withColumn("atr", atr()).withColumn("rsi14", rsi())
@@ -118,9 +120,10 @@ def market(b: DataFrame, htf: DataFrame) -> DataFrame:
     d = d.withColumn("momentum", clamp((F.col("roc") + F.col("htf_roc") * 0.8) / F.greatest(F.col("atr_pct") * 3, F.lit(0.006)), -1, 1))
     d = d.withColumn("rsi_signal", F.when(F.col("rsi14") > 72, -0.35).when(F.col("rsi14") < 28, 0.35).otherwise(0.0))
     d = d.withColumn("vol_score", F.when(F.col("vol_expansion") > 1.6, -0.15).when(F.col("vol_expansion") < 0.65, -0.05).otherwise(0.1))
+    d = d.withColumn("funding_signal", clamp(-F.coalesce("funding_rate", F.lit(0.0)) / 0.001, -0.4, 0.4)).withColumn("oi_signal", clamp(F.coalesce("oi_change", F.lit(0.0)) / 0.06, -0.35, 0.35))
     d = hmm(garch(gbm(d)))
     k = DIRECTION_WEIGHTS
-    total = F.col("trend") * k["trend"] + F.col("htf_trend") * k["htf"] + F.col("momentum") * k["momentum"] + F.col("rsi_signal") * k["rsi"] + F.col("g_signal") * k["gbm"] + F.col("m_signal") * k["hmm"]
+    total = F.col("funding_signal") * k["funding"] + F.col("oi_signal") * k["oi"] + F.col("trend") * k["trend"] + F.col("htf_trend") * k["htf"] + F.col("momentum") * k["momentum"] + F.col("rsi_signal") * k["rsi"] + F.col("g_signal") * k["gbm"] + F.col("m_signal") * k["hmm"]
     d = d.withColumn("direction", clamp(total, -1, 1)).withColumn("math_signal", clamp(F.col("direction") * F.col("v_confidence"), -1, 1))
     regime = F.when(F.col("m_confidence") >= 0.55, F.concat(F.lit("hmm_"), "m_regime")).when(F.abs(F.col("trend") + F.col("htf_trend")) > 0.8, "trend").when(F.col("vol_expansion") > 1.6, "high_volatility").when(F.abs("momentum") < 0.25, "range").otherwise("transition")
     return d.withColumn("regime", regime)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import exits
+from tickloom.operators import account, exits
 from tickloom.session import table
 from tickloom.sources import storage
 
@@ -25,7 +25,7 @@ _OUT = ["signal_reversal", "net_expectancy_decay", "event_decay", "time_decay",
 
 def exit_score(s, d):
     p = s.sql(f"SELECT {POSITION} FROM {{lineitem}}", lineitem=table(s, d, "lineitem"))
-    return exits.exit_scores(p).select("l_orderkey", "l_linenumber", "kind", *[F.round(c, 6).alias(c) for c in _OUT], "expired", "negative", "exit", "de_risk", F.col("de_risk_fraction"), "confirmations")
+    return exits.exit_scores(p).select("l_orderkey", "l_linenumber", "kind", *[F.round(c, 9).alias(c) for c in _OUT], "expired", "negative", "exit", "de_risk", F.col("de_risk_fraction"), "confirmations")
 
 
 EXIT_SQL = f"""WITH p AS (SELECT {POSITION} FROM lineitem),
@@ -39,8 +39,8 @@ e AS (SELECT *, signal_reversal * 277e-3 + net_expectancy_decay * 238e-3 + event
   CASE kind WHEN 'trend' THEN 72e-2 WHEN 'range' THEN 64e-2 WHEN 'transition' THEN 62e-2 ELSE 68e-2 END AS base FROM c),
 f AS (SELECT *, CASE WHEN expired OR negative THEN least(base, score) ELSE base END AS threshold, expired OR negative OR score >= base AS exit FROM e),
 g AS (SELECT *, NOT exit AND age_hours >= 1 / 3e0 AND (expectancy_pct > 0 AND expectancy <= expectancy_pct * 55e-2 OR expectancy <= 7e-4 + fund) AS de_risk FROM f)
-SELECT l_orderkey, l_linenumber, kind, round(signal_reversal, 6) AS signal_reversal, round(net_expectancy_decay, 6) AS net_expectancy_decay, round(event_decay, 6) AS event_decay, round(time_decay, 6) AS time_decay, round(least(1e0, profit_protection), 6) AS profit_protection,
-  round(score, 6) AS score, round(threshold, 6) AS threshold, round(expectancy, 6) AS expectancy, round(max_hours, 6) AS max_hours, round(greatest(1e0, least(4e0, max_hours / 4)), 6) AS horizon_hours, expired, negative, exit, de_risk,
+SELECT l_orderkey, l_linenumber, kind, round(signal_reversal, 9) AS signal_reversal, round(net_expectancy_decay, 9) AS net_expectancy_decay, round(event_decay, 9) AS event_decay, round(time_decay, 9) AS time_decay, round(least(1e0, profit_protection), 9) AS profit_protection,
+  round(score, 9) AS score, round(threshold, 9) AS threshold, round(expectancy, 9) AS expectancy, round(max_hours, 9) AS max_hours, round(greatest(1e0, least(4e0, max_hours / 4)), 9) AS horizon_hours, expired, negative, exit, de_risk,
   CASE WHEN NOT de_risk THEN 0e0 WHEN expectancy <= 0 OR expectancy_pct > 0 AND expectancy / expectancy_pct <= 25e-2 THEN 5e-1 ELSE 25e-2 END AS de_risk_fraction, CASE WHEN expired THEN 1 ELSE 3 END AS confirmations FROM g"""
 
 
@@ -78,5 +78,18 @@ r AS (SELECT log, path, n, size <= 600000 AS kept, CASE WHEN size <= 600000 THEN
   UNION ALL SELECT a.log, a.path, a.n, files < 4 AND bytes + size <= 600000, bytes + CASE WHEN files < 4 AND bytes + size <= 600000 THEN size ELSE 0 END, files + CASE WHEN files < 4 AND bytes + size <= 600000 THEN 1 ELSE 0 END FROM r JOIN a ON a.log = r.log AND a.n = r.n + 1)
 SELECT log, path, kept FROM r"""
 
-QUERIES = {"exit_score": exit_score, "trade_history_upsert": upsert, "trade_history_manifest": manifest, "archive_retention": retention}
+def accounts(s, d):
+    """Every user's ticks as an account of its own; each eleventh is a signal, too."""
+    e = table(s, d, "events").where("value > 0")
+    sig = F.col("event_id") % 11 == 0
+    e = e.select(F.col("user_id").alias("account"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("symbol"), (100 + F.col("value") / 20).alias("price"), F.when(sig & (F.col("event_id") % 2 == 0), "long").when(sig, "short").alias("side"))
+    return account.account_replay(e.select("*", F.lit(0.02).alias("stop_pct"), F.lit(1.5).alias("reward"), F.lit(0.6).alias("win_rate"), F.lit(0.005).alias("risk_pct"), F.lit("range").alias("kind")))
+
+
+def accounts_summary(s, d):
+    r = account.account_summary(accounts(s, d))
+    return r.select("account", "n", *[F.round(c, 6).alias(c) for c in ("win_rate", "profit_factor", "return", "sharpe")])
+
+
+QUERIES = {"account_replay": accounts, "account_summary_replayed": accounts_summary, "exit_score": exit_score, "trade_history_upsert": upsert, "trade_history_manifest": manifest, "archive_retention": retention}
 ORACLES = {"exit_score": EXIT_SQL, "trade_history_upsert": UPSERT_SQL, "trade_history_manifest": MANIFEST_SQL, "archive_retention": RETENTION_SQL}
