@@ -141,7 +141,8 @@ def merge(t: pa.Table, least: int) -> pa.Table:
     rows, a, b = [], 0, 0
     for r, c, m in zip(q, ctx, n):
         i = inv[a : a + len(c)]
-        rows.append((r["level"], r["bucket"], r["part"], pack(total[i]), pack(k[i]), pack(s[i]), pack(each[b : b + m]), b""))
+        counts = pack(total[i] if r["level"] == 1 else total[:0])  # pairs' counts are answered in the first round
+        rows.append((r["level"], r["bucket"], r["part"], counts, pack(k[i]), pack(s[i]), pack(each[b : b + m]), b""))
         a, b = a + len(c), b + m
     return slices(rows)
 
