@@ -59,6 +59,12 @@ def title_pairs(s, d):
     return p.withColumn("j", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where("j >= 0.5").select("doc_id", "doc_b", F.round("j", 4).alias("jaccard"))
 
 
+def _levels(s, d):
+    """A stop and a target for each symbol but one: its mean price, a fifth off either way."""
+    e = table(s, d, "events").where("value > 0 and event_type <> 'error'")
+    return e.groupBy(F.col("event_type").alias("symbol")).agg((F.avg("value") * 0.8).alias("stop"), (F.avg("value") * 1.2).alias("target"))
+
+
 QUERIES = {
     "source_dedup": source_dedup,
     "leader_clusters": leader_clusters,
@@ -68,6 +74,8 @@ QUERIES = {
     "asof_forward_settlement": asof_forward,
     "title_similarity_pairs": title_pairs,
     "stream_latest_price": lambda s, d: P.drain(P.latest_price(P.tick_stream(s, f"{d}/events.parquet"))).select("symbol", "price", F.col("ts").cast("timestamp_ntz").alias("ts")),
+    "stream_coalesced": lambda s, d: P.drain(P.coalesced(P.tick_stream(s, f"{d}/events.parquet"), now="2024-01-20 00:00:00")).select("symbol", F.unix_millis("at").alias("at_ms"), "price", "n"),
+    "stream_static_join": lambda s, d: P.drain(P.with_static(P.tick_stream(s, f"{d}/events.parquet"), _levels(s, d))),
     "stream_candles": lambda s, d: P.drain(P.bars(P.tick_stream(s, f"{d}/events.parquet"))).withColumn("bar", F.col("bar").cast("timestamp_ntz")),
 }
 _NORM = "trim(regexp_replace(lower(split_part(text, '.', 1)), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
@@ -77,5 +85,8 @@ ORACLES = {
     "title_similarity_pairs": f"""WITH t AS (SELECT source, doc_id, list_distinct(regexp_extract_all({_NORM}, '[a-z0-9]{{2,}}')) AS tok FROM documents), x AS (SELECT source, doc_id, len(tok) AS n, unnest(tok) AS w FROM t)
       SELECT doc_id, doc_b, round(c / (n + m - c), 4) AS jaccard FROM (SELECT a.doc_id, b.doc_id AS doc_b, a.n, b.n AS m, count(*) AS c FROM x a JOIN x b ON a.source = b.source AND a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL) WHERE c / (n + m - c) >= 0.5""",
     "stream_latest_price": "SELECT event_type AS symbol, arg_max(value, (ts, event_id)) AS price, max(ts) AS ts FROM events WHERE value > 0 GROUP BY ALL",
+    "stream_coalesced": """SELECT event_type AS symbol, epoch_us(ts) // 100000 * 100 AS at_ms, arg_max(value, (ts, event_id)) AS price, count(*) AS n FROM events WHERE value > 0 AND ts <= TIMESTAMP '2024-01-20 00:01:00' GROUP BY ALL""",
+    "stream_static_join": """SELECT symbol, price, price <= stop AS stopped, price >= target AS reached FROM (SELECT event_type AS symbol, arg_max(value, (ts, event_id)) AS price FROM events WHERE value > 0 GROUP BY 1)
+      LEFT JOIN (SELECT event_type AS symbol, avg(value) * 0.8::double AS stop, avg(value) * 1.2::double AS target FROM events WHERE value > 0 AND event_type <> 'error' GROUP BY 1) USING (symbol)""",
     "stream_candles": f"SELECT * FROM {sql_bars(1)}",
 }
