@@ -77,12 +77,12 @@ def test_source_dedup_and_clusters(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["candles_1h", "atr14", "market_analysis", "calibration_grouping_sets", "asof_forward_settlement", "equity_drawdown", "stream_candles"])
+@pytest.mark.parametrize("name", ["candles_1h", "atr14", "market_analysis", "calibration_grouping_sets", "asof_forward_settlement", "equity_drawdown", "stream_candles", "feed_rss_items", "feed_exchange_rules", "feed_price_sentiment", "event_classify", "symbol_event_aggregate", "signal_first_touch", "exit_score", "exit_factor_stats", "trade_history_upsert", "archive_retention", "market_tracking", "similar_titles", "portfolio_variance"])
 def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("events", "lineitem", "orders", "customer"):
+    for t in ("events", "lineitem", "orders", "customer", "documents", "part"):
         p = f"{SMALL}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p}'")
     df = QUERIES[name](spark, SMALL)
