@@ -39,6 +39,7 @@ PER_CLASS, NEIGHBOURS, BLOCK, FIRST, PRIOR, MAX_SHARE, THRESHOLD = 1500, 15, 64,
 RELEVANT = np.log2(3) ** 2
 #: Most queries, and most of their terms' blocks, searched at a time (a query of more is alone).
 QUERIES, ENTRIES = 128, 1 << 18
+ROWS = 500
 
 
 class Terms:
@@ -184,10 +185,27 @@ class ToxicModel:
         """Calibrated scores, and evidence: the nearest examples with their cosines and labels."""
         raw = np.full(len(col), self.prior)
         evidence: list[list[dict]] = [[] for _ in range(len(col))]
-        for i, near, cos in self.index.search(*weigh(*self.terms.vectors(col), self.weight), len(col), self.k):
+        for i, near, cos in self.nearest(col):
             raw[i] = self.vote(near, cos)
             evidence[i] = [{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in zip(self.ids[near].tolist(), np.round(cos, 6).tolist(), (self.toxic[near] > 0).tolist())]
-        return 1 / (1 + np.exp(-(self.beta[0] + self.beta[1] * _logit(raw)))), evidence
+        return self.calibrated(raw), evidence
+
+    def flags(self, col: pa.Array | pa.ChunkedArray, threshold: float) -> np.ndarray:
+        """Which texts are toxic: by score, and with evidence."""
+        raw, known = np.full(len(col), self.prior), np.zeros(len(col), dtype=bool)
+        for i, near, cos in self.nearest(col):
+            raw[i], known[i] = self.vote(near, cos), True
+        return (self.calibrated(raw) >= threshold) & known
+
+    def nearest(self, col: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The neighbours of each text that has any; the terms of ROWS texts are held at a time."""
+        for a in range(0, len(col), ROWS):
+            part = col.slice(a, ROWS)
+            for i, near, cos in self.index.search(*weigh(*self.terms.vectors(part), self.weight), len(part), self.k):
+                yield a + i, near, cos
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.beta[0] + self.beta[1] * _logit(raw))))
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -268,8 +286,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score, evidence = shared.value.score(b.column(at))
-            yield b.filter(pa.array((score < threshold) | np.array([not e for e in evidence], dtype=bool)))
+            yield b.filter(pa.array(~shared.value.flags(b.column(at), threshold)))
 
     plain = numbered(docs)  # columns' names may be anything
     return plain.transform(map_arrow, run, plain.schema).toDF(*docs.columns)
