@@ -319,6 +319,22 @@ def test_bpe_joins_take_time_in_proportion():
     assert took[1] < 8 * 3 * took[0] + 0.5
 
 
+def test_bpe_chunking_costs_less_than_encoding():
+    """Texts are cut and hashed three times and encoded once, so a pass must cost a part of the encoding only."""
+    rng = random.Random(20)
+    enc, texts = B.encoding(), [" ".join(words(rng, 600, lang)) for lang in ("en", "de") for _ in range(250)]
+    cut, encoded = [], []
+    for _ in range(4):
+        began = time.process_time()
+        assert sum(len(cuts) for _, _, _, _, cuts, *_ in B.chunked(pa.array(texts))) > 500
+        cut.append(time.process_time() - began)
+        began = time.process_time()
+        for t in texts:
+            enc.encode_ordinary(t)
+        encoded.append(time.process_time() - began)
+    assert min(cut) < 0.5 * min(encoded)
+
+
 def test_bpe_safe_places_are_safe():
     rng = random.Random(18)
     enc = B.encoding()

@@ -70,16 +70,19 @@ def token_type(enc) -> type:
 def safe_places(buf: np.ndarray) -> np.ndarray:
     """Where the text can be cut and its parts encoded apart: before white space after anything else; between ideographic punctuation and a letter."""
     n = len(buf)
-    back = lambda k: np.concatenate([np.zeros(k, np.uint8), buf[: n - k]])
-    at = np.flatnonzero(_SPACE[buf] & (back(1) > 32))
-    one, two, three = (np.where(at >= k, buf[np.maximum(at - k, 0)], 0) for k in (1, 2, 3))
+    at = np.flatnonzero((buf[1:] <= 32) & (buf[:-1] > 32)) + 1
+    at = at[_SPACE[buf[at]]]
+    keep = _PRINT[buf[at - 1]]
+    high = np.flatnonzero(buf[at - 1] >= 0x80)
+    one, two, three = (np.where(at[high] >= k, buf[np.maximum(at[high] - k, 0)], 0) for k in (1, 2, 3))
     # White space beyond ASCII ends in these bytes.
     wide = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE1) & (two == 0x9A) & (one == 0x80) | (three == 0xE3) & (two == 0x80) & (one == 0x80)
     wide |= (three == 0xE2) & ((two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF)) | (two == 0x81) & (one == 0x9F)) & (one >= 0x80)
-    at = at[~wide & (_PRINT[one] | (one >= 0x80))]
-    if n < 6 or not (buf == 0x80).any() and not (buf == 0xBC).any():
-        return at
+    keep[high] = ~wide
+    at = at[keep]
     i = np.flatnonzero((buf[3:-2] >= 0xE3) & (buf[3:-2] <= 0xED)) + 3
+    if n < 6 or not len(i):
+        return at
     a, b, c = buf[i - 3], buf[i - 2], buf[i - 1]
     i = i[(a == 0xE3) & (b == 0x80) & ((c == 0x81) | (c == 0x82) | (c == 0x8D)) | (a == 0xEF) & (b == 0xBC) & ((c == 0x81) | (c == 0x8C) | (c == 0x9F))]
     x, y, z = buf[i], buf[i + 1], buf[i + 2]
@@ -98,16 +101,20 @@ def cut_places(buf: np.ndarray, off: np.ndarray, mask_bits: int = MASK_BITS, mos
 
     def chosen(at: np.ndarray, bits: int) -> np.ndarray:
         """Of the places those that the bytes before them, in the same row, choose."""
-        at = at[at - begins[np.searchsorted(begins, at, "right") - 1] >= LOOK_BACK]
+        at = at[at >= LOOK_BACK]
         h = mix(span_hash(sums, at - LOOK_BACK, at, P_BYTE), 3)
-        return at[h & np.uint64((1 << bits) - 1) == 0]
+        at = at[h & np.uint64((1 << bits) - 1) == 0]
+        return at[at - begins[np.searchsorted(begins, at, "right") - 1] >= LOOK_BACK]
 
     def gaps(cuts: np.ndarray, least: int) -> list[tuple[int, int]]:
         ends = np.append(cuts[1:], n)
         return [(int(cuts[k]), int(ends[k])) for k in np.flatnonzero(ends - cuts > least)]
 
     places = safe_places(buf)
-    places = places[~np.isin(places, begins)]
+    safe = np.zeros(n, dtype=bool)
+    safe[begins] = True
+    places = places[~safe[places]]
+    safe[places] = True
     cuts = np.union1d(begins, chosen(places, mask_bits))
     # Long stretches first take every safe place that fewer bits choose, and only what is still long is cut elsewhere.
     more = [chosen(places[slice(*np.searchsorted(places, (a + 1, z)))], max(0, mask_bits - 2)) for a, z in gaps(cuts, min(long, most))]
@@ -122,7 +129,7 @@ def cut_places(buf: np.ndarray, off: np.ndarray, mask_bits: int = MASK_BITS, mos
                 a -= 1
             forced.append(a)
     cuts = np.union1d(cuts, np.array(forced, dtype=np.int64)) if forced else cuts
-    return cuts, np.isin(cuts, begins) | np.isin(cuts, places)
+    return cuts, safe[cuts]
 
 
 def chunked(col: pa.Array | pa.ChunkedArray, mask_bits: int = MASK_BITS, most: int = MOST) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -132,11 +139,9 @@ def chunked(col: pa.Array | pa.ChunkedArray, mask_bits: int = MASK_BITS, most: i
         part, o = buf[off[a] : off[b]], off[a : b + 1] - off[a]
         cuts, safe = cut_places(part, o, mask_bits, most)
         ends = np.append(cuts[1:], len(part)) if len(cuts) else cuts
-        sums = prefix_sums(T_BYTE[part], P_BYTE)
-        h1 = mix(span_hash(sums, cuts, ends, P_BYTE), 4)
-        sums = prefix_sums(mix(part.astype(np.uint64), 5), P_BYTE ^ 0x5DEECE66D << 8)
-        h2 = mix(span_hash(sums, cuts, ends, P_BYTE ^ 0x5DEECE66D << 8) + (ends - cuts).astype(np.uint64), 6)
-        yield a, b, part, o, cuts, safe, h1, h2
+        raw = memoryview(part)
+        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x:z]) for x, z in zip(cuts.tolist(), ends.tolist())]), np.uint64)
+        yield a, b, part, o, cuts, safe, h[::2].copy(), h[1::2].copy()
 
 
 def _count_batches(mask_bits: int, most: int):
