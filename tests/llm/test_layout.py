@@ -276,6 +276,17 @@ def test_media_sequences_match_brute_force(spark):
     assert got == want and any(k[3] for k in want)
 
 
+def test_media_links_resolve_to_whole_pages(spark):
+    """A page is the payload of its address: its text, not a hash of it; of an address with several pages the least one."""
+    html = {1: "<p>one <a href=/b#top>b</a> <a href=/none>none</a>", 2: "<p>two <a href='http://h.com/a'>a</a>", 3: "<p>a third ü of the address of 2"}
+    pages = spark.createDataFrame([(1, "http://h.com/a", html[1]), (2, "http://h.com/b", html[2]), (3, "http://h.com/b#x", html[3]), (4, "http://h.com/c", None)], "page_id long, url string, html string")
+    out = {r.page_id: r for r in M.media_sequences(pages, M.page_payloads(pages), (*M.MEDIA_TAGS, "a")).collect()}
+    got = {k: [(x.mime, x.n_bytes, x.content) for x in r.sequence if x.kind == "media"] for k, r in out.items()}
+    least = min(html[2], html[3])
+    assert got == {1: [("text/html", len(least.encode()), least), (None, None, None)], 2: [("text/html", len(html[1]), html[1])], 3: [], 4: []}
+    assert {k: r.n_resolved for k, r in out.items()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -14,7 +14,8 @@ that, which costs less than to keep all sequences on disk between.
 
 Parsing is by one regular expression over tags, in Python; comments, declarations, templates, scripts, styles and the head's text
 are skipped; a head without its end tag ends at the body or its first element; unclosed elements end with the page. `tags` are the elements that count. The table `pages`
-refers to other resources by links alone, none of which leads to a page in it; what its query resolves are the style sheets and scripts that the pages hold.
+refers to other resources by links alone, none of which leads to a page in it; what its query resolves are the style sheets and scripts that the pages hold. A link
+to a page of the table has that whole page as its payload.
 
 Defined cases: null and empty pages have an empty sequence; without an address relative references stay as they are; a reference without
 an address is dropped; a video's poster is an item after it; of a srcset the first address counts where there is no src; references repeated on a page are items each;
@@ -230,15 +231,15 @@ def _digest_batches(tags: frozenset[str]):
     return run
 
 
-def page_payloads(pages: DataFrame) -> DataFrame:
-    """The pages as payloads of their own addresses: (digest, mime, n_bytes, content), the content by its SHA-256."""
+def _address_digests(urls: pa.Array) -> pa.Array:
+    return pa.array([address_digest(u) for u in urls.to_pylist()], pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([address_digest(u) for u in b.column(0).to_pylist()], pa.string()), *b.columns[1:]], ["digest", "mime", "n_bytes", "content"])
 
-    p = pages.where("url is not null and html is not null").select("url", F.lit("text/html").alias("mime"), F.octet_length("html").cast("bigint").alias("n_bytes"), F.sha2("html", 256).alias("content"))
-    return p.transform(map_arrow, run, "digest string, mime string, n_bytes long, content string")
+def page_payloads(pages: DataFrame) -> DataFrame:
+    """The pages as payloads of their own addresses: (digest, mime, n_bytes, content), the content being the page itself."""
+    digest = F.arrow_udf(_address_digests, "string")  # of the addresses alone, so that what asks for digests doesn't carry the pages
+    p = pages.where("url is not null and html is not null")
+    return p.select(digest("url").alias("digest"), F.lit("text/html").alias("mime"), F.octet_length("html").cast("bigint").alias("n_bytes"), F.col("html").alias("content"))
 
 
 def media_sequences(pages: DataFrame, payloads: DataFrame, tags: tuple[str, ...] = MEDIA_TAGS) -> DataFrame:
@@ -254,9 +255,10 @@ def media_sequences(pages: DataFrame, payloads: DataFrame, tags: tuple[str, ...]
     refs = materialise(refs, "payloads-asked")
     asked = refs.select("k1", "k2", "digest")  # equal pages ask the same, which the set below folds
     own = refs.where("mime is not null").select("digest", "mime", "n_bytes", "content")
+    bits = bits_for(refs.count())
+    given = mark(given, [F.col("digest")], bitmap_of(refs, [F.col("digest")], bits), "may", bits).where("may").drop("may")  # contents are long: few that nobody asks for are shuffled
     store = given.join(refs.select("digest").distinct(), "digest", "left_semi").unionAll(own).groupBy("digest").agg(F.min(F.struct("content", "mime", "n_bytes")).alias("payload"))
     found = asked.join(store, "digest").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("digest", "payload"))).alias("found"))
-    bits = bits_for(refs.count())
     d = mark(d, [F.col("k1"), F.col("k2")], bitmap_of(refs, [F.col("k1"), F.col("k2")], bits), "may", bits)
     read = lambda x: x.select("page_id", "url", "html", "k1", "k2").transform(map_arrow, _parse_batches(frozenset(tags)), f"page_id long, k1 long, k2 long, sequence array<{ITEM_SQL}>")
     plain = read(d.where("not may")).select("page_id", "sequence", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
