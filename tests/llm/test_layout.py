@@ -287,6 +287,36 @@ def test_media_links_resolve_to_whole_pages(spark):
     assert {k: r.n_resolved for k, r in out.items()} == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
+def shuffled(spark) -> dict[int, int]:
+    """Bytes that the stages so far wrote to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_media_pages_with_payloads_of_their_own_are_not_shuffled(spark):
+    rng = random.Random(23)
+    text = lambda: "".join(chr(rng.randrange(97, 123)) for _ in range(6000))
+    pages = [(i, f"http://h.com/{i}", f"<style>{text()}</style><p>{text()}<a href=/{i + 1000}>x</a><script>{i}</script>") for i in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    before = shuffled(spark)
+    out = M.media_sequences(df, M.page_payloads(df), (*M.MEDIA_TAGS, "a", "style", "script")).collect()
+    new = [n for k, n in shuffled(spark).items() if k not in before]
+    assert new and sum(new) < 0.2 * sum(len(h) for *_, h in pages)
+    assert all(r.n_media == 3 and r.n_resolved == 2 for r in out)
+    assert {r.page_id: "<style>%s</style><p>%s<a href=/%d>x</a><script>%s</script>" % (r.sequence[0].content, r.sequence[1].text, r.page_id + 1000, r.sequence[3].content) for r in out} == {i: h for i, _, h in pages}
+
+
+def test_media_least_payload_counts_wherever_it_is_held(spark):
+    """The same bytes as a style and as a script, on one page or on two, and with a given payload: all items get the least of them."""
+    rows = [(1, "<style>a</style><script>a</script>"), (2, "<script>b</script>"), (3, "<style>b</style>"), (4, "<script>c</script>"), (5, "<script>d</script>"), (6, "<style>d</style><img src='data:text/plain,d'>")]
+    pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")
+    pay = spark.createDataFrame([(hashlib.sha256(b"c").hexdigest(), None, 7, "a given one")], "digest string, mime string, n_bytes long, content string")
+    out = M.media_sequences(pages, pay, (*M.MEDIA_TAGS, "style", "script")).collect()
+    css = [("text/css", 1, x) for x in "ab"]
+    assert {r.page_id: [(x.mime, x.n_bytes, x.content) for x in r.sequence] for r in out} == {1: css[:1] * 2, 2: css[1:], 3: css[1:], 4: [(None, 7, "a given one")], 5: [("text/plain", 1, "ZA==")], 6: [("text/plain", 1, "ZA==")] * 2}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -6,11 +6,12 @@ address (null for what stands in the page itself: svg, style, script), a caption
 the figure around it, else its alt or title text. The digest is the SHA-256 of the bytes for resources in the page and data: addresses, of the address without its
 fragment else, and is the key of the payloads.
 
-Payloads are the given table (digest, mime, n_bytes, content) and what the pages hold themselves, stored once whatever number of pages
-has it. A first parse gives the digests of each page; those that a bitmap of the given table's digests lets through, and those of the pages' own payloads, are
-written. The given table is thinned to the digests asked for before it is grouped. One join by digest resolves them; what was found goes back
-to its pages by a 128-bit key of address and content, and pages without a payload are shuffled nowhere. Pages are parsed a second time for
-that, which costs less than to keep all sequences on disk between.
+Payloads are the given table (digest, mime, n_bytes, content) and what the pages hold themselves. A first parse gives the digests of each page; those
+that a bitmap of the given table's digests lets through, and those of the pages' own payloads, are written. Of these the join by digest is asked for
+digests of the given table, and for those whose bytes pages hold in several forms (by type, as text or in base 64), of which the least counts. Only pages that ask are parsed
+for the payloads that they hold of these; the given table is thinned to the digests asked for before it is grouped; and what was found goes back
+to its pages by a 128-bit key of address and content. Any other payload that a page holds itself has this one form, so it is resolved where the page is parsed, and pages
+that don't ask are shuffled nowhere. Pages are parsed a second time for their sequences, which costs less than to keep them all on disk between.
 
 Parsing is by one regular expression over tags, in Python; comments, declarations, templates, scripts, styles and the head's text
 are skipped; a head without its end tag ends at the body or its first element; unclosed elements end with the page. `tags` are the elements that count. The table `pages`
@@ -51,8 +52,9 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg)\b[^>]*>(.*?)(
 _STARTS = re.compile(_BODY, re.I)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("tag", pa.string()), ("src", pa.string()), ("caption", pa.string()), ("digest", pa.binary())])
-ITEM_SQL = "struct<position: int, kind: string, text: string, tag: string, src: string, caption: string, digest: binary>"
+_PAYLOAD = [("mime", pa.string()), ("n_bytes", pa.int64()), ("content", pa.string())]
+ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("tag", pa.string()), ("src", pa.string()), ("caption", pa.string()), ("digest", pa.binary()), *_PAYLOAD])
+ITEM_SQL = "struct<position: int, kind: string, text: string, tag: string, src: string, caption: string, digest: binary, mime: string, n_bytes: bigint, content: string>"
 
 
 def data_bytes(src: str) -> bytes | None:
@@ -192,17 +194,6 @@ def parse(page: str | None, base: str | None, tags: frozenset[str]) -> list[dict
     return items
 
 
-def _parse_batches(tags: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
-                seq = [[{k: bytes.fromhex(v) if k == "digest" else v for k, v in x.items() if k != "body"} for x in parse(p, u, tags)] for p, u in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4), pa.array(seq, pa.list_(ITEM))], ["page_id", "k1", "k2", "sequence"])
-
-    return run
-
-
 def payload_of(item: dict) -> tuple[str, int, str] | None:
     """(mime, n_bytes, content in base 64 or as text) of what an item holds itself."""
     if body := item.get("body"):
@@ -213,20 +204,53 @@ def payload_of(item: dict) -> tuple[str, int, str] | None:
     return None
 
 
+def _item(x: dict) -> dict:
+    """An item as it is returned, with the payload that it holds itself."""
+    own = payload_of(x) if x["kind"] == "media" else None
+    out = {k: v for k, v in x.items() if k != "body"}
+    if "digest" in x:
+        out["digest"] = bytes.fromhex(x["digest"])
+    return out | dict(zip(("mime", "n_bytes", "content"), own)) if own else out
+
+
+def _parse_batches(tags: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                b = whole.slice(k, 500)
+                seq = [[_item(x) for x in parse(p, u, tags)] for p, u in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4), pa.array(seq, pa.list_(ITEM))], ["page_id", "k1", "k2", "sequence"])
+
+    return run
+
+
 def _digest_batches(tags: frozenset[str]):
-    """The distinct digests of each page, with the payloads that it holds itself."""
+    """The distinct digests of each page; own: of what it holds itself, what its payload depends on besides the bytes, which the digest stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, digests, held = [], [], []
             for i, (page, base) in enumerate(zip(b.column(2).to_pylist(), b.column(1).to_pylist())):
-                own = {x["digest"]: payload_of(x) for x in parse(page, base, tags) if x["kind"] == "media"}
+                own = {(x["digest"], None if (p := payload_of(x)) is None else ("text " if "body" in x else "base64 ") + p[0]) for x in parse(page, base, tags) if x["kind"] == "media"}
                 at += [i] * len(own)
-                digests += own
-                held += own.values()
+                digests += [bytes.fromhex(d) for d, _ in own]
+                held += [h for _, h in own]
             take = pa.array(at, pa.int64())
-            cols = [pa.array([h and h[k] for h in held], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(3).take(take), b.column(4).take(take), pa.array([bytes.fromhex(x) for x in digests], pa.binary()), *cols], ["k1", "k2", "digest", "mime", "n_bytes", "content"])
+            yield pa.RecordBatch.from_arrays([b.column(3).take(take), b.column(4).take(take), pa.array(digests, pa.binary()), pa.array(held, pa.string())], ["k1", "k2", "digest", "own"])
+
+    return run
+
+
+def _own_batches(tags: frozenset[str]):
+    """The distinct payloads that each page holds itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own: dict[tuple, None] = {}
+            for page, base in zip(b.column(2).to_pylist(), b.column(1).to_pylist()):
+                own |= {(x["digest"], *p): None for x in parse(page, base, tags) if x["kind"] == "media" and (p := payload_of(x))}
+            cols = [pa.array([o[k + 1] for o in own], t) for k, (_, t) in enumerate(_PAYLOAD)]
+            yield pa.RecordBatch.from_arrays([pa.array([bytes.fromhex(o[0]) for o in own], pa.binary()), *cols], ["digest", "mime", "n_bytes", "content"])
 
     return run
 
@@ -250,22 +274,26 @@ def media_sequences(pages: DataFrame, payloads: DataFrame, tags: tuple[str, ...]
     d = pages.select(integer_id(pages, "page_id").alias("page_id"), "url", "html", F.xxhash64("url", "html", none).alias("k1"), F.xxhash64(F.lit(7), "html", none, "url").alias("k2"))
     bits = bits_for(payloads.count())
     given = payloads.select(F.unhex("digest").alias("digest"), "mime", "n_bytes", "content").where("digest is not null")  # digests that aren't hexadecimal are nobody's
-    refs = d.transform(map_arrow, _digest_batches(frozenset(tags)), "k1 long, k2 long, digest binary, mime string, n_bytes long, content string")
-    refs = mark(refs, [F.col("digest")], bitmap_of(given, [F.col("digest")], bits), "may", bits).where("may or mime is not null").drop("may")
-    refs = materialise(refs, "payloads-asked")
-    asked = refs.select("k1", "k2", "digest")  # equal pages ask the same, which the set below folds
-    own = refs.where("mime is not null").select("digest", "mime", "n_bytes", "content")
+    refs = d.transform(map_arrow, _digest_batches(frozenset(tags)), "k1 long, k2 long, digest binary, own string")
+    refs = mark(refs, [F.col("digest")], bitmap_of(given, [F.col("digest")], bits), "may", bits).where("may or own is not null").drop("may")
+    refs = materialise(refs, "payloads-named")
     bits = bits_for(refs.count())
-    given = mark(given, [F.col("digest")], bitmap_of(refs, [F.col("digest")], bits), "may", bits).where("may").drop("may")  # contents are long: few that nobody asks for are shuffled
-    store = given.join(refs.select("digest").distinct(), "digest", "left_semi").unionAll(own).groupBy("digest").agg(F.min(F.struct("content", "mime", "n_bytes")).alias("payload"))
+    thin = lambda x, keys: mark(x, [F.col("digest")], bitmap_of(keys, [F.col("digest")], bits), "may", bits).where("may").drop("may")
+    several = refs.where("own is not null").groupBy("digest").agg(F.min("own").alias("a"), F.max("own").alias("z")).where("a < z").select("digest")
+    asked = refs.join(thin(given.select("digest"), refs).unionAll(several), "digest", "left_semi").select("k1", "k2", "digest")
+    asked = materialise(asked, "payloads-asked")  # equal pages ask the same, which the set below folds
+    d = mark(d, [F.col("k1"), F.col("k2")], bitmap_of(asked, [F.col("k1"), F.col("k2")], bits), "may", bits)
+    d, plain = (d.where(c).select("page_id", "url", "html", "k1", "k2") for c in ("may", "not may"))
+    own = d.transform(map_arrow, _own_batches(frozenset(tags)), "digest binary, mime string, n_bytes long, content string")
+    store = thin(given, asked).unionAll(thin(own, asked)).groupBy("digest").agg(F.min(F.struct("content", "mime", "n_bytes")).alias("payload"))
     found = asked.join(store, "digest").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("digest", "payload"))).alias("found"))
-    d = mark(d, [F.col("k1"), F.col("k2")], bitmap_of(refs, [F.col("k1"), F.col("k2")], bits), "may", bits)
-    read = lambda x: x.select("page_id", "url", "html", "k1", "k2").transform(map_arrow, _parse_batches(frozenset(tags)), f"page_id long, k1 long, k2 long, sequence array<{ITEM_SQL}>")
-    plain = read(d.where("not may")).select("page_id", "sequence", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
-    full = plain.unionAll(read(d.where("may")).join(found, ["k1", "k2"], "left").select("page_id", "sequence", "found")).withColumn(
+    read = lambda x: x.transform(map_arrow, _parse_batches(frozenset(tags)), f"page_id long, k1 long, k2 long, sequence array<{ITEM_SQL}>")
+    plain = read(plain).select("page_id", "sequence", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
+    full = plain.unionAll(read(d).join(found, ["k1", "k2"], "left").select("page_id", "sequence", "found")).withColumn(
         "sequence",
-        F.expr("""transform(sequence, x -> named_struct('position', x.position, 'kind', x.kind, 'text', x.text, 'tag', x.tag, 'src', x.src, 'caption', x.caption, 'digest', lower(hex(x.digest)),
-                  'mime', try_element_at(found, x.digest).mime, 'n_bytes', try_element_at(found, x.digest).n_bytes, 'content', try_element_at(found, x.digest).content))"""),
+        F.expr("""transform(transform(sequence, x -> struct(x, if(map_contains_key(found, x.digest), try_element_at(found, x.digest), named_struct('content', x.content, 'mime', x.mime, 'n_bytes', x.n_bytes)) as p)),
+                  y -> named_struct('position', y.x.position, 'kind', y.x.kind, 'text', y.x.text, 'tag', y.x.tag, 'src', y.x.src, 'caption', y.x.caption, 'digest', lower(hex(y.x.digest)),
+                  'mime', y.p.mime, 'n_bytes', y.p.n_bytes, 'content', y.p.content))"""),
     )
     count = lambda c: F.expr(f"size(filter(sequence, x -> {c}))")
     return full.select("page_id", count("x.kind = 'text'").alias("n_text"), count("x.kind = 'media'").alias("n_media"), count("x.mime is not null").alias("n_resolved"), "sequence")
