@@ -55,6 +55,23 @@ def test_block_max_search_is_exact():
             assert np.allclose(sims, cos[want], atol=1e-9) and np.allclose(cos[ids], cos[want], atol=1e-9)
 
 
+def test_search_with_and_without_bounds(monkeypatch):
+    """Few postings for their blocks are added up without bounds; what is found is the same to the last digit."""
+    rng = np.random.default_rng(3)
+    n, nf = 400, 900
+    w = rng.random((n, nf)) * (rng.random((n, nf)) < 0.03)
+    r, f = np.nonzero(w)
+    index = X.BlockMaxIndex(n, r, f, w[r, f], nf)
+    but, found = rng.integers(0, n, n), []
+    assert len(r) < X.PAYS * len(index.post)  # so the bounds don't pay here
+    for pays in (0, X.PAYS):
+        monkeypatch.setattr(X, "PAYS", pays)
+        found.append([[(i, a.tolist(), b.tolist()) for i, a, b in index.search(r, f, w[r, f], n, 7, x)] for x in (None, but)])
+    assert found[0] == found[1] and len(found[0][0]) == n
+    monkeypatch.setattr(index, "_bounded", None)
+    assert [(i, a.tolist(), b.tolist()) for i, a, b in index.search(r, f, w[r, f], n, 7)] == found[0][0]
+
+
 def test_toxicity_matches_brute_force(spark):
     """Weights, cosines, neighbours, votes and scores of 500 documents by loops over words."""
     rows, labels = toxic_rows(500)

@@ -10,7 +10,8 @@ by rare harmless words (README has the figures).
 The index is inverted: a posting list for each term, in blocks of BLOCK examples, each with its largest weight. A query
 adds these maxima to a bound for every block. The FIRST blocks of the highest bounds are scored, then every other block whose bound
 reaches the k-th best cosine so far; so the k nearest are exact (ties: the lesser id). Queries are
-searched many at a time. Every text is read whole.
+searched many at a time; those whose postings are few for their blocks, so that bounds would cost more than they
+save, have all their postings added up at once, with the same result. Every text is read whole.
 
 The score is a distance-weighted vote: squared cosines, weighted by how many labelled
 documents of its class each example stands for, with the labels' toxic share as a prior of weight PRIOR; then a logistic
@@ -39,6 +40,8 @@ PER_CLASS, NEIGHBOURS, BLOCK, FIRST, PRIOR, MAX_SHARE, THRESHOLD = 1500, 15, 64,
 RELEVANT = np.log2(3) ** 2
 #: Most queries, and most of their terms' blocks, searched at a time (a query of more is alone).
 QUERIES, ENTRIES = 128, 1 << 18
+#: Postings for each block of a term from which on bounds pay.
+PAYS = 4
 ROWS = 500
 
 
@@ -99,6 +102,7 @@ class BlockMaxIndex:
         self.block = key[self.post] % self.blocks
         self.most = np.maximum.reduceat(self.weights, self.post) if len(self.post) else np.zeros(0)
         self.begin = np.searchsorted(key[self.post], np.arange(n_terms + 1) * np.int64(self.blocks))
+        self.start = np.append(self.post, len(key))[self.begin]  # of each term's postings
 
     def search(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, but: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each of the n queries that has one, its k examples of the highest cosine above 0 (ties: the lesser number) and the cosines. but: an example that a query leaves out."""
@@ -113,6 +117,31 @@ class BlockMaxIndex:
             a = b
 
     def _batch(self, rows, terms, weights, n, k, but, first):
+        size = self.start[terms + 1] - self.start[terms]
+        if size.sum() < PAYS * (self.begin[terms + 1] - self.begin[terms]).sum():
+            p = np.repeat(self.start[terms] - np.cumsum(size) + size, size)
+            p += np.arange(len(p))
+            cell = np.repeat(rows * self.n, size)
+            cell += self.rows[p]
+            cos = np.bincount(cell, weights=np.repeat(weights, size) * self.weights[p], minlength=n * self.n)
+            if but is not None:
+                cos.reshape(n, self.n)[np.arange(n), but] = 0
+        else:
+            cos = self._bounded(rows, terms, weights, n, k, but)
+        at = min(k, self.n) - 1
+        c = np.round(cos.reshape(n, self.n), 12)
+        kth = -np.partition(-c, at, axis=1)[:, at]
+        r, x = np.nonzero((c >= kth[:, None]) & (c > 0))
+        v = c[r, x]
+        order = np.lexsort((x, -v, r))
+        r, x, v = r[order], x[order], v[order]
+        begin = np.searchsorted(r, np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(begin)):
+            z = slice(begin[i], min(begin[i] + k, begin[i + 1]))
+            yield first + int(i), x[z], v[z]
+
+    def _bounded(self, rows, terms, weights, n, k, but) -> np.ndarray:
+        """Cosines of the blocks whose bounds reach the k-th best one."""
         e, of = spread(self.begin[terms], self.begin[terms + 1] - self.begin[terms])
         row, w = rows[of], weights[of]
         cell = row * self.blocks + self.block[e]
@@ -133,16 +162,7 @@ class BlockMaxIndex:
         at = min(k, self.n) - 1
         kth = -np.partition(-cos.reshape(n, self.n), at, axis=1)[:, at]
         score((bound > 0) & ~done & (bound >= kth[:, None] - 1e-9))
-        c = np.round(cos.reshape(n, self.n), 12)
-        kth = -np.partition(-c, at, axis=1)[:, at]
-        r, x = np.nonzero((c >= kth[:, None]) & (c > 0))
-        v = c[r, x]
-        order = np.lexsort((x, -v, r))
-        r, x, v = r[order], x[order], v[order]
-        begin = np.searchsorted(r, np.arange(n + 1))
-        for i in np.flatnonzero(np.diff(begin)):
-            z = slice(begin[i], min(begin[i] + k, begin[i + 1]))
-            yield first + int(i), x[z], v[z]
+        return cos
 
 
 class ToxicModel:
