@@ -232,6 +232,18 @@ def test_lm_scores_are_those_of_a_literal_traversal():
     assert np.allclose(a.score(own), want, atol=1e-9)
 
 
+def test_lm_arcs_are_looked_up_and_not_searched_for(monkeypatch):
+    """The part's pairs and triples are numbered as np.unique would, and a text's run takes its arcs by these numbers."""
+    rng = np.random.default_rng(2)
+    for key, most in ((rng.integers(0, 900, 5000), 900), (rng.integers(0, 1 << 60, 50), 1 << 60), (np.zeros(0, np.int64), 1)):
+        for got in (A.ranked(key, most), A.ranked_hashes(key.astype(np.uint64))):
+            assert all(np.array_equal(a, b) for a, b in zip(got, np.unique(key, return_inverse=True, return_counts=True)))
+    own, a = local_automaton(["a b c a b c d", "a b c", None, "d", "c a b"], 2)
+    monkeypatch.setattr(A, "find", None)
+    monkeypatch.setattr(A, "PLACES", 3)
+    assert np.isfinite(a.score(own)).all() and a.score(own)[2] == 0 > a.score(own)[1]
+
+
 def test_lm_counts_survive_packing():
     for x in ([], [0], [254, 255, 256, 65534, 65535, 65536, 10**12], [255] * 40, list(range(600))):
         b = A.pack(np.array(x, dtype=np.int64))

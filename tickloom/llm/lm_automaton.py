@@ -153,17 +153,44 @@ def hear(t: pa.Table, level: int) -> list[np.ndarray]:
     return [np.concatenate([unpack(r[x]) for r in got] or [np.zeros(0, np.int64)]) for x in FIELDS[:4]]
 
 
+def ranked(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys (below most) in order, the number of each key's and the counts: a key and its place are sorted as one number where both fit."""
+    bits = len(key).bit_length()
+    if int(most).bit_length() + bits > 64:
+        return np.unique(key, return_inverse=True, return_counts=True)
+    x = np.sort(key.astype(np.uint64) << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+    at, x = (x & np.uint64((1 << bits) - 1)).astype(np.int64), (x >> np.uint64(bits)).astype(np.int64)
+    first = np.ones(len(x), dtype=bool)
+    first[1:] = x[1:] != x[:-1]
+    begin, number = np.flatnonzero(first), np.empty(len(x), np.int64)
+    number[at] = np.cumsum(first) - 1
+    return x[begin], number, np.diff(np.append(begin, len(x)))
+
+
+def ranked_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for hashes, which repeat much: they are numbered by a table and only the distinct ones sorted."""
+    d = pa.array(h).dictionary_encode()
+    each = d.dictionary.to_numpy()
+    order = np.argsort(each)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    number = rank[d.indices.to_numpy()]
+    return each[order], number, np.bincount(number, minlength=len(order))
+
+
 class Part:
     """The words, pairs and triples of a part's texts."""
 
     def __init__(self, col):
         h, self.n = word_hashes(col)
         self.row = np.repeat(np.arange(len(self.n)), self.n)
-        self.words, self.at, self.times = np.unique(h, return_inverse=True, return_counts=True)
+        self.words, self.at, self.times = ranked_hashes(h)
+        v = max(1, len(self.words))
         i = np.flatnonzero(self.row[1:] == self.row[:-1])
-        self.pairs, self.pair_at, self.pair_times = np.unique(self.at[i] << 32 | self.at[i + 1], return_inverse=True, return_counts=True)
+        pairs, number, self.pair_times = ranked(self.at[i] * v + self.at[i + 1], v * v)
+        self.pairs = pairs // v << 32 | pairs % v
         self.pair_of = np.full(len(h), -1)  # of the word at that place and the next one
-        self.pair_of[i] = self.pair_at
+        self.pair_of[i] = number
 
     def ask_pairs(self, part: int, bits: int) -> list[tuple]:
         followers = np.bincount(self.pairs >> 32, minlength=len(self.words))
@@ -180,7 +207,11 @@ class Part:
         self.context, self.context_hash = of[order], h[order]
         number = np.zeros(len(self.pairs), np.int64)
         number[self.context] = np.arange(len(of))
-        self.triples, self.triple_times = np.unique(number[self.pair_of[i]] << 32 | self.at[i + 2], return_counts=True)
+        v = max(1, len(self.words))
+        triples, at, self.triple_times = ranked(number[self.pair_of[i]] * v + self.at[i + 2], max(1, len(of)) * v)
+        self.triples = triples // v << 32 | triples % v
+        self.triple_of = np.full(len(self.at), -1, np.int32)  # of the word at that place and the two before
+        self.triple_of[i + 2] = at
 
     def ask_triples(self, part: int, bits: int) -> list[tuple]:
         followers = np.bincount(self.triples >> 32, minlength=len(self.context))
@@ -209,7 +240,11 @@ class Part:
         bow = np.log(np.concatenate([[1.0], b1, b2[live]]))
         fail = np.concatenate([np.zeros(1 + v, np.int64), w[live] + 1])
         order = np.argsort(key, kind="stable")
-        return Automaton(np.log(p1), key[order], to[order], p[order], bow, fail, state2)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pair_arc, triple_arc = np.full(len(self.pairs), -1), np.full(len(self.triples), -1)
+        pair_arc[live], triple_arc[t] = np.split(place, [int(live.sum())])
+        return Automaton(np.log(p1), key[order], to[order], p[order], bow, fail, state2, pair_arc, triple_arc)
 
 
 class Automaton:
@@ -219,10 +254,12 @@ class Automaton:
     states to pairs, of pair states to the pair of their last two words.
     """
 
-    def __init__(self, p1, key, to, p, bow, fail, pair_state):
+    def __init__(self, p1, key, to, p, bow, fail, pair_state, pair_arc, triple_arc):
         self.p1, self.key, self.to, self.p, self.bow, self.fail = p1, key, to, p, bow, fail
         #: The states of the part's pairs; -1 for those that aren't kept.
         self.pair_state = pair_state
+        #: The arcs of the part's pairs and triples; -1 for those that have none.
+        self.pair_arc, self.triple_arc = pair_arc, triple_arc
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states and the log-probabilities."""
@@ -247,22 +284,34 @@ class Automaton:
         """Log-probability of each text.
 
         The automaton is definite: whatever came before, after two words the state is that of the longest kept suffix of
-        them. So the run of every text is laid out from left to right at once, its states one place ahead of its words, and
-        one step takes the arcs of all places.
+        them. So the run of every text is laid out from left to right at once, and as the part knows the pair and the triple
+        of every place by number, their arcs are looked up and not searched for.
         """
-        w = part.at
-        before = np.zeros(len(w), np.int64)
-        if len(w) > 1:
-            pair = np.where(part.pair_of[:-1] >= 0, self.pair_state[part.pair_of[:-1]], -1) if len(self.pair_state) else np.full(len(w) - 1, -1)
-            # The state before word t + 1 is the pair (t - 1, t) where that is a state, else the word t, in one text.
-            word = w[:-1] + 1
-            before[1:] = word
-            before[2:] = np.where(pair[:-1] >= 0, pair[:-1], word[1:])
-            begin = np.cumsum(part.n) - part.n
-            before[begin[part.n > 0]] = 0
-        p = np.zeros(len(w))
-        for a in range(0, len(w), PLACES):
-            p[a : a + PLACES] = self.step(before[a : a + PLACES], w[a : a + PLACES])[1]
+        p = np.zeros(len(part.at))
+        pad = np.full(2, -1)
+        pair_of = np.concatenate([pad, part.pair_of])  # of the words at two places before and one before
+        for a in range(0, len(p), PLACES):
+            b = min(len(p), a + PLACES)
+            word, last, triple = part.at[a:b], pair_of[a + 1 : b + 1], part.triple_of[a:b]
+            two = last >= 0  # the word isn't a text's first one
+            state = np.full(b - a, -1)
+            k = np.flatnonzero(two & (pair_of[a:b] >= 0))
+            state[k] = self.pair_state[pair_of[a:b][k]]
+            arc = np.full(b - a, -1)
+            k = np.flatnonzero((state >= 0) & (triple >= 0))
+            arc[k] = self.triple_arc[triple[k]]
+            out = np.zeros(b - a)
+            k = np.flatnonzero((state >= 0) & (arc < 0))
+            out[k] = self.bow[state[k]]
+            k = np.flatnonzero((arc < 0) & two)
+            arc[k] = self.pair_arc[last[k]]
+            k = k[arc[k] < 0]
+            out[k] += self.bow[(part.pairs[last[k]] >> 32) + 1]
+            k = np.flatnonzero(arc < 0)
+            out[k] += self.p1[word[k]]
+            k = np.flatnonzero(arc >= 0)
+            out[k] += self.p[arc[k]]
+            p[a:b] = out
         return np.bincount(part.row, weights=p, minlength=len(part.n))
 
 
