@@ -25,6 +25,13 @@ def test_steps(spark):
     assert one(spark, X.align_to_step(F.lit(100.06), 0.1, "ceil")) == pytest.approx(100.1)
 
 
+def test_poisson_tail_of_large_means(spark):
+    """From 746 on, e^-lam is 0."""
+    for k, lam in ((900, 900.0), (1700, 1667.25), (3, 2.5), (20, 0.05), (1, 4.0), (0, 2.0)):
+        below = math.fsum(math.exp(i * math.log(lam) - lam - math.lgamma(i + 1)) for i in range(k))
+        assert one(spark, M.poisson_tail(F.lit(k), F.lit(lam))) == pytest.approx(max(0.0, 1 - below), abs=1e-9)
+
+
 def test_safe_number_and_clamp(spark):
     assert one(spark, X.safe_number(F.lit(None).cast("string"), 7)) == 0
     assert one(spark, X.safe_number(F.lit("x"), 7)) == 7

@@ -130,11 +130,12 @@ def market(b: DataFrame, htf: DataFrame) -> DataFrame:
 
 
 def poisson_tail(k: Column, lam: Column) -> Column:
-    """P(N >= k): one minus the sum of the terms below k, by a running product."""
+    """P(N >= k): one minus the sum of the terms below k. Their logarithms are carried on, for e^-lam is 0 from lam = 746 on."""
+    log = lambda q, i: q["t"] + F.ln(lam) - F.ln(i)
     terms = F.aggregate(
         F.when(k > 1, F.sequence(F.lit(1), (k - 1).cast("int"))).otherwise(F.array().cast("array<int>")),
-        F.struct(F.exp(-lam).alias("t"), F.exp(-lam).alias("s")),
-        lambda q, i: F.struct((q["t"] * lam / i).alias("t"), (q["s"] + q["t"] * lam / i).alias("s")),
+        F.struct((-lam).alias("t"), F.exp(-lam).alias("s")),
+        lambda q, i: F.struct(log(q, i).alias("t"), (q["s"] + F.coalesce(F.exp(log(q, i)), F.lit(0.0))).alias("s")),
         lambda q: q["s"],
     )
     return F.when(k <= 0, 1.0).otherwise(clamp(1 - clamp(terms, 0, 1), 0, 1))
