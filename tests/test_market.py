@@ -83,6 +83,26 @@ def test_source_dedup_and_clusters(spark):
     assert {r.seq: r.anchor for r in got.collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
 
 
+def test_title_pairs_by_rare_tokens(spark, tmp_path, monkeypatch):
+    """Equal titles are one class, cut into slices; every pair of a source is found once, without joining all rows of a frequent token."""
+    from tickloom.plans import stateful_queries as Q
+
+    monkeypatch.setattr(Q, "SLICE", 3, raising=False)
+    rng = np.random.default_rng(5)
+    titles = [["the", *rng.choice(list("abcdefgh"), 4)] for _ in range(60)] + [["the", "same"]] * 9 + [["the"], []]
+    rows = [(k, f"s{k % 2}", " ".join(w * 2 for w in t) + ". more") for k, t in enumerate(titles)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets, want = [set(t) for t in titles], set()
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if rows[a][1] == rows[b][1] and sets[a] and sets[b] and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.5:
+                want.add((a, b, round(j, 4)))
+    df = Q.title_pairs(spark, str(tmp_path))
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "array_intersect" in df._jdf.queryExecution().optimizedPlan().toString()  # compared where they meet, not by counting shared tokens
+
+
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", ["candles_1h", "atr14", "market_analysis", "calibration_grouping_sets", "asof_forward_settlement", "equity_drawdown", "stream_candles", "feed_rss_items", "feed_exchange_rules", "feed_price_sentiment", "event_classify", "symbol_event_aggregate", "signal_first_touch", "exit_score", "exit_factor_stats", "trade_history_upsert", "archive_retention", "market_tracking", "similar_titles", "portfolio_variance"])
 def test_oracles(spark, name):

@@ -50,13 +50,33 @@ def asof_forward(s, d):
     return both.withColumn("settled", F.last("p", ignorenulls=True).over(w)).where("kind = 0").select("symbol", "event_id", "settled")
 
 
+#: Documents of a class of equal titles that are paired in one row.
+SLICE = 512
+
+
 def title_pairs(s, d):
-    """Pairs of titles of a source with a Jaccard similarity of 0.5 or more, by an inverted index of tokens."""
-    t = _titles(s, d).select("source", "doc_id", F.array_distinct(F.expr("regexp_extract_all(title, '([a-z0-9]{2,})', 1)")).alias("tok")).where("size(tok) > 0")
-    x = t.select("source", "doc_id", F.size("tok").alias("n"), F.explode("tok").alias("w"))
-    y = x.toDF("source", "doc_b", "m", "w")
-    p = x.join(y, ["source", "w"]).where("doc_id < doc_b").groupBy("doc_id", "doc_b", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    return p.withColumn("j", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where("j >= 0.5").select("doc_id", "doc_b", F.round("j", 4).alias("jaccard"))
+    """Pairs of titles of a source with a Jaccard similarity of 0.5 or more.
+
+    Titles of the same tokens are one class. Classes meet by their rarest tokens: of n tokens in the order of frequency, the first n - n / 2 + 1
+    (two sets this similar share one of these), and only at the first one they share, where the rest can still be enough; there they are
+    compared, so candidates aren't shuffled. Only what is found is spread to the documents of both classes, in slices.
+    """
+    t = _titles(s, d).select("source", "doc_id", F.array_sort(F.array_distinct(F.expr("regexp_extract_all(title, '([a-z0-9]{2,})', 1)"))).alias("tok")).where("size(tok) > 0 and source is not null and doc_id is not null")
+    c = t.groupBy("source", "tok").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).withColumn("k", F.struct(F.col("docs")[0].alias("first"), F.xxhash64("tok").alias("h")))
+    x = c.select("source", "k", F.explode("tok").alias("w"))
+    o = x.join(x.groupBy("w").agg(F.count(F.lit(1)).alias("f")), "w").groupBy("source", "k").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("o"))
+    p = o.select("source", "k", F.col("o.w").alias("o"), F.size("o").alias("n"), F.posexplode(F.expr("slice(o.w, 1, size(o) - cast(ceil(size(o) / 2) as int) + 1)")).alias("i", "w"))
+    q = p.toDF("source", "kb", "ob", "m", "i_b", "w")
+    near = p.join(q, ["source", "w"]).where("k < kb and n <= 2 * m and m <= 2 * n and 3 * least(n - i, m - i_b) >= n + m").withColumn("both", F.array_intersect("o", "ob"))
+    near = near.where("both[0] = w").withColumn("j", F.size("both") / (F.col("n") + F.col("m") - F.size("both"))).where("j >= 0.5").select("source", "k", "kb", "j")
+    part = F.expr(f"explode(transform(sequence(0, (size(docs) - 1) div {SLICE}), z -> struct(z, slice(docs, z * {SLICE} + 1, {SLICE}) AS a)))")
+    mine = c.select("source", "k", part.alias("z")).select("source", "k", "z.a")
+    theirs = c.select("source", F.col("k").alias("kb"), "docs")
+    across = near.join(mine, ["source", "k"]).join(theirs, ["source", "kb"]).select("a", F.col("docs").alias("b"), "j")
+    same = c.where("size(docs) > 1").select("docs", part.alias("z")).select("z.a", F.expr(f"slice(docs, z.z * {SLICE} + 1, size(docs))").alias("b"), F.lit(1.0).alias("j"))
+    pairs = lambda y: y.repartition(F.xxhash64("a", "b")).select(F.explode("a").alias("x"), "b", "j").select("x", F.explode("b").alias("y"), "j")
+    every = pairs(across).select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("doc_b"), "j").unionAll(pairs(same).toDF("doc_id", "doc_b", "j"))
+    return every.where("doc_id < doc_b").select("doc_id", "doc_b", F.round("j", 4).alias("jaccard"))
 
 
 def _levels(s, d):
