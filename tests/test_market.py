@@ -68,6 +68,52 @@ def test_stop_is_never_lowered_and_ends_at_the_first_touch(spark):
     assert got.exit_seq == 6 and got.stop_r == pytest.approx(0.7) and got.mfe_r == pytest.approx(1.2)
 
 
+def test_positions_are_replayed_many_in_a_call(spark, monkeypatch):
+    """Groups of a call don't touch each other, and there are as many calls as ROWS asks for, not one a group."""
+    rng = np.random.default_rng(1)
+    rows = [(str(rng.choice(["s", "t"])) if k % 50 else None, int(rng.integers(0, 30)), int(rng.integers(0, 90)), k, float(rng.choice([90, 96, 100, 105, 108, 115]))) for k in range(900)]
+    df = spark.createDataFrame(rows, "symbol string, user_id long, ts long, seq long, price double")
+    want = {}
+    for key in {r[:2] for r in rows}:
+        mine = sorted((r[2:] for r in rows if r[:2] == key), key=lambda r: r[:2])
+        mfe, stop, end = 0.0, -1.0, None
+        for _, seq, price in mine:
+            r, before = (price / mine[0][2] - 1) / 0.1, stop
+            mfe = max(mfe, r)
+            if mfe >= S.BREAK_EVEN:
+                stop = max(stop, 0.0, mfe - S.GIVEBACK)
+            elif mfe >= S.ACTIVATION:
+                stop = max(stop, S.FIRST_STOP * (1 - (mfe - S.ACTIVATION) / (S.BREAK_EVEN - S.ACTIVATION)))
+            if r <= before:
+                end = seq
+                break
+        want[key] = (end, before, mfe)
+    for most in (1 << 17, 40):
+        monkeypatch.setattr(S, "ROWS", most)
+        got = S.protection_replay(df)
+        got = {(r.symbol, r.user_id): r[2:] for r in got.collect()}
+        assert got.keys() == want.keys()
+        for key, (end, before, mfe) in want.items():
+            assert got[key][0] == end and got[key][1:] == pytest.approx((before, mfe), abs=2e-6)
+
+
+def test_clusters_cut_each_title_once(monkeypatch):
+    """Titles' tokens are cut once each, however many anchors they are compared with."""
+    import pandas as pd
+
+    class Messages:
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandas(self, run, _):
+            return run
+
+    cut = []
+    monkeypatch.setattr(S.re, "findall", lambda p, t, f=__import__("re").findall: cut.append(t) or f(p, t))
+    out = S.leader_clusters(Messages())(pd.DataFrame({"batch": 0, "seq": range(40), "title": [f"word{k} other{k} {'x' * (k % 3)}" for k in range(38)] + ["", None]}))
+    assert out.anchor.tolist() == list(range(40)) and len(cut) == 38
+
+
 def test_change_or_period(spark):
     rows = [(1, t, k, m) for k, (t, m) in enumerate([(0, "a"), (10, "a"), (20, "b"), (61, "b"), (81, "b")])]
     got = S.change_or_period_log(spark.createDataFrame(rows, "key long, ts_s long, seq long, mark string"))

@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 ACTIVATION, BREAK_EVEN, FIRST_STOP, GIVEBACK = 0.5, 0.9, -0.75, 0.5
 
 
+#: Rows of small groups that are handled in one call.
+ROWS = 1 << 17
+
+
+def in_buckets(rows: DataFrame, keys: list[str], run, kind: str) -> DataFrame:
+    """run over many whole groups at a time: the groups are spread over buckets of about ROWS rows, for a call costs more than a small group."""
+    n = max(1, -(-rows.count() // ROWS))
+    return rows.groupBy(F.pmod(F.xxhash64(*keys), F.lit(n)).alias("_bucket")).applyInPandas(run, kind)
+
+
+def by_group(pdf: pd.DataFrame, keys: list[str], order: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows group by group, each in order, and where the groups begin."""
+    pdf = pdf.assign(_group=pdf.groupby(keys, dropna=False, sort=False).ngroup()).sort_values(["_group", *order])
+    return pdf, np.flatnonzero(np.diff(pdf._group.to_numpy(), prepend=-1))
+
+
 def source_dedup(messages: DataFrame) -> DataFrame:
     """Messages (source, seq, url, title): the first of each address and of each title within its source; dropped ones register no key."""
 
@@ -29,7 +45,12 @@ def source_dedup(messages: DataFrame) -> DataFrame:
     return messages.groupBy("source").applyInPandas(run, "source string, seq long")
 
 
-def similarity(a: str, b: str) -> float:
+def tokens_of(title: str | None) -> set[str]:
+    return set(re.findall(r"[a-z0-9]{2,}", title)) if title else set()
+
+
+def similarity(a: str, b: str, x: set[str] | None = None, y: set[str] | None = None) -> float:
+    """x, y: the titles' tokens where they are known."""
     if not a or not b:
         return 0.0
     if a == b:
@@ -37,8 +58,9 @@ def similarity(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if len(short) >= 12 and short in long:
         return 0.86
-    x, y = (set(re.findall(r"[a-z0-9]{2,}", t)) for t in (a, b))
-    return len(x & y) / len(x | y) if x and y else 0.0
+    x, y = tokens_of(a) if x is None else x, tokens_of(b) if y is None else y
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x and y else 0.0
 
 
 def leader_clusters(messages: DataFrame, least: float = 0.5) -> DataFrame:
@@ -50,10 +72,11 @@ def leader_clusters(messages: DataFrame, least: float = 0.5) -> DataFrame:
         for seq, title in zip(pdf.seq, pdf.title):
             at = by_title.get(title) if title else None
             if at is None:
-                at = next((s for s, t in anchors if similarity(title, t) >= least), None)
+                x = tokens_of(title)  # once a title, not once a comparison
+                at = next((s for s, t, y in anchors if similarity(title, t, x, y) >= least), None)
             if at is None:
                 at = seq
-                anchors.append((seq, title))
+                anchors.append((seq, title, x))
             by_title.setdefault(title, at)
             out.append(at)
         return pd.DataFrame({"batch": pdf.batch, "seq": pdf.seq, "anchor": out})
@@ -84,17 +107,28 @@ def protection_replay(points: DataFrame, risk: float = 0.1) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"])
-        r = (pdf.price.to_numpy() / pdf.price.iloc[0] - 1) / risk
-        mfe = np.maximum(np.maximum.accumulate(r), 0)
+        pdf, begin = by_group(pdf, ["symbol", "user_id"], ["ts", "seq"])
+        n = np.diff(np.append(begin, len(pdf)))
+        group = np.repeat(np.arange(len(n)), n)
+        price = pdf.price.to_numpy()
+        r = (price / np.repeat(price[begin], n) - 1) / risk
+        # The best so far of each group, by ranks, which groups keep apart.
+        each, rank = np.unique(r, return_inverse=True)
+        mfe = np.maximum(each[np.maximum.accumulate(group * np.int64(len(each)) + rank) - group * np.int64(len(each))], 0)
         rise = FIRST_STOP + np.clip((mfe - ACTIVATION) / (BREAK_EVEN - ACTIVATION), 0, 1) * -FIRST_STOP
-        stop = np.maximum.accumulate(np.where(mfe < ACTIVATION, -1.0, np.where(mfe < BREAK_EVEN, rise, np.maximum(0, mfe - GIVEBACK))))
+        stop = np.where(mfe < ACTIVATION, -1.0, np.where(mfe < BREAK_EVEN, rise, np.maximum(0, mfe - GIVEBACK)))  # rises with the best, so it is never lowered
         before = np.concatenate([[-1.0], stop[:-1]])
+        before[begin] = -1.0
         out = np.flatnonzero(r <= before)
-        k = int(out[0]) if len(out) else len(r) - 1
-        return pd.DataFrame({"symbol": [pdf.symbol.iloc[0]], "user_id": [pdf.user_id.iloc[0]], "exit_seq": [int(pdf.seq.iloc[k]) if len(out) else None], "stop_r": [round(float(before[k]), 6)], "mfe_r": [round(float(mfe[k]), 6)]})
-
-    return points.groupBy("symbol", "user_id").applyInPandas(run, "symbol string, user_id long, exit_seq long, stop_r double, mfe_r double")
+        closed, first = np.unique(group[out], return_index=True)
+        k = begin + n - 1
+        k[closed] = out[first]
+        seq = pd.Series(pd.array(pdf.seq.to_numpy()[k], dtype="Int64"))
+        seq[~np.isin(np.arange(len(k)), closed)] = pd.NA
+        rounded = lambda x: [round(float(v), 6) for v in x[k]]
+        return pd.DataFrame({"symbol": pdf.symbol.to_numpy()[k], "user_id": pdf.user_id.to_numpy()[k], "exit_seq": seq, "stop_r": rounded(before), "mfe_r": rounded(mfe)})
+
+    return in_buckets(points, ["symbol", "user_id"], run, "symbol string, user_id long, exit_seq long, stop_r double, mfe_r double")
 
 
 def capped_weights(scores: np.ndarray, cap: float) -> np.ndarray:
