@@ -70,3 +70,26 @@ def test_accounts_are_replayed_apart(spark):
     assert A.account_replay(df.where("side is null")).isEmpty()
     s = A.account_summary(A.account_replay(df)).first()
     assert s.n == 1 and s.win_rate == 1 and s.profit_factor is None and s.sharpe is None and s["return"] > 0
+
+
+def test_accounts_are_replayed_many_in_a_call(spark, monkeypatch):
+    """Accounts of a call have states of their own, and ticks of symbols without a position aren't looked at."""
+    from tickloom.operators import stateful as S
+
+    rows = [(acc, (T + k * H).to_pydatetime(), k, "AB"[(k + acc) % 2], 100.0 + (k * acc) % 7, "long" if k % 5 == 0 else None, 0.02, 1.5, 0.6, 0.005, "range") for acc in range(1, 30) for k in range(40)]
+    df = spark.createDataFrame(rows, "account long, ts timestamp, seq long, symbol string, price double, side string, stop_pct double, reward double, win_rate double, risk_pct double, kind string")
+    want = []
+    for acc in range(1, 30):
+        a = A.Account()
+        for r in rows:
+            if r[0] == acc:
+                ts = T + r[2] * H
+                a.tick(ts, r[3], r[4])
+                if r[5]:
+                    a.signal(ts, r[3], r[5], r[4], *r[6:])
+        want += [(acc, t[0], t[7], round(t[11], 6), round(t[14], 6)) for t in a.trades]
+    for most in (1 << 17, 100):
+        monkeypatch.setattr(S, "ROWS", most)
+        got = [(r.account, r.symbol, r.reason, r.realized, r.balance) for r in A.account_replay(df).collect()]
+        assert len(got) == len(want) > 29
+        assert [g[:3] for g in sorted(got)] == [w[:3] for w in sorted(want)] and [g[3] for g in sorted(got)] == pytest.approx([w[3] for w in sorted(want)], abs=2e-6)

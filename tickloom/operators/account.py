@@ -1,7 +1,7 @@
 """Paper accounts: positions are opened from signals, marked, protected, partly or wholly closed, along each account's ordered ticks.
 
-A step depends on the account's whole state (equity, margin, open positions), so an account is one group of one task,
-replayed in Python; accounts are spread over tasks. Nothing is ordered anywhere.
+A step depends on the account's whole state (equity, margin, open positions), so an account is replayed by one task,
+replayed in Python; accounts are spread over tasks, many in a call. Nothing is ordered anywhere.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.exits import Protection
+from tickloom.operators.stateful import by_group, in_buckets
 
 START, FEE, SLIPPAGE, LEVERAGE, MOST_OPEN, MARGIN_SHARE = 10_000.0, 0.0005, 0.0002, 3.0, 5, 0.8
 FUNDING_HOURS, FUNDING_RATE, MOST_SETTLEMENTS, LONGEST_HOURS = 8, 0.0001, 24, 72.0
+#: In nanoseconds.
+HOUR = 3_600_000_000_000
 
 TRADES = "account long, symbol string, side string, opened_at timestamp, closed_at timestamp, entry double, exit double, quantity double, reason string, gross double, fees double, funding double, realized double, mfe double, mae double, balance double"
 
@@ -57,8 +60,8 @@ class Account:
         p = self.open.get(symbol)
         if p is None or not price > 0:
             return
-        step = pd.Timedelta(hours=FUNDING_HOURS)
-        due = min(MOST_SETTLEMENTS, int(ts.floor(step).value // step.value - p["settled"].floor(step).value // step.value))
+        step = FUNDING_HOURS * HOUR
+        due = min(MOST_SETTLEMENTS, ts.value // step - p["settled"].value // step)
         if due > 0:
             paid = -p["sign"] * p["left"] * price * FUNDING_RATE * due
             p["funding"] += paid
@@ -70,7 +73,7 @@ class Account:
             self.sell(ts, symbol, p["left"] * out["sold"], price)
         elif out["action"] == "close":
             self.close(ts, symbol, price, out["reason"])
-        elif (ts - p["opened"]).total_seconds() >= LONGEST_HOURS * 3600:
+        elif ts.value - p["opened"].value >= LONGEST_HOURS * HOUR:
             self.close(ts, symbol, price, "TIME")
 
     def sell(self, ts, symbol: str, quantity: float, price: float) -> float:
@@ -95,17 +98,20 @@ def account_replay(events: DataFrame) -> DataFrame:
     """events (account, ts, seq, symbol, price, side, stop_pct, reward, win_rate, risk_pct, kind): a tick each, and a signal where side isn't null. The closed trades of each account."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        a = Account()
-        for e in g.sort_values(["ts", "seq"]).itertuples(index=False):
-            a.tick(e.ts, e.symbol, e.price)
-            if isinstance(e.side, str):
-                a.signal(e.ts, e.symbol, e.side, e.price, e.stop_pct, e.reward, e.win_rate, e.risk_pct, e.kind)
-            a.point(e.ts)
-        rows = [(g.account.iloc[0], *t) for t in a.trades]
+        g, begin = by_group(g, ["account"], ["ts", "seq"])
+        rows, lists = [], [g[c].tolist() for c in ("ts", "symbol", "price", "side", "stop_pct", "reward", "win_rate", "risk_pct", "kind")]
+        for i, j in zip(begin, [*begin[1:], len(g)]):
+            a = Account()  # its points aren't asked for here
+            for ts, symbol, price, side, *rest in zip(*(x[i:j] for x in lists)):
+                if symbol in a.open:
+                    a.tick(ts, symbol, price)
+                if isinstance(side, str):
+                    a.signal(ts, symbol, side, price, *rest)
+            rows += [(g.account.iloc[i], *t) for t in a.trades]
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in TRADES.split(", ")])
         return out.round({c: 6 for c in ("entry", "exit", "quantity", "gross", "fees", "funding", "realized", "mfe", "mae", "balance")})
 
-    return events.groupBy("account").applyInPandas(run, TRADES)
+    return in_buckets(events, ["account"], run, TRADES)
 
 
 def account_summary(trades: DataFrame) -> DataFrame:
