@@ -114,6 +114,29 @@ def test_clusters_cut_each_title_once(monkeypatch):
     assert out.anchor.tolist() == list(range(40)) and len(cut) == 38
 
 
+def test_first_beyond_by_halving():
+    """The first tick of an hour beyond a signal's bounds, as by looking at every one."""
+    import pyarrow as pa
+
+    from tickloom.plans.event_queries import first_beyond
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 64, 200):
+        ts, price = rng.integers(0, 50, n), np.where(rng.random(n) < 0.02, np.nan, np.round(rng.normal(100, 6, n), 1))
+        when = lambda x: pa.array(x).cast(pa.timestamp("us"))
+        opened, tp, sl = rng.integers(-5, 55, 80), rng.uniform(101, 118, 80), rng.uniform(82, 99, 80)
+        signals = pa.table({"symbol": ["s"] * 80, "user_id": np.arange(80), "opened": when(opened), "until": when(opened + 30), "tp": tp, "sl": sl})
+        got = first_beyond(pa.table({"ts": when(ts), "event_id": np.arange(n), "price": price}), signals)
+        got = {u: (t, repr(p)) for u, t, p in zip(*(got.column(c).to_pylist() for c in ("user_id", "ts", "price")))}
+        want = {}
+        for u in range(80):
+            for k in np.lexsort((np.arange(n), ts)):
+                if opened[u] < ts[k] <= opened[u] + 30 and (price[k] >= tp[u] or price[k] <= sl[u] or np.isnan(price[k])):
+                    want[u] = (when(ts)[int(k)].as_py(), repr(float(price[k])))
+                    break
+        assert got == want
+
+
 def test_change_or_period(spark):
     rows = [(1, t, k, m) for k, (t, m) in enumerate([(0, "a"), (10, "a"), (20, "b"), (61, "b"), (81, "b")])]
     got = S.change_or_period_log(spark.createDataFrame(rows, "key long, ts_s long, seq long, mark string"))

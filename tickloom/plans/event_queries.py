@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tickloom.operators import events as E
@@ -32,22 +34,51 @@ def poisson(s, d):
     return E.poisson_arrival(E.aggregate_by_symbol(_events(s, d).where((F.col("impact") >= E.LEAST_IMPACT) & (F.col("id") % 100 == 0))))
 
 
+def first_beyond(ticks: pa.Table, signals: pa.Table) -> pa.Table:
+    """The first tick of an hour after each signal's opening that is at or beyond one of its bounds, if its time isn't over by then.
+
+    Extremes of 1, 2, 4 ... ticks from each tick on: a signal goes over the longest runs that don't cross, so it takes as many steps as the number of ticks has digits.
+    """
+    t = ticks.sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    us = lambda c: c.cast(pa.timestamp("us")).cast(pa.int64()).to_numpy()
+    number = lambda c: np.where(np.isnan(x := c.to_numpy()), np.inf, x)  # noqa: E731  (NaN is above all in both engines)
+    ts, price, n, m = us(t.column("ts")), t.column("price").to_numpy(), t.num_rows, signals.num_rows
+    tp, sl = number(signals.column("tp")), number(signals.column("sl"))
+    runs = [(p := number(t.column("price")), p)]
+    while 2 << len(runs) - 1 <= n:
+        (hi, lo), k = runs[-1], 1 << len(runs) - 1
+        runs.append((np.maximum(hi[:-k], hi[k:]), np.minimum(lo[:-k], lo[k:])))
+    at = np.searchsorted(ts, us(signals.column("opened")), "right")
+    for k in range(len(runs) - 1, -1, -1):
+        for _ in range(2 if k == len(runs) - 1 else 1):  # the longest run may fit twice
+            i = np.flatnonzero(at + (1 << k) <= n)
+            hi, lo = runs[k]
+            i = i[(hi[at[i]] < tp[i]) & (lo[at[i]] > sl[i])]
+            at[i] += 1 << k
+    i = np.flatnonzero(at < n)
+    i = i[ts[at[i]] <= us(signals.column("until"))[i]]
+    got = signals.take(pa.array(i))
+    return pa.Table.from_arrays([got.column("symbol"), got.column("user_id"), t.column("ts").take(pa.array(at[i])), pa.array(price[at[i]])], ["symbol", "user_id", "ts", "price"])
+
+
 def first_touch(s, d):
     """The first tick beyond 10 % either way within 72 hours of each signal.
 
-    Ticks are reduced to the extremes of each symbol's hours; a signal meets the hours after its own, and only the first
-    that crosses, and the signal's own, are looked at tick by tick.
+    A signal meets the extremes of the hours after its own, in blocks of 72 hours; in the first that crosses, and in its own,
+    it is looked for among the ticks by halving (`first_beyond`). No signal is joined with an hour's ticks.
     """
     tick = table(s, d, "events").where("value > 0").select(F.col("event_type").alias("symbol"), "ts", "event_id", "user_id", F.col("value").alias("price"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t")).withColumn("h", F.expr("t div 3600"))
     first = tick.groupBy("symbol", "user_id").agg(F.min(F.struct("ts", "price")).alias("f"))
     sig = first.select("symbol", "user_id", F.col("f.ts").alias("opened"), F.col("f.price").alias("entry"))
     sig = sig.withColumn("until", F.expr("opened + INTERVAL 72 HOURS")).withColumn("tp", F.col("entry") * 1.1).withColumn("sl", F.col("entry") * 0.9).withColumn("h0", F.expr("unix_seconds(cast(opened as timestamp)) div 3600"))
     hours = tick.groupBy("symbol", "h").agg(F.max("price").alias("hi"), F.min("price").alias("lo"))
-    ahead = sig.select("*", F.explode(F.sequence(F.col("h0") + 1, F.col("h0") + 72)).alias("h")).join(hours, ["symbol", "h"]).where((F.col("hi") >= F.col("tp")) | (F.col("lo") <= F.col("sl")))
-    key = ["symbol", "user_id", "opened", "until", "entry", "tp", "sl", "h0"]
-    look = ahead.groupBy(*key).agg(F.min("h").alias("h")).unionByName(sig.withColumn("h", F.col("h0")).select(*key, "h"))
-    hit = look.join(tick.select("symbol", "h", "ts", "event_id", "price"), ["symbol", "h"]).where("ts > opened and ts <= until and (price >= tp or price <= sl)")
-    touch = hit.groupBy("symbol", "user_id").agg(F.min(F.struct("ts", "event_id", "price")).alias("x"))
+    # An hour is in its own block and in the one before, so each signal has its 72 hours in one block.
+    blocks = hours.select("symbol", F.explode(F.expr("array(floor(h / 72), floor(h / 72) - 1)")).alias("block"), F.struct("h", "hi", "lo").alias("x")).groupBy("symbol", "block").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    ahead = sig.withColumn("block", F.floor(F.col("h0") / 72)).join(blocks, ["symbol", "block"]).withColumn("h", F.expr("filter(xs, x -> x.h > h0 and x.h <= h0 + 72 and (x.hi >= tp or x.lo <= sl))[0].h")).where("h is not null")
+    key = ["symbol", "user_id", "opened", "until", "tp", "sl"]
+    look = ahead.select(*key, "h").unionByName(sig.withColumn("h", F.col("h0")).select(*key, "h"))
+    hit = tick.select("symbol", "h", "ts", "event_id", "price").groupBy("symbol", "h").cogroup(look.toDF("symbol", "user_id", "opened", "until", "tp", "sl", "hour").groupBy("symbol", "hour")).applyInArrow(first_beyond, f"symbol string, user_id long, ts {dict(tick.dtypes)['ts']}, price double")
+    touch = hit.groupBy("symbol", "user_id").agg(F.min(F.struct("ts", "price")).alias("x"))
     out = sig.join(touch, ["symbol", "user_id"], "left")
     won = F.col("x.price") >= F.col("tp")
     return out.select("symbol", "user_id", F.round("entry", 4).alias("entry"), F.when(F.col("x").isNull(), "EXPIRED").when(won, "TP").otherwise("SL").alias("outcome"), F.when(F.col("x").isNull(), None).when(won, 1).otherwise(-1).alias("realized_r"))
