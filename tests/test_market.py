@@ -137,6 +137,22 @@ def test_first_beyond_by_halving():
         assert got == want
 
 
+@pytest.mark.parametrize("n", [4, 9, 300])
+def test_challenger_without_numbering_all_trades(spark, tmp_path, n):
+    """Equal trades at the border between the parts are shared out as their numbers would; no window holds all trades."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE orders AS SELECT k::bigint AS o_orderkey, (k % 3)::bigint AS o_custkey FROM range({n}) t(k)")
+    con.execute(f"""CREATE TABLE lineitem AS SELECT (k // 30)::bigint AS l_orderkey, 1::bigint AS l_partkey, 2::bigint AS l_suppkey, (k // 7 % 4)::int AS l_linenumber, 5.0::double AS l_quantity, 100.0 + k // 7 AS l_extendedprice,
+      (k // 7 % 11) / 100.0::double AS l_discount, (k // 7 % 8) / 100.0::double AS l_tax, 'A' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (k // 14)::int AS l_shipdate FROM range({n}) t(k)""")
+    for t in ("orders", "lineitem"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    df = QUERIES["champion_challenger"](spark, str(tmp_path))
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(ORACLES["champion_challenger"]).fetchall())
+
+
 def test_change_or_period(spark):
     rows = [(1, t, k, m) for k, (t, m) in enumerate([(0, "a"), (10, "a"), (20, "b"), (61, "b"), (81, "b")])]
     got = S.change_or_period_log(spark.createDataFrame(rows, "key long, ts_s long, seq long, mark string"))

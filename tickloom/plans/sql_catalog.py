@@ -6,9 +6,11 @@ DIALECT replaces. Doubles are written with an exponent, which both engines read
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.session import table
 
@@ -185,7 +187,29 @@ DUCK: dict[str, str] = {
     "story_representative": SPARK["story_representative"].replace("\\\\", "\\").replace("+', ' '))", "+', ' ', 'g'))"),
     "heartbeat": SPARK["heartbeat"].replace("timestamp_ntz '", "timestamp '"),
 }
-QUERIES = {k: run(v) for k, v in SPARK.items()}
+
+
+def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its text numbers all trades in one task. As the validation has 40 trades at most, here each task finds its last 40, and the others are told
+    by comparing them with the validation's first; trades equal to that one are all alike and shared out by number."""
+    order = ORD.split(", ")
+    t = spark.sql(f"{T} SELECT {ORD}, pnl FROM t", lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
+    x = t.select(F.struct(*order).alias("key"), F.when(F.col("pnl") >= 0, 1.0).otherwise(-1.0).alias("y"), F.expr("l_discount * 20 - 1 - l_tax").alias("champion"), F.expr("l_discount * 20 - l_tax * 20").alias("challenger"))
+    n = x.count()
+    size = int(max(5, min(math.ceil(0.3 * n - 1e-9), 40)))
+    last = x.select("key").orderBy(F.desc("key")).limit(size)
+    cut = last.agg(F.min("key").alias("cut")).crossJoin(last.toDF("k")).groupBy("cut").agg(F.count_if(F.col("k") == F.col("cut")).alias("shared"))
+    right = lambda c: F.sum(F.when((F.col(c) >= 0) == (F.col("y") > 0), 1.0).otherwise(0.0)).alias(f"{c}_accuracy")
+    margin = lambda c: F.sum(F.col(c) * F.col("y")).alias(f"{c}_margin")
+    side = F.when(F.col("key") < F.col("cut"), -1).when(F.col("key") > F.col("cut"), 1).otherwise(0)
+    g = x.crossJoin(F.broadcast(cut)).groupBy(side.alias("side"), "shared").agg(F.count(F.lit(1)).alias("n"), right("champion"), right("challenger"), margin("champion"), margin("challenger"))
+    own = F.expr("CASE WHEN part = 'train' THEN CASE side WHEN -1 THEN n WHEN 0 THEN n - shared ELSE 0 END ELSE CASE side WHEN 1 THEN n WHEN 0 THEN shared ELSE 0 END END")
+    g = g.withColumn("part", F.explode(F.array(F.lit("train"), F.lit("validation")))).withColumn("own", own).where("own > 0")
+    mean = lambda c: F.round(F.sum(F.col(c) / F.col("n") * F.col("own")) / F.sum("own"), 6).alias(c)
+    return g.groupBy("part").agg(F.sum("own").alias("n"), mean("champion_accuracy"), mean("challenger_accuracy"), mean("champion_margin"), mean("challenger_margin"))
+
+
+QUERIES = {k: run(v) for k, v in SPARK.items()} | {"champion_challenger": champion_challenger}
 ORACLES = {k: duck(DUCK.get(k, v)) for k, v in SPARK.items()} | {
     "funding_next": "SELECT event_id, (epoch_ms(ts) // 28800000 + 1) * 28800000 AS next_ms FROM events",
     "html_strip": "SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\n\\t\\r]+', ' ', 'g'))) AS n FROM pages",
